@@ -211,7 +211,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-p AS (SELECT item_id, least(len(w), 13) AS n, unnest(list_transform(range(1, greatest(len(w) - 13, 0) + 2), i -> array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS g FROM b WHERE len(w) > 0),
+q AS (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM b WHERE len(w) > 0),
+p AS (SELECT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM q),
 lens AS (SELECT DISTINCT n FROM p),
 x AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, lens WHERE len(w) >= n),
 g AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM x),

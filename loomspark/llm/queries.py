@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_cnn, sentencepiece_stream, token_orc, toxicity_kn
+from . import decontaminate, language_cnn, lattice_lm, license_scan, line_dedup, sentencepiece_stream, token_orc, toxicity_kn
 
 
 def queries() -> dict:
     return {
         "op1_sentencepiece": sentencepiece_stream.op1_sentencepiece,
         "op3_token_orc": token_orc.op3_token_orc,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_license_scan": license_scan.op5_license_scan,
         "op6_toxicity_kn": toxicity_kn.op6_toxicity_kn,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_lattice_lm": lattice_lm.op9_lattice_lm,
         "op10_language_cnn": language_cnn.op10_language_cnn,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": decontaminate.OP8_SQL}
+    return {"op4_line_dedup": line_dedup.OP4_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
