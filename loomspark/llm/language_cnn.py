@@ -165,9 +165,8 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     def run(batches):
         model = shared.value
         for b in batches:
-            texts = b.column(2).to_pylist()
-            for i in range(0, len(texts), 128):
-                part = texts[i : i + 128]
+            for i in range(0, b.num_rows, 128):
+                part = b.column(2).slice(i, 128).to_pylist()
                 lang, score = ["und"] * len(part), np.zeros(len(part))
                 use = [k for k, t in enumerate(part) if t and model and any(map(str.isalpha, t))]
                 if use:

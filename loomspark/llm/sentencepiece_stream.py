@@ -6,7 +6,7 @@ soon as the backpointer paths of all live positions meet at one boundary, so its
 
 Where no piece of the vocabulary reaches across a place, all paths meet there. Such places are known beforehand: before
 a word's ``\\u2581`` if no piece has one after another character, and around characters that are in no piece. A text is
-cut there and the ids of each distinct cut are remembered, up to ``CACHE`` cuts.
+cut there, and the ids of each distinct word are remembered while it is among the latest ``CACHE`` to twice as many.
 
 Characters outside the vocabulary cost ``min score - 10`` each and become byte pieces. A literal ``\\u2581`` becomes byte
 pieces too, so decoding returns every text unchanged. Defined results: a null text has null ids, an empty one none;
@@ -20,13 +20,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import blocks, common
 
 MODEL = f"{common.TOKENIZERS}/piece_bpe_32k.model"
-CACHE = 800_000
+CACHE = 300_000
 SPACE = "▁"
 
 
@@ -51,6 +52,7 @@ class Vocabulary:
         self.chars = set("".join(self.score))
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.score)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         follows: dict[str, set[str]] = {}
         for p in self.score:
             for a, b in zip(p, p[1:], strict=False):
@@ -64,6 +66,7 @@ class Vocabulary:
         inner.discard(SPACE)
         known, inside, outside = (re.escape("".join(sorted(x))) or "\ufdd2" for x in (self.chars, inner, self.chars - inner - {SPACE}))
         self.cut = re.compile(f"{SPACE}*[{outside}]*[{inside}]+|{SPACE}*[{outside}]+|{SPACE}+|[^{known}]" if self.splits else f"[{known}]+|[^{known}]")
+        self.spelled = [bytes([self.byte_id[i]]) if i in self.byte_id else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.literal = np.asarray([self.id_of_byte[b] for b in SPACE.encode()], "<i4").tobytes()
         self.raw = {p: int(i).to_bytes(4, "little") for p, i in self.id.items()}
 
@@ -153,50 +156,52 @@ class Vocabulary:
             out += self.literal + self.part(x.replace(" ", SPACE))
         return out
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of words (no white space, no U+2581) after a space or at a text's start."""
+        cache = self.cache
+        found = list(map(cache.get, words))
+        if missing := [i for i, x in enumerate(found) if x is None]:
+            older = self.older
+            if len(cache) > CACHE:
+                self.older, self.cache = cache, (cache := {})
+            for i in missing:
+                w = words[i]
+                found[i] = cache[w] = older.get(w) or self.part(SPACE + w)
+        return found
+
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of a block of texts."""
+        odd = pc.fill_null(pc.match_substring_regex(texts, f"{blocks.DOUBLE}|^ | $|{SPACE}") if self.splits else pc.is_valid(texts), False).to_numpy(zero_copy_only=False)
+        empty = pc.fill_null(pc.equal(texts, ""), True).to_numpy(zero_copy_only=False)
+        return blocks.encode(texts, odd | empty, self.words, self.words, self.encode)
+
     def part(self, text: str) -> bytes:
-        cache, parts = self.cache, self.cut.findall(text)
-        try:
-            return b"".join(map(cache.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(cache) > CACHE:
-            cache.clear()
-        for x in parts:
-            if x not in cache:
-                cache[x] = self.short(x) if len(x) <= 2 * self.longest else np.fromiter(self.search(x), "<i4").tobytes()
-        return b"".join(map(cache.__getitem__, parts))
-
-    def decode(self, ids) -> str:
-        """The text of ids; the space that encoding puts before it goes."""
-        out: list[bytes] = []
-        for i in ids:
-            out.append(bytes([self.byte_id[i]]) if i in self.byte_id else self.pieces[i].replace(SPACE, " ").encode())
-        text = b"".join(out)
-        return (text[1:] if text[:1] == b" " else text).decode("utf-8", "surrogatepass" if b"\xed" in text else "replace")
+        return b"".join([self.short(x) if len(x) <= 2 * self.longest else np.fromiter(self.search(x), "<i4").tobytes() for x in self.cut.findall(text)])
 
-    def tables(self) -> tuple[list[bytes], np.ndarray]:
-        return [bytes([self.byte_id[i]]) if i in self.byte_id else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)], np.arange(self.size)
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids; the space that encoding puts before it goes."""
+        text = b"".join(map(self.spelled.__getitem__, ids.tolist()))
+        return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the column ``ids`` (array of int) added, or replaced if there is one."""
+def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
+    """``docs`` with the column ``ids`` (array of int) added, or replaced if there is one; with ``check``, a column of that name says whether decoding gives the text."""
     spark = common.ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
-    schema, kept = common.with_fields(docs, {ids}, f"`{ids}` array<int>")
+    schema, kept = common.with_fields(docs, {ids}, f"`{ids}` array<int>" + (f", `{check}` boolean" if check else ""))
     at = docs.columns.index(text)
 
     def run(batches):
         v = Vocabulary.get(shared.value)
         for b in batches:
-            texts = b.column(at).to_pylist()
-            for i in range(0, len(texts), 512):
-                got = [None if x is None else v.encode(x) for x in texts[i : i + 512]]
-                n = np.asarray([len(x) // 4 if x else 0 for x in got])
-                offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32), mask=None)
-                values = pa.array(np.frombuffer(b"".join(x for x in got if x), "<i4"))
-                lists = pa.ListArray.from_arrays(offsets, values, mask=pa.array([x is None for x in got]))
-                part = b.slice(i, len(got))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists], schema.names)
+            for i, size in blocks.slices(b.column(at)):
+                part = b.slice(i, size)
+                texts = part.column(at)
+                offsets, found = v.block(texts)
+                out = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found.view(np.int32)), mask=pc.is_null(texts))]
+                if check:
+                    out.append(pa.array([t is None or v.decode(found[s:e]) == t for t, s, e in zip(texts.to_pylist(), offsets[:-1], offsets[1:], strict=True)]))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *out], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -209,15 +214,12 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids", text: str = "deco
     at = encoded.columns.index(ids)
 
     def run(batches):
-        pieces = Vocabulary.get(shared.value).tables()[0]
+        v = Vocabulary.get(shared.value)
         for b in batches:
-            lists = b.column(at)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            out = []
-            for i, (s, e) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                x = b"".join(map(pieces.__getitem__, values[s:e].tolist()))
-                out.append(None if not lists[i].is_valid else (x[1:] if x[:1] == b" " else x).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(out, pa.string())], schema.names)
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                out = [None if x is None else v.decode(np.asarray(x, np.int64)) for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(out, pa.string())], schema.names)
 
     return encoded.mapInArrow(run, schema)
 
@@ -231,4 +233,4 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL)
     """doc_id, n_pieces, ids of every whole text, and whether decoding them gives the text again."""
     model = read_model(model_file)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode(encode(docs, model), model).select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return encode(docs, model, check="round_trip").select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", "round_trip")
