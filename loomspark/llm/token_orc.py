@@ -15,30 +15,24 @@ are ordered by text; extra columns are ignored, whatever their names; an empty t
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import blocks, common
 
-#: Cuts that a worker remembers; at that many it forgets them all.
-CACHE = 800_000
-_CUT = re.compile(r"(?<=\S) ")
-_ROUGH = re.compile(r"\s ")
-_ENDED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?]\Z")
-
-
-def cuts(text: str) -> list[str]:
-    """The text in pieces that the pre-tokenizer never joins; together they are the text."""
-    parts = _CUT.split(text) if _ROUGH.search(text) else text.split(" ")
-    if len(parts) > 1 and not parts[0]:  # a space at the start has nothing visible before it
-        parts[:2] = [" " + parts[1]]
-    return [parts[0], *[" " + x for x in parts[1:]]]
+#: Cuts that a worker remembers before the older half of what it knows goes.
+CACHE = 300_000
+#: A word of letters, perhaps a mark; perhaps a line break and the same again.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?))?\Z")
 
 
 class Encoder:
@@ -51,8 +45,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_buffer(model)
         self.cache: dict[str, bytes] = {}
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.older: dict[str, bytes] = {}
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(model)
+        pre = spec.get("pre_tokenizer") or {}
+        #: Only with this pre-tokenizer and no normalizer are cuts known; else every text goes to the library as a whole.
+        cut = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
+        self.odd = "|".join([blocks.DOUBLE, *special]) if cut else ".|\n"
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        hidden = [b for b in range(256) if b not in shown]
+        #: How byte-level vocabularies write bytes: the visible ones as they are, the others from U+0100 on.
+        self.written = {b: chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
 
     @classmethod
     def get(cls, model: bytes) -> Encoder:
@@ -63,57 +66,68 @@ class Encoder:
         return cls._of[key]
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, parts: list[str]) -> None:
-        """Encodes the parts that aren't known yet, all in one call of the library.
-
-        The pre-tokenizer always cuts between a letter and a punctuation mark, so a word with one mark at its end is put
-        together from both.
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of words with a space before them."""
+        found = list(map(self.cache.get, words))
+        if missing := [i for i, x in enumerate(found) if x is None]:
+            self.learn([words[i] for i in missing])
+            get = self.cache.__getitem__
+            for i in missing:
+                found[i] = get(words[i])
+        return found
+
+    def firsts(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes distinct words (each with a space before it) that aren't in the cache.
+
+        A word of letters is one unit of the pre-tokenizer, a punctuation mark after it another, and so is a single line
+        break before a letter; such units go to the library's model directly.
         """
-        cache = self.cache
-        new = [x for x in dict.fromkeys(parts) if x not in cache]
-        if not new:
-            return
-        if len(cache) > CACHE:
-            cache.clear()
-            new = list(dict.fromkeys(parts))
-        ended = [x for x in new if _ENDED.search(x)]
-        whole = {x for x in new if not _ENDED.search(x)}.union(y for x in ended for y in (x[:-1], x[-1]) if y not in cache)
-        block = list(whole)
-        for x, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
+        older = self.older
+        if len(self.cache) > CACHE:
+            self.older, self.cache = self.cache, {}
+        cache, rest = self.cache, []
+        simple, tokenize, space, table = _SIMPLE.match, self.tokenizer.model.tokenize, self.written[32], self.written
+        for x in words:
+            if (y := older.get(x)) is not None:
+                cache[x] = y
+            elif x.isascii() and x.isalpha():
+                cache[x] = array("I", [t.id for t in tokenize(space + x)]).tobytes()
+            elif m := simple(x):
+                first, *units = m.groups("")
+                ids = [t.id for t in tokenize((" " + first).encode().decode("latin-1").translate(table))]
+                for unit in filter(None, units):
+                    ids += [t.id for t in tokenize(unit.encode().decode("latin-1").translate(table))]
+                cache[x] = array("I", ids).tobytes()
+            else:
+                rest.append(x)
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast([" " + x for x in rest], add_special_tokens=False) if rest else (), strict=True):
             cache[x] = array("I", e.ids).tobytes()
-        for x in ended:
-            cache[x] = cache[x[:-1]] + cache[x[-1]]
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 256):
-            block = [x or "" for x in texts[i : i + 256]]
-            odd = [bool(self.special and self.special.search(x)) for x in block]
-            parts = [[] if o else cuts(x) for x, o in zip(block, odd, strict=True)]
-            self.learn([p for x in parts for p in x])
-            out += [self.whole(x) if o else b"".join(map(self.cache.__getitem__, p)) for x, o, p in zip(block, odd, parts, strict=True)]
-        return out
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of a block of texts."""
+        odd = pc.fill_null(pc.match_substring_regex(texts, self.odd), False).to_numpy(zero_copy_only=False)
+        return blocks.encode(texts, odd, self.words, self.firsts, self.whole, end)
 
 
 def write(docs: DataFrame, path: str, model: bytes, end_id: int = 0, stripe_mb: int = 16) -> None:
     """Writes doc_id, local_start (ids before it in its file), n_tokens and ids of every document to ORC files under ``path``."""
     spark = common.ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches):
         enc, start = Encoder.get(shared.value), 0
+        gc.disable()  # nothing here is cyclic, and the caches are large
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                got = [x + end for x in enc.encode_all(texts[i : i + 256])]
-                n = np.asarray([len(x) // 4 for x in got], np.int64)
-                offsets = np.concatenate(([0], np.cumsum(n)))
-                values = pa.array(np.frombuffer(b"".join(got), "<i4"))
+            ids, texts = b.column(0), b.column(1)
+            for i, size in blocks.slices(texts):
+                offsets, tokens = enc.encode(texts.slice(i, size), end_id)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, len(got)), pa.array(start + offsets[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)],
+                    [ids.slice(i, size), pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.view(np.int32)))],
                     ["doc_id", "local_start", "n_tokens", "ids"],
                 )
                 start += int(offsets[-1])
@@ -134,9 +148,12 @@ def write(docs: DataFrame, path: str, model: bytes, end_id: int = 0, stripe_mb:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with ``start``, the ids of all documents before; a filter on doc_id skips stripes."""
+    """The files' rows with ``start``, the ids of all documents before; a filter on doc_id skips stripes.
+
+    One row for each file is broadcast; ``write`` makes 100,000 files at most.
+    """
     rows = spark.read.schema("doc_id long, local_start long, n_tokens long, ids array<int>").orc(path).withColumn("_file", F.col("_metadata.file_path"))
-    return rows.join(starts(rows), F.col("_file") == F.col("_of"), "left").select("doc_id", (F.col("_before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(starts(rows)), F.col("_file") == F.col("_of"), "left").select("doc_id", (F.col("_before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def starts(rows: DataFrame) -> DataFrame:
