@@ -90,7 +90,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 def input_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; for plain scans, the size of the files."""
+    """Catalyst's estimate of the size of ``df``; only for plain scans it is the size of the files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_cnn, lattice_lm, license_scan, line_dedup, sentencepiece_stream, token_orc, toxicity_kn
+from . import decontaminate, language_cnn, lattice_lm, license_scan, line_dedup, near_dups, sentencepiece_stream, token_orc, toxicity_kn
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_toxicity_kn": toxicity_kn.op6_toxicity_kn,
+        "op7_near_dups": near_dups.op7_near_dups,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_lattice_lm": lattice_lm.op9_lattice_lm,
         "op10_language_cnn": language_cnn.op10_language_cnn,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.OP4_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+    return {"op4_line_dedup": line_dedup.OP4_SQL, "op7_near_dups": near_dups.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
