@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_cnn, lattice_lm, license_scan, line_dedup, near_dups, sentencepiece_stream, token_orc, toxicity_kn
+from . import decontaminate, language_cnn, lattice_lm, license_scan, line_dedup, near_dups, quality_mcd, sentencepiece_stream, token_orc, toxicity_kn
 
 
 def queries() -> dict:
     return {
         "op1_sentencepiece": sentencepiece_stream.op1_sentencepiece,
+        "op2_quality_mcd": quality_mcd.op2_quality_mcd,
         "op3_token_orc": token_orc.op3_token_orc,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_license_scan": license_scan.op5_license_scan,
