@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import common, decontaminate, sentencepiece_stream, toxicity_kn
+from loomspark.llm import common, decontaminate, line_dedup, near_dups, sentencepiece_stream, toxicity_kn
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +16,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity_kn.accepted(docs, common.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that ten or more of them share."""
+    return line_dedup.cleaned(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones: five-word shingles, similarity of 0.8 or more."""
+    return near_dups.one_each(docs, n=5, percent=80)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
     return decontaminate.decontaminated(docs, common.table(spark, sf_dir, "benchmark"))
@@ -28,7 +38,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return coded.selectExpr("doc_id", "lang", "source", "cast(coalesce(size(ids), 0) as long) as n_pieces", "ids")
 
 
-STAGES = [("toxicity", toxicity), ("decontamination", decontamination), ("sentencepiece", sentencepiece)]
+STAGES = [("toxicity", toxicity), ("line_dedup", line_duplicates), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("sentencepiece", sentencepiece)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
