@@ -2,10 +2,532 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import chunks, graph, incremental, logs, product, retrieval, traverse
+from ..sources.tables import table
+from . import proxies as P
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- shared SQL ---------------------------------------------------------------------------------------------------
+
+_KIND = "CASE p_type WHEN 'ECONOMY' THEN 'function' WHEN 'STANDARD' THEN 'method' WHEN 'MEDIUM' THEN 'class' WHEN 'PROMO' THEN 'interface' WHEN 'SMALL' THEN 'variable' WHEN 'LARGE' THEN 'enum' END"
+SYM = f"sym AS (SELECT 'r0' AS repo_id, p_brand AS path, p_partkey::VARCHAR AS fqn, p_name AS name, {_KIND} AS kind, p_size AS start_line FROM part)"
+REFS = """pairs AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber = 1 AND b.l_linenumber = 2),
+refs AS (SELECT DISTINCT s.p_brand AS path, a::VARCHAR AS caller_fqn, t.p_name AS callee_name FROM pairs JOIN part s ON s.p_partkey = a JOIN part t ON t.p_partkey = b)"""
+FOUND = "found AS (SELECT refs.path AS src_path, caller_fqn AS src_fqn, callee_name, sym.path AS dst_path, sym.fqn AS dst_fqn FROM refs JOIN sym ON sym.name = callee_name AND sym.kind IN ('function', 'method') AND (sym.path <> refs.path OR sym.fqn <> caller_fqn))"
+EDGES = "e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_partkey <> b.l_partkey)"
+EV = "ev AS (SELECT event_id, epoch_us(ts) AS us, user_id AS service, event_type AS fingerprint, value, props FROM events)"
+STATES = """present AS (SELECT doc_id AS path, sha256(text) AS content_hash FROM documents),
+stored AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS content_hash FROM documents WHERE doc_id % 17 <> 0 UNION ALL SELECT -doc_id - 1, sha256(text) FROM documents WHERE doc_id % 13 = 0)"""
+_REACH = "RECURSIVE {edges}, r(root, node, d) AS (SELECT root, {b}, 1 FROM roots JOIN e ON e.{a} = root UNION SELECT root, e.{b}, d + 1 FROM r JOIN e ON e.{a} = r.node WHERE d < {depth})"
+
+
+def _least_dst(spark, d):
+    return P.call_edges(spark, d).agg(F.min("dst").alias("root"))
+
+
+# --- scans, filters, scalars --------------------------------------------------------------------------------------
+
+
+@query("""SELECT url, CASE WHEN lower(url) LIKE '%/de/%' THEN 'de' ELSE 'other' END AS area, len(string_split(url, '/')) AS depth FROM pages WHERE NOT list_has_any(string_split(url, '/')[1:-2], ['.git','.hg','.svn','node_modules','vendor','dist','build','out','.next','__pycache__','.venv','venv','.turbo','coverage','.mypy_cache','.ruff_cache','.pytest_cache','.idea','.gradle','target','bin','obj']) AND NOT regexp_matches(url, '(\\.min\\.js|\\.min\\.css|\\.bundle\\.js|\\.map|\\.lock)$')""")
+def scan_filter_ignored(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").where(~S.is_ignored(F.col("url")))
+    return pages.select("url", F.when(F.lower("url").like("%/de/%"), "de").otherwise("other").alias("area"), F.size(F.split("url", "/")).alias("depth"))
+
+
+@query("""WITH p AS (SELECT p_partkey, replace(p_name, ' ', '_') || CASE p_type WHEN 'ECONOMY' THEN '.PY' WHEN 'STANDARD' THEN '.ts' WHEN 'MEDIUM' THEN '.java' WHEN 'PROMO' THEN '.go' WHEN 'SMALL' THEN '.tsx' ELSE '.toml' END AS path FROM part)
+SELECT p_partkey, path, CASE WHEN lower(path) LIKE '%.py' THEN 'python' WHEN lower(path) LIKE '%.ts' THEN 'typescript' WHEN lower(path) LIKE '%.tsx' THEN 'tsx' WHEN lower(path) LIKE '%.java' THEN 'java' WHEN lower(path) LIKE '%.go' THEN 'go' END AS language FROM p""")
+def language_detect(spark: SparkSession, d: str) -> DataFrame:
+    ext = F.element_at(F.create_map(*[F.lit(x) for kv in {"ECONOMY": ".PY", "STANDARD": ".ts", "MEDIUM": ".java", "PROMO": ".go", "SMALL": ".tsx", "LARGE": ".toml"}.items() for x in kv]), F.col("p_type"))
+    p = table(spark, d, "part").select("p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), ext).alias("path"))
+    return p.withColumn("language", S.language_of(F.col("path")))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, octet_length(encode(text)) AS n_bytes FROM documents")
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").alias("n_bytes"))
+
+
+@query("""SELECT doc_id, len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS n_lines, list_max([length(x) FOR x IN l]) AS longest FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
+def line_split_stats(spark, d):
+    docs = table(spark, d, "documents").withColumn("l", S.split_lines(F.col("text")))
+    return docs.select("doc_id", F.size("l").alias("n_lines"), F.array_max(F.transform("l", F.length)).alias("longest"))
+
+
+@query("SELECT p_partkey, CASE WHEN s = '' THEN 'project' ELSE s END AS slug FROM (SELECT p_partkey, substr(regexp_replace(regexp_replace(lower(p_brand || ' / ' || p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) AS s FROM part)")
+def slugify(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.slug(F.concat("p_brand", F.lit(" / "), "p_name")).alias("slug"))
+
+
+@query()
+def uuid5_ids(spark, d):
+    return table(spark, d, "documents").select("doc_id", S.uuid5(F.concat(F.lit("r0:"), F.col("doc_id").cast("string"), F.lit(":<module>:0"))).alias("chunk_id"))
+
+
+@query("""SELECT p_partkey, list_sort(list_distinct(list_concat(list_filter(string_split(lower(regexp_replace(regexp_replace(n, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''), [lower(n)]))) AS parts FROM (SELECT p_partkey, replace(p_name, ' ', '') || replace(p_brand, '#', 'No') || 'ById' AS n FROM part)""")
+def ident_split(spark, d):
+    n = F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.replace("p_brand", F.lit("#"), F.lit("No")), F.lit("ById"))
+    return table(spark, d, "part").select("p_partkey", F.array_sort(S.identifier_parts(n)).alias("parts"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")
+def json_extract(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size / 50.0 >= 0.66 THEN 'high' WHEN p_size / 50.0 >= 0.33 THEN 'medium' ELSE 'low' END AS bucket, regexp_replace(lower(p_name), '\\s+', '_', 'g') AS code FROM part")
+def risk_buckets(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.risk_bucket(F.col("p_size") / 50.0).alias("bucket"), S.problem_code(F.col("p_name")).alias("code"))
+
+
+@query("SELECT event_id, '{\"token\":\"[redacted]\",\"kind\":\"' || event_type || '\"}' AS attributes FROM events")
+def redact_keys(spark, d):
+    attributes = F.create_map(F.lit("token"), F.col("props"), F.lit("kind"), F.col("event_type"))
+    return table(spark, d, "events").select("event_id", F.to_json(S.redact(attributes)).alias("attributes"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'AKIA[0-9A-Z]{16}', '[aws-key]', 'g'), 'eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+', '[jwt]', 'g'), '-----BEGIN [A-Z ]*PRIVATE KEY-----', '[private-key]', 'g'), 'ghp_[A-Za-z0-9]{36}', '[token]', 'g')) AS scrubbed_sha256 FROM documents")
+def secret_scrub(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(S.scrub(F.col("text")), 256).alias("scrubbed_sha256"))
+
+
+# --- graph ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SYM}, {REFS}, {FOUND}, c AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY src_path, src_fqn, callee_name) AS confidence FROM found) SELECT 'r0' AS repo_id, src_path, src_fqn, dst_path, dst_fqn, max(confidence)::DOUBLE AS confidence FROM c GROUP BY ALL")
+def resolve_calls(spark, d):
+    return graph.resolve_calls(P.call_refs(spark, d), P.symbols(spark, d))
+
+
+@query(f"WITH {SYM}, {REFS} SELECT 'r0' AS repo_id, path, caller_fqn, callee_name FROM refs WHERE NOT EXISTS (SELECT 1 FROM sym WHERE sym.name = refs.callee_name AND sym.kind IN ('function', 'method') AND (sym.path <> refs.path OR sym.fqn <> refs.caller_fqn))")
+def unresolved_calls(spark, d):
+    return graph.unresolved_calls(P.call_refs(spark, d), P.symbols(spark, d))
+
+
+@query(f"""WITH {SYM}, f AS (SELECT l_suppkey, min(l_partkey) AS k FROM lineitem GROUP BY 1),
+i AS (SELECT p_brand AS path, 's' || l_suppkey AS fqn, CASE WHEN l_suppkey % 5 = 0 THEN p_name || '<T>' ELSE p_name END AS base_name, CASE WHEN l_suppkey % 2 = 0 THEN 'INHERITS' ELSE 'IMPLEMENTS' END AS type FROM f JOIN part ON p_partkey = k)
+SELECT 'r0' AS repo_id, i.path AS src_path, i.fqn AS src_fqn, i.type, sym.path AS dst_path, sym.fqn AS dst_fqn, CASE WHEN sym.fqn IS NULL THEN base_name END AS dst_name FROM i LEFT JOIN sym ON sym.name = i.base_name AND sym.kind IN ('class', 'interface') AND (sym.path <> i.path OR sym.fqn <> i.fqn)""")
+def resolve_inheritance(spark, d):
+    return graph.resolve_inheritance(P.inherit_refs(spark, d), P.symbols(spark, d))
+
+
+@query("""SELECT DISTINCT 'r0' AS repo_id, url AS path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS module FROM pages""")
+def imports_edges(spark, d):
+    pages = table(spark, d, "pages")
+    refs = pages.select(F.lit(P.REPO).alias("repo_id"), F.col("url").alias("path"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("module"))
+    return graph.import_edges(refs, pages.select(F.lit(P.REPO).alias("repo_id"), F.col("url").alias("path")))
+
+
+@query(f"WITH {SYM}, f AS (SELECT path FROM sym UNION SELECT n_name FROM nation) SELECT 'r0' AS repo_id, f.path, 'python' AS language, count(sym.fqn) AS symbols FROM f LEFT JOIN sym ON sym.path = f.path AND sym.kind <> 'module' GROUP BY f.path")
+def file_tree(spark, d):
+    empty = table(spark, d, "nation").select(F.lit(P.REPO).alias("repo_id"), F.col("n_name").alias("path"), F.lit("python").alias("language"))
+    return graph.file_tree(P.files(spark, d).unionByName(empty), P.symbols(spark, d))
+
+
+@query(f"WITH {SYM} SELECT path, fqn, name, kind, start_line FROM sym WHERE path = 'Brand#12' ORDER BY start_line, fqn")
+def file_symbols(spark, d):
+    return graph.file_symbols(P.symbols(spark, d), P.REPO, "Brand#12").select("path", "fqn", "name", "kind", "start_line")
+
+
+@query(f"WITH {SYM}, {REFS}, {FOUND} SELECT (SELECT count(DISTINCT path) FROM sym) AS files, (SELECT count(*) FROM sym) + (SELECT count(DISTINCT path) FROM sym) AS symbols, (SELECT count(*) FROM (SELECT DISTINCT src_path, src_fqn, dst_path, dst_fqn FROM found)) AS calls, (SELECT count(*) FROM refs WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.src_path = refs.path AND f.src_fqn = refs.caller_fqn AND f.callee_name = refs.callee_name)) AS unresolved_calls")
+def repo_stats(spark, d):
+    symbols, refs, files = P.symbols(spark, d), P.call_refs(spark, d), P.files(spark, d)
+    return graph.repo_stats(files, graph.all_symbols(files, symbols), graph.resolve_calls(refs, symbols), graph.unresolved_calls(refs, symbols))
+
+
+@query(f"WITH {SYM}, {REFS}, {FOUND}, g AS (SELECT DISTINCT path FROM sym WHERE path LIKE 'Brand#1%') SELECT DISTINCT 'r0' AS repo_id, src_path, src_fqn, dst_path, dst_fqn FROM found WHERE src_path NOT IN (FROM g) AND dst_path NOT IN (FROM g)")
+def delete_files_detach(spark, d):
+    files, symbols = P.files(spark, d), P.symbols(spark, d)
+    gone = files.where("path like 'Brand#1%'").select("repo_id", "path")
+    return graph.delete_files(files, symbols, graph.resolve_calls(P.call_refs(spark, d), symbols).drop("confidence"), gone)[2]
+
+
+@query("SELECT c_nationkey AS repo_id, count(*) AS n FROM customer WHERE c_nationkey <> 7 GROUP BY 1")
+def purge_repo(spark, d):
+    rows = table(spark, d, "customer").withColumnRenamed("c_nationkey", "repo_id")
+    return graph.purge_repo(rows, 7).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {EDGES} SELECT s.p_brand AS src_module, t.p_brand AS dst_module, count(*) AS weight FROM e JOIN part s ON s.p_partkey = src JOIN part t ON t.p_partkey = dst WHERE s.p_brand <> t.p_brand GROUP BY ALL")
+def module_depends_on(spark, d):
+    e, p = P.call_edges(spark, d), P.paths(spark, d)
+    named = e.join(p.select(F.col("id").alias("src"), F.col("path").alias("src_module")), "src").join(p.select(F.col("id").alias("dst"), F.col("path").alias("dst_module")), "dst")
+    return graph.module_dependencies(named)
+
+
+def _reach_sql(a: str, b: str, depth: int, roots: str, rest: str) -> str:
+    return f"WITH {_REACH.format(edges=f'{EDGES}, roots AS ({roots})', a=a, b=b, depth=depth)}{rest}"
+
+
+_ONE = "SELECT min(dst) AS root FROM e"
+
+
+@query(_reach_sql("src", "dst", 2, _ONE, ", k(root, node, d) AS (SELECT root, src, 1 FROM roots JOIN e ON e.dst = root UNION SELECT root, e.src, d + 1 FROM k JOIN e ON e.dst = k.node WHERE d < 2) SELECT root, node, min(d)::INT AS depth, 'callee' AS direction FROM r GROUP BY ALL UNION ALL SELECT root, node, min(d)::INT, 'caller' FROM k GROUP BY ALL"))
+def neighborhood_d2(spark, d):
+    return traverse.neighborhood(P.call_edges(spark, d), _least_dst(spark, d), 2)
+
+
+@query(_reach_sql("dst", "src", 3, _ONE, ", n AS (SELECT DISTINCT root, node FROM r), c AS (SELECT root, count(*) AS dependent_count, count(*) FILTER (a.p_brand <> b.p_brand) AS cross_file_count FROM n JOIN part a ON a.p_partkey = root JOIN part b ON b.p_partkey = node GROUP BY root) SELECT *, round(least(1.0, (dependent_count + cross_file_count) / 50.0), 3)::DOUBLE AS risk_score FROM c"))
+def impact_d3(spark, d):
+    return traverse.impact(P.call_edges(spark, d), _least_dst(spark, d), P.paths(spark, d), 3)
+
+
+@query(_reach_sql("dst", "src", 2, "SELECT p_partkey AS root FROM part", ", n AS (SELECT DISTINCT root, node FROM r), c AS (SELECT root, count(*) AS dependent_count, count(*) FILTER (a.p_brand <> b.p_brand) AS cross_file_count FROM n JOIN part a ON a.p_partkey = root JOIN part b ON b.p_partkey = node GROUP BY root) SELECT p_partkey AS root, coalesce(dependent_count, 0) AS dependent_count, coalesce(cross_file_count, 0) AS cross_file_count, round(least(1.0, (coalesce(dependent_count, 0) + coalesce(cross_file_count, 0)) / 50.0), 3)::DOUBLE AS risk_score FROM part LEFT JOIN c ON root = p_partkey"))
+def impact_all_d2(spark, d):
+    return traverse.impact(P.call_edges(spark, d), P.paths(spark, d).select(F.col("id").alias("root")), P.paths(spark, d), 2)
+
+
+@query(_reach_sql("dst", "src", 3, _ONE, ", n AS (SELECT root, node, min(d) AS depth FROM r GROUP BY ALL) SELECT root, round(sum(pow(0.5, depth)), 6) AS risk FROM n GROUP BY root"))
+def impact_decayed(spark, d):
+    return traverse.decayed_risk(P.call_edges(spark, d), _least_dst(spark, d), 3)
+
+
+@query(_reach_sql("dst", "src", 3, _ONE, ", n AS (SELECT DISTINCT node FROM r) SELECT p_brand AS module, count(*) AS callers FROM n JOIN part ON p_partkey = node GROUP BY 1"))
+def callers_by_module(spark, d):
+    found = traverse.reach(P.call_edges(spark, d), _least_dst(spark, d), 3, reverse=True)
+    return found.join(P.paths(spark, d), found["node"] == F.col("id")).groupBy(F.col("path").alias("module")).agg(F.count(F.lit(1)).alias("callers"))
+
+
+@query(_reach_sql("dst", "src", 3, _ONE, ", n AS (SELECT DISTINCT node FROM r) SELECT p_brand AS path, node AS fqn FROM n JOIN part ON p_partkey = node ORDER BY path, fqn LIMIT 100"))
+def dependents_top100(spark, d):
+    found = traverse.reach(P.call_edges(spark, d), _least_dst(spark, d), 3, reverse=True)
+    return found.join(P.paths(spark, d), found["node"] == F.col("id")).select("path", F.col("node").alias("fqn")).orderBy("path", "fqn").limit(100)
+
+
+# --- incremental state -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {STATES} SELECT coalesce(p.path, s.path) AS path, CASE WHEN s.path IS NULL THEN 'added' WHEN p.path IS NULL THEN 'deleted' WHEN p.content_hash <> s.content_hash THEN 'changed' ELSE 'unchanged' END AS change FROM present p FULL JOIN stored s ON p.path = s.path")
+def incremental_diff(spark, d):
+    return incremental.diff(P.file_states(spark, d), P.older_states(spark, d))
+
+
+@query(f"WITH {STATES}, b AS (SELECT *, 1 AS version FROM stored UNION ALL SELECT *, 2 FROM present) SELECT path, content_hash, version FROM b QUALIFY row_number() OVER (PARTITION BY path ORDER BY version DESC) = 1")
+def file_state_upsert(spark, d):
+    old, new = P.older_states(spark, d).withColumn("version", F.lit(1)), P.file_states(spark, d).withColumn("version", F.lit(2))
+    return incremental.upsert(old, new, ["path"], "version")
+
+
+@query("SELECT o_custkey AS repository_id, o_orderkey AS id, epoch_us(o_orderdate) AS finished_us FROM orders WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) = 1")
+def latest_run(spark, d):
+    runs = table(spark, d, "orders").where("o_orderstatus = 'F'")
+    return incremental.latest(runs, "o_custkey", "o_orderdate", "o_orderkey").select(F.col("o_custkey").alias("repository_id"), F.col("o_orderkey").alias("id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("finished_us"))
+
+
+@query(f"WITH {EV} SELECT service, arg_max(fingerprint, (us, event_id)) AS fingerprint, count(*) AS n_events FROM ev GROUP BY service")
+def run_state_fold(spark, d):
+    return incremental.fold_states(P.events(spark, d), "service", ["us", "event_id"], "fingerprint")
+
+
+@query(f"WITH {STATES}, a AS (FROM present EXCEPT ALL FROM stored), b AS (FROM stored EXCEPT ALL FROM present) SELECT *, 'left' AS side FROM a UNION ALL SELECT *, 'right' FROM b")
+def consistency_check(spark, d):
+    return incremental.mismatches(P.file_states(spark, d), P.older_states(spark, d))
+
+
+@query("SELECT DISTINCT sha256(text) AS h, length(text) AS n, (SELECT count(*) FROM documents b WHERE b.text = a.text) AS uses FROM documents a")
+def embedding_cache(spark, d):
+    rows = incremental.embed_once(table(spark, d, "documents").select("doc_id", "text"), "text", F.length)
+    return rows.groupBy(F.sha2("text", 256).alias("h"), F.col("embedding").alias("n")).agg(F.count(F.lit(1)).alias("uses"))
+
+
+# --- chunks ----------------------------------------------------------------------------------------------------------
+
+_LINES = "l AS (SELECT doc_id, CASE WHEN s[-1] = '' THEN s[:-2] ELSE s END AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)), n AS (SELECT doc_id, l, len(l) AS n FROM l)"
+_WIN = "w AS (SELECT doc_id, l, n, unnest(range(0, CASE WHEN n <= 8 THEN 1 ELSE 1 + ceil((n - 8) / 6.0)::INT END)) AS k FROM n WHERE n > 0)"
+
+
+def _windowed(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", S.split_lines(F.col("text")).alias("l"))
+    return docs.select("doc_id", "l", F.explode(chunks.windows(F.lit(1), F.size("l"), 8, 2)).alias("w"))
+
+
+@query(f"WITH {_LINES}, {_WIN} SELECT doc_id, k::INT AS k, (1 + 6 * k)::INT AS first, least(8 + 6 * k, n)::INT AS last FROM w")
+def chunk_windows(spark, d):
+    return _windowed(spark, d).select("doc_id", "w.k", "w.first", "w.last")
+
+
+@query(f"WITH {_LINES}, {_WIN} SELECT doc_id, k::INT AS k, sha256('doc' || doc_id || ':' || (1 + 6 * k) || '-' || least(8 + 6 * k, n) || ' module' || chr(10) || substr(array_to_string(l[1 + 6 * k:least(8 + 6 * k, n)], chr(10)), 1, 8000)) AS text_sha256 FROM w")
+def chunk_text(spark, d):
+    first, last = F.col("w.first"), F.col("w.last")
+    body = F.substring(F.array_join(F.slice("l", first, last - first + 1), "\n"), 1, chunks.MOST_CHARS)
+    head = chunks.header(F.concat(F.lit("doc"), F.col("doc_id").cast("string")), first.cast("string"), last.cast("string"), F.lit("module"), F.lit(None).cast("string"))
+    return _windowed(spark, d).select("doc_id", "w.k", F.sha2(F.concat(head, F.lit("\n"), body), 256).alias("text_sha256"))
+
+
+_SPANS = "s AS (SELECT p_brand AS path, p_partkey::VARCHAR AS fqn, CASE p_type WHEN 'ECONOMY' THEN 'function' WHEN 'STANDARD' THEN 'method' WHEN 'MEDIUM' THEN 'class' WHEN 'PROMO' THEN 'interface' WHEN 'SMALL' THEN 'variable' ELSE 'enum' END AS kind, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN (p_partkey - p_partkey % 10)::VARCHAR END AS parent_fqn, (p_partkey + 2)::INT AS start_line, (p_partkey + 2 + p_size)::INT AS end_line FROM part), f AS (SELECT path, max(end_line) AS n FROM s GROUP BY path)"
+
+
+@query(f"""WITH {_SPANS}, c AS (SELECT path, parent_fqn AS fqn, min(start_line) AS m FROM s WHERE kind IN ('function', 'method', 'type', 'class', 'interface', 'enum') AND parent_fqn IS NOT NULL GROUP BY ALL),
+x AS (SELECT f.path, NULL AS fqn, 'module' AS kind, 1 AS first, least(min(s.start_line) - 1, 80, max(n)) AS last FROM f JOIN s ON s.path = f.path GROUP BY f.path HAVING least(min(s.start_line) - 1, 80, max(n)) >= 1
+UNION ALL SELECT path, fqn, kind, start_line, end_line FROM s WHERE kind IN ('function', 'method', 'type')
+UNION ALL SELECT s.path, s.fqn, kind, start_line, least(coalesce(m - 1, end_line), end_line) FROM s LEFT JOIN c ON c.path = s.path AND c.fqn = s.fqn WHERE kind IN ('class', 'interface', 'enum') AND least(coalesce(m - 1, end_line), end_line) >= start_line)
+SELECT 'r0' AS repo_id, path, fqn, kind, first::INT AS first, last::INT AS last FROM x""")
+def chunk_headers(spark, d):
+    part = table(spark, d, "part")
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in P.KINDS.items() for x in kv]), F.col("p_type"))
+    start = (F.col("p_partkey") + 2).cast("int")
+    parent = F.when(F.col("p_type").isin("ECONOMY", "STANDARD"), (F.col("p_partkey") - F.col("p_partkey") % 10).cast("string"))
+    symbols = part.select(F.lit(P.REPO).alias("repo_id"), F.col("p_brand").alias("path"), F.col("p_partkey").cast("string").alias("fqn"), kind.alias("kind"), parent.alias("parent_fqn"), start.alias("start_line"), (start + F.col("p_size")).cast("int").alias("end_line"))
+    return chunks.spans(symbols.groupBy("repo_id", "path").agg(F.max("end_line").alias("n_lines")), symbols)
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------------
+
+
+def _first_vector(spark, d):
+    return list(table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"])
+
+
+_COS = "q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), sc AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 5) AS score FROM embeddings, q), top AS (SELECT * FROM sc ORDER BY score DESC, vec_id LIMIT {k})"
+
+
+@query(f"WITH {_COS.format(k=10)} SELECT vec_id, score FROM top")
+def cosine_topk(spark, d):
+    return retrieval.cosine_topk(table(spark, d, "embeddings"), _first_vector(spark, d), 10, "vec_id").select("vec_id", "score")
+
+
+@query(f"WITH {_COS.format(k=10)}, {EDGES}, t AS (SELECT vec_id, score, (row_number() OVER (ORDER BY score DESC, vec_id) - 1)::INT AS rank FROM top) SELECT vec_id, score, rank, CASE WHEN rank < 3 THEN (SELECT count(DISTINCT src) FROM e WHERE dst = vec_id AND src <> vec_id) END AS n_callers, CASE WHEN rank < 3 THEN (SELECT count(DISTINCT dst) FROM e WHERE src = vec_id) END AS n_callees FROM t")
+def search_enriched(spark, d):
+    hits = retrieval.cosine_topk(table(spark, d, "embeddings"), _first_vector(spark, d), 10, "vec_id").select("vec_id", "score")
+    e = P.call_edges(spark, d)
+    callers = e.groupBy(F.col("dst").alias("n_id")).agg(F.count(F.lit(1)).alias("n_callers"))
+    callees = e.groupBy(F.col("src").alias("n_id")).agg(F.count(F.lit(1)).alias("n_callees"))
+    every = table(spark, d, "embeddings").select(F.col("vec_id").alias("n_id"))
+    near = every.join(callers, "n_id", "left").join(callees, "n_id", "left").na.fill(0)
+    return retrieval.enriched(hits, near, 3, "vec_id")
+
+
+_BM = """w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, len(w) AS n, {tf} FROM w), st AS (SELECT count(*) AS nd, avg(n) AS m, {df} FROM t),
+bm AS (SELECT doc_id, round({score}, 6) AS score FROM t, st WHERE {hit})"""
+
+
+def _bm_sql(words: list[str]) -> str:
+    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{q}')) AS tf{i}" for i, q in enumerate(words))
+    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(words)))
+    one = "CASE WHEN tf{0} > 0 THEN ln(1 + (nd - df{0} + 0.5) / (df{0} + 0.5)) * tf{0} * 2.2 / (tf{0} + 1.2 * (0.25 + 0.75 * n / m)) ELSE 0 END"
+    return _BM.format(tf=tf, df=df, score=" + ".join(one.format(i) for i in range(len(words))), hit=" OR ".join(f"tf{i} > 0" for i in range(len(words))))
+
+
+WORDS = ["license", "the", "und"]
+
+
+@query(f"WITH {_bm_sql(WORDS)} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10")
+def bm25_topk(spark, d):
+    return retrieval.bm25(table(spark, d, "documents"), WORDS).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE p_name = 'red widget'")
+def exact_symbol(spark, d):
+    return table(spark, d, "part").where("p_name = 'red widget'").select("p_partkey", "p_brand")
+
+
+
+
+@query("WITH n AS (SELECT DISTINCT p_name AS name, '  ' || lower(p_name) || ' ' AS p, '  red wigdet ' AS q FROM part), t AS (SELECT name, list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS a, list_distinct(list_transform(range(1, length(q) - 1), lambda i: substr(q, i, 3))) AS b FROM n), s AS (SELECT name, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 5) AS score FROM t) SELECT name, score FROM s WHERE score >= 0.3")
+def fuzzy_trigram(spark, d):
+    return retrieval.fuzzy(table(spark, d, "part").select(F.col("p_name").alias("name")), "red wigdet")
+
+
+@query("SELECT name, levenshtein(name, 'red wigdet')::INT AS distance FROM (SELECT DISTINCT p_name AS name FROM part) ORDER BY distance, name LIMIT 10")
+def levenshtein_topk(spark, d):
+    names = table(spark, d, "part").select(F.col("p_name").alias("name"))
+    return retrieval.edit_distance(names, "red wigdet").orderBy("distance", "name").limit(10)
+
+
+@query(f"WITH {_COS.format(k=5)}, {EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), x AS (SELECT vec_id AS id, score FROM top UNION ALL SELECT dst, score * 0.5 FROM top JOIN b ON src = vec_id) SELECT id, round(max(score), 6) AS score FROM x GROUP BY id")
+def graph_expand(spark, d):
+    seeds = retrieval.cosine_topk(table(spark, d, "embeddings"), _first_vector(spark, d), 5, "vec_id").select(F.col("vec_id").alias("id"), "score")
+    return retrieval.expand(seeds, P.call_edges(spark, d))
+
+
+@query(f"WITH {_COS.format(k=50)}, {_bm_sql(WORDS)}, a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM top), c AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 50)), x AS (SELECT id, 1.0 / (60 + rank) AS s FROM a UNION ALL SELECT id, 0.7 / (60 + rank) FROM c) SELECT id, round(sum(s), 8)::DOUBLE AS score FROM x GROUP BY id")
+def rrf_fuse(spark, d):
+    dense = retrieval.cosine_topk(table(spark, d, "embeddings"), _first_vector(spark, d), 50, "vec_id")
+    sparse = retrieval.bm25(table(spark, d, "documents"), WORDS)
+    return retrieval.fuse([(retrieval.ranked(dense, "vec_id", 50), 1.0), (retrieval.ranked(sparse, "doc_id", 50), 0.7)])
+
+
+@query(f"WITH {_COS.format(k=50)}, x AS (SELECT vec_id, score, row_number() OVER (ORDER BY (label = 3)::INT DESC, score DESC, vec_id) AS r FROM top) SELECT vec_id, score FROM x WHERE r <= 15")
+def rerank(spark, d):
+    hits = retrieval.cosine_topk(table(spark, d, "embeddings"), _first_vector(spark, d), 50, "vec_id")
+    return hits.orderBy(F.desc((F.col("label") == 3).cast("int")), F.desc("score"), "vec_id").limit(15).select("vec_id", "score")
+
+
+@query("SELECT conv_id, turn, used FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM conversations) WHERE used <= 1500")
+def context_budget(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("cost"))
+    return retrieval.within_budget(rows, "conv_id", "turn", "cost", 1500).select("conv_id", "turn", "used")
+
+
+@query(f"WITH {EDGES} SELECT dst AS id, 'called by ' || count(*) || ' symbols across ' || count(DISTINCT p_brand) || ' modules' AS line FROM e JOIN part ON p_partkey = src GROUP BY dst")
+def graph_oneliner(spark, d):
+    e = P.call_edges(spark, d).join(P.paths(spark, d).select(F.col("id").alias("src"), "path"), "src")
+    return e.groupBy(F.col("dst").alias("id")).agg(F.concat(F.lit("called by "), F.count(F.lit(1)).cast("string"), F.lit(" symbols across "), F.count_distinct("path").cast("string"), F.lit(" modules")).alias("line"))
+
+
+@query(f"WITH {_COS.format(k=50)}, r AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM top), g AS (SELECT vec_id FROM embeddings WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0)), f AS (SELECT count(*) FILTER (rank <= 10) AS found, min(rank) AS first FROM r JOIN g USING (vec_id)) SELECT 0 AS query, round(coalesce(found, 0) / (SELECT count(*) FROM g), 6) AS recall, round(coalesce(1 / first, 0), 6) AS reciprocal_rank FROM f")
+def recall_at_k(spark, d):
+    vectors = table(spark, d, "embeddings")
+    hits = retrieval.ranked(retrieval.cosine_topk(vectors, _first_vector(spark, d), 50, "vec_id"), "vec_id", 50).withColumn("query", F.lit(0))
+    own = vectors.where("vec_id = 0").select(F.col("label"))
+    relevant = vectors.join(own, "label", "left_semi").select(F.lit(0).alias("query"), F.col("vec_id").alias("id"))
+    return retrieval.recall_at(hits, relevant, 10)
+
+
+@query("SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+') AS anchors FROM documents WHERE text LIKE '%@%'")
+def anchors(spark, d):
+    docs = table(spark, d, "documents").where(F.col("text").contains("@"))
+    return docs.select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z0-9._-]+@[A-Za-z0-9.-]+"), F.lit(0)).alias("anchors"))
+
+
+# --- logs ------------------------------------------------------------------------------------------------------------
+
+_DAILY = "dy AS (SELECT fingerprint, (us // 86400000000)::BIGINT AS day, count(*) AS events FROM ev GROUP BY ALL)"
+
+
+@query("SELECT regexp_replace(url, '[0-9]+', '{*}', 'g') AS template, count(*) AS occurrences FROM pages GROUP BY 1")
+def log_template(spark, d):
+    return logs.templates(table(spark, d, "pages"), "url")
+
+
+@query(f"WITH {EV} SELECT fingerprint, min(us) AS first_us, max(us) AS last_us, count(*) AS occurrences, arg_min(event_id, (us, event_id)) AS sample_event_id FROM ev GROUP BY 1")
+def fingerprint_rollup(spark, d):
+    return logs.rollup(P.events(spark, d))
+
+
+@query(f"WITH {EV}, x AS (SELECT fingerprint, service, unnest([us - us % 900000000 - i * 900000000 FOR i IN range(4)]) AS start_us FROM ev) SELECT fingerprint, service, start_us, count(*) AS events FROM x GROUP BY ALL")
+def sliding_rate(spark, d):
+    return logs.sliding_rate(P.events(spark, d), ["fingerprint", "service"])
+
+
+_EWMA = "z AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY day) AS r FROM dy), bl AS (WITH RECURSIVE b(fingerprint, r, m) AS (SELECT fingerprint, 2, events::DOUBLE FROM z WHERE r = 1 UNION ALL SELECT b.fingerprint, b.r + 1, b.m * 0.7 + z.events * 0.3 FROM b JOIN z ON z.fingerprint = b.fingerprint AND z.r = b.r) SELECT * FROM b), base AS (SELECT z.fingerprint, z.day, z.events::DOUBLE AS events, round(m, 6) AS baseline FROM z LEFT JOIN bl ON bl.fingerprint = z.fingerprint AND bl.r = z.r)"
+
+
+@query(f"WITH {EV}, {_DAILY}, {_EWMA} SELECT * FROM base")
+def ewma_baseline(spark, d):
+    return logs.ewma(logs.daily(P.events(spark, d), ["fingerprint"]), ["fingerprint"], "day", "events")
+
+
+@query(f"WITH {EV}, {_DAILY}, {_EWMA} SELECT * FROM base WHERE events > 1.1 * baseline")
+def burst(spark, d):
+    return logs.bursts(logs.ewma(logs.daily(P.events(spark, d), ["fingerprint"]), ["fingerprint"], "day", "events"), "events", 1.1)
+
+
+_SINCE = 1704067200000000 + 5 * 86400000000
+
+
+@query(f"WITH {EV} SELECT service, fingerprint, min(us) AS first_us FROM ev GROUP BY ALL HAVING min(us) >= {_SINCE}")
+def novelty(spark, d):
+    return logs.novel(P.events(spark, d), ["service", "fingerprint"], _SINCE)
+
+
+@query(f"WITH {EV}, x AS (SELECT service, us AS from_us, lead(us) OVER (PARTITION BY service ORDER BY us, event_id) AS to_us FROM ev) SELECT * FROM x WHERE to_us - from_us > 86400000000")
+def absence(spark, d):
+    return logs.absences(P.events(spark, d), "service", 24 * logs.HOUR)
+
+
+@query(f"WITH {EV}, x AS (SELECT *, CASE WHEN us - lag(us) OVER w <= 21600000000 THEN 0 ELSE 1 END AS n FROM ev WINDOW w AS (PARTITION BY service ORDER BY us, event_id)), y AS (SELECT *, sum(n) OVER (PARTITION BY service ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS incident FROM x) SELECT service, incident, min(us) AS start_us, max(us) AS end_us, count(*) AS events FROM y GROUP BY ALL")
+def incident_group(spark, d):
+    return logs.incidents(P.events(spark, d), "service", 6 * logs.HOUR)
+
+
+@query(f"WITH {EV}, x AS (SELECT lag(fingerprint) OVER (PARTITION BY service ORDER BY us, event_id) AS before, fingerprint AS after FROM ev) SELECT before, after, count(*) AS n FROM x WHERE before IS NOT NULL GROUP BY ALL")
+def incident_transitions(spark, d):
+    return logs.transitions(P.events(spark, d), "service", "fingerprint")
+
+
+@query(f"WITH {EV}, m AS (SELECT service, us, event_id AS marker_id FROM ev WHERE fingerprint = 'signup') SELECT a.event_id, a.service, a.us, m.marker_id FROM (SELECT * FROM ev WHERE fingerprint = 'error') a ASOF LEFT JOIN m ON a.service = m.service AND a.us >= m.us")
+def deploy_asof(spark, d):
+    e = P.events(spark, d)
+    return logs.as_of(e.where("fingerprint = 'error'"), e.where("fingerprint = 'signup'").select("service", "us", F.col("event_id").alias("marker_id")), "service")
+
+
+@query(f"WITH {EV}, m AS (SELECT max(us) AS now FROM ev) SELECT CASE WHEN us >= now - 10 * 86400000000 THEN 'hot' ELSE 'archive' END AS tier, count(*) AS n FROM ev, m GROUP BY 1")
+def retention_split(spark, d):
+    e = P.events(spark, d)
+    now = e.agg(F.max("us")).first()[0]
+    return logs.split_retention(e, now or 0, 10).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- product -----------------------------------------------------------------------------------------------------------
+
+_ROLE = "CASE c_mktsegment WHEN 'BUILDING' THEN 'owner' WHEN 'MACHINERY' THEN 'admin' WHEN 'AUTOMOBILE' THEN 'engineer' ELSE 'viewer' END"
+
+
+@query(f"SELECT c_custkey, {_ROLE} AS role FROM customer WHERE {_ROLE} IN ('owner', 'admin')")
+def role_filter(spark, d):
+    role = F.when(F.col("c_mktsegment") == "BUILDING", "owner").when(F.col("c_mktsegment") == "MACHINERY", "admin").when(F.col("c_mktsegment") == "AUTOMOBILE", "engineer").otherwise("viewer")
+    return product.allowed(table(spark, d, "customer").select("c_custkey", role.alias("role")), "admin")
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def tenant_join3(spark, d):
+    c, n, r = (table(spark, d, x) for x in ("customer", "nation", "region"))
+    return c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select("c_custkey", "n_name", "r_name")
+
+
+@query("SELECT o_orderkey, c_custkey, n_name, r_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderstatus <> 'P' AND o_orderdate >= TIMESTAMP '1995-01-01'")
+def session_join4(spark, d):
+    o = table(spark, d, "orders").withColumn("revoked_at", F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate"))).withColumn("expires_at", F.col("o_orderdate"))
+    live = product.live_sessions(o, F.to_timestamp_ntz(F.lit("1995-01-01 00:00:00"), F.lit("yyyy-MM-dd HH:mm:ss")))
+    return live.join(tenant_join3(spark, d), live["o_custkey"] == F.col("c_custkey")).select("o_orderkey", "c_custkey", "n_name", "r_name")
+
+
+@query(f"WITH {EV} SELECT service, fingerprint, count(*) AS actions, min(us) AS first_us, max(us) AS last_us FROM ev GROUP BY ALL")
+def audit_rollup(spark, d):
+    return product.audit_rollup(P.events(spark, d), ["service", "fingerprint"])
+
+
+@query("SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN 0 ELSE length(text) END)::BIGINT AS prompt_tokens, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS completion_tokens, sum(length(text))::BIGINT AS total_tokens FROM conversations GROUP BY 1")
+def token_rollup(spark, d):
+    answer = F.col("role") == "assistant"
+    use = table(spark, d, "conversations").select("conv_id", F.when(answer, 0).otherwise(F.length("text")).alias("prompt_tokens"), F.when(answer, F.length("text")).otherwise(0).alias("completion_tokens"))
+    return product.token_rollup(use, ["conv_id"])
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'renamed' ELSE p_name END AS p_name, p_brand FROM part")
+def partial_update(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    new = part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "renamed").alias("p_name"))
+    return product.partial_update(part, new, "p_partkey", ["p_name"])
+
+
+@query("SELECT event_id, 'projects' || user_id AS resource_type FROM events")
+def audit_resource(spark, d):
+    url = F.concat(F.lit("https://h/api/v1/projects"), F.col("user_id").cast("string"), F.lit("/x?y=1"))
+    return table(spark, d, "events").select("event_id", S.resource_type(url).alias("resource_type"))
+
+
+@query("SELECT p_brand, count(*) AS n, 'p,q' AS missing FROM part GROUP BY 1")
+def required_models(spark, d):
+    """Which required names are missing from the available ones; a name without a tag means its latest."""
+    tagged = lambda x: F.when(x.contains(":"), x).otherwise(F.concat(x, F.lit(":latest")))
+    need, have = (F.array(*[F.lit(x) for x in xs]) for xs in (["a", "p", "q"], ["a:latest", "b:1"]))
+    missing = F.array_except(F.transform(need, tagged), have)
+    part = table(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return part.withColumn("missing", F.array_join(F.transform(missing, lambda x: F.regexp_replace(x, ":latest$", "")), ","))
