@@ -158,21 +158,26 @@ def normal(text: Column) -> Column:
     return F.concat(F.lit(" "), F.ltrim(flat), F.when(F.trim(flat) == "", F.lit("")).when(F.endswith(flat, F.lit(" ")), F.lit("")).otherwise(F.lit(" ")))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once; inside a lambda a column is computed anew wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
 
 def folded(items: Column, state: Column, kind: str, step, emit) -> Column:
-    """All ``emit(state, item)`` that aren't null, in order, while ``step`` carries the state on; appends to blocks."""
+    """All ``emit(state, item)`` that aren't null, in order, while ``step`` carries the state on; appends to blocks. ``items`` is bound already."""
     empty = F.array().cast(f"array<{kind}>")
 
     def inner(acc, x):
         value = emit(acc["state"], x)
-        return F.struct(step(acc["state"], x).alias("state"), F.when(value.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(value))).alias("out"))
+        return F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.filter(F.array(value), lambda v: v.isNotNull())).alias("out"))
 
     def outer(acc, k):
         part = F.aggregate(F.slice(items, k * BLOCK + 1, BLOCK), F.struct(acc["state"].alias("state"), empty.alias("out")), inner)
-        return F.struct(part["state"].alias("state"), F.concat(acc["out"], F.array(part["out"])).alias("out"))
+        return let(part, lambda p: F.struct(p["state"].alias("state"), F.concat(acc["out"], F.array(p["out"])).alias("out")))
 
     blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
     folded = F.aggregate(blocks, F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), outer, lambda acc: F.flatten(acc["out"]))
@@ -183,23 +188,26 @@ DETECTION = "struct<s:int,ne:int,np:int,rule:int,label:string>"
 
 
 def detections(norm: Column, signatures: list[Rule]) -> Column:
-    """All detections, sorted: first word s, -(word after the last) ne, -priority np, number of the rule, label."""
-    found = F.regexp_extract_all(norm, F.lit(f" ({'|'.join(keywords(signatures))})(?= )"), F.lit(1))
-    found = F.array_distinct(F.transform(found, lambda w: F.when(w == "licence", F.lit("license")).otherwise(w)))
+    """All detections, sorted: first word s, -(word after the last) ne, -priority np, number of the rule, label. ``norm`` is bound already."""
+    occurring = F.regexp_extract_all(norm, F.lit(f" ({'|'.join(keywords(signatures))})(?= )"), F.lit(1))
+    occurring = F.array_distinct(F.transform(occurring, lambda w: F.when(w == "licence", F.lit("license")).otherwise(w)))
     table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.keyword).alias("keyword"), F.lit(f" {r.pattern}(?= )").alias("pattern"), F.lit(-r.priority).alias("np"), F.lit(r.label).alias("label")) for i, r in enumerate(signatures)])
+    none = F.array().cast(f"array<{DETECTION}>")
 
     def places(rule):
-        hits = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
-        pairs = F.arrays_zip(F.split(norm, rule["pattern"], -1).alias("before"), hits.alias("hit"))
-
-        def located(p):  # hits are one fewer than the parts between them
+        def located(hits):  # the parts between hits are one more
             step = lambda at, x: at + spaces(x["before"]) + spaces(x["hit"])
-            emit = lambda at, x: F.struct((at + spaces(x["before"])).alias("s"), (-(at + spaces(x["before"]) + spaces(x["hit"]))).alias("ne"), rule["np"].alias("np"), rule["rule"].alias("rule"), rule["label"].alias("label"))
-            return folded(F.slice(p, 1, F.size(hits)), F.lit(0), DETECTION, step, emit)
 
-        return F.when(F.size(hits) > 0, located(pairs)).otherwise(F.array().cast(f"array<{DETECTION}>"))
+            def emit(at, x):
+                return let(at + spaces(x["before"]), lambda s: F.struct(s.alias("s"), (-(s + spaces(x["hit"]))).alias("ne"), rule["np"].alias("np"), rule["rule"].alias("rule"), rule["label"].alias("label")))
+
+            pairs = F.arrays_zip(F.slice(F.split(norm, rule["pattern"], -1), F.lit(1), F.size(hits)).alias("before"), hits.alias("hit"))
+            return F.when(F.size(hits) > 0, let(pairs, lambda p: folded(p, F.lit(0), DETECTION, step, emit))).otherwise(none)
+
+        return let(F.regexp_extract_all(norm, rule["pattern"], F.lit(0)), located)
 
-    return F.array_sort(F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(found, r["keyword"])), places)))
+    tried = let(occurring, lambda words: F.filter(table, lambda r: F.array_contains(words, r["keyword"])))
+    return F.array_sort(F.flatten(F.transform(tried, places)))
 
 
 def resolved(found: Column) -> Column:
@@ -219,9 +227,9 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit(""))
     some = raw.rlike(f"(?i)(?<![0-9a-z])(?:{'|'.join(keywords(signatures))})(?![0-9a-z])")
     none = F.array().cast(f"array<{DETECTION}>")
-    out = docs.withColumn("n_words", F.regexp_count(raw, F.lit(WORD)).cast("long")).withColumn("_norm", F.when(some, normal(raw)))
-    out = out.withColumn("found", F.when(F.col("_norm").isNotNull(), detections(F.col("_norm"), signatures)).otherwise(none))
-    return out.withColumn("kept", F.when(F.size("found") > 0, resolved(F.col("found"))).otherwise(none)).drop("_norm")
+    both = lambda f: F.struct(f.alias("found"), F.when(F.size(f) > 0, resolved(f)).otherwise(none).alias("kept"))
+    scanned = F.when(some, let(normal(raw), lambda norm: let(detections(norm, signatures), both))).otherwise(F.struct(none.alias("found"), none.alias("kept")))
+    return docs.withColumn("n_words", F.regexp_count(raw, F.lit(WORD)).cast("long")).withColumn("_s", scanned).withColumn("found", F.col("_s.found")).withColumn("kept", F.col("_s.kept")).drop("_s")
 
 
 def report(scanned: DataFrame) -> DataFrame:

@@ -112,11 +112,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, mode: str = "frequent") -> DataFrame:
     """``docs``, with its columns, without the dropped lines; n_chars, if there is such a column, follows the text."""
-    out = deduped(docs, min_docs, mode)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    out = deduped(packed, min_docs, mode)
     new = {"text": F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("_kept"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_bitmap").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("_bitmap").isNull(), F.col("_in.n_chars")).otherwise(F.char_length("_kept").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[new.get(c, F.col(f"_in.`{c}`")).alias(c) for c in docs.columns])
 
 
 OP4_SQL = r"""

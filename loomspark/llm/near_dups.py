@@ -309,8 +309,8 @@ def one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with its columns, without those that another document of their group stands for."""
     found = common.saved(groups(docs.select("doc_id", "text"), n, percent), "groups")
     gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    rows = docs.withColumn("_t", F.xxhash64("text"))
-    return rows.join(gone, (F.col("_t") == F.col("_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti").drop("_t")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), F.xxhash64("text").alias("_t"), F.col("doc_id").cast("long").alias("_d"))
+    return rows.join(gone, (F.col("_t") == F.col("_th")) & F.col("_d").eqNullSafe(F.col("_id")), "left_anti").select("_in.*")
 
 
 OP7_SQL = r"""
