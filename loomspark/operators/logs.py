@@ -87,3 +87,17 @@ def as_of(events: DataFrame, markers: DataFrame, key: str) -> DataFrame:
 
 def split_retention(events: DataFrame, now_us: int, days: int = 30) -> DataFrame:
     return events.withColumn("tier", F.when(F.col("us") >= now_us - days * 24 * HOUR, "hot").otherwise("archive"))
+
+
+def token_templates(lines: DataFrame, text: str) -> DataFrame:
+    """Templates by number of tokens and first token: a place where the lines of a group differ is ``{*}``.
+
+    Digits are masked first. Each group is reduced to the least and greatest token of each place, by partial aggregation,
+    so a group of any size is a few rows.
+    """
+    tokens = F.split(mask(F.col(text)), "[ /]")
+    parts = lines.where(F.col(text).isNotNull()).select(F.size(tokens).alias("n"), F.element_at(tokens, 1).alias("first"), F.posexplode(tokens).alias("pos", "token"))
+    places = parts.groupBy("n", "first", "pos").agg(F.min("token").alias("a"), F.max("token").alias("b"), F.count(F.lit(1)).alias("c"))
+    token = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("{*}")
+    whole = places.groupBy("n", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", token.alias("t")))), lambda x: x["t"]), " ").alias("template"), F.max("c").alias("occurrences"))
+    return whole.select("template", "n", "occurrences")

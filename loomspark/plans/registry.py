@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import chunks, graph, incremental, logs, product, retrieval, traverse
+from ..operators import chunks, embedding, graph, incremental, logs, product, retrieval, traverse
 from ..sources.tables import table
 from . import proxies as P
 
@@ -531,3 +531,39 @@ def required_models(spark, d):
     missing = F.array_except(F.transform(need, tagged), have)
     part = table(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
     return part.withColumn("missing", F.array_join(F.transform(missing, lambda x: F.regexp_replace(x, ":latest$", "")), ","))
+
+
+@query("""WITH t AS (SELECT regexp_split_to_array(regexp_replace(url, '[0-9]+', '{*}', 'g'), '[ /]') AS t FROM pages),
+p AS (SELECT len(t) AS n, t[1] AS first, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM t),
+q AS (SELECT n, first, pos, CASE WHEN min(token) = max(token) THEN min(token) ELSE '{*}' END AS token, count(*) AS c FROM p GROUP BY ALL)
+SELECT string_agg(token, ' ' ORDER BY pos) AS template, n::INT AS n, max(c) AS occurrences FROM q GROUP BY n, first""")
+def log_token_templates(spark, d):
+    return logs.token_templates(table(spark, d, "pages"), "url")
+
+
+@query()
+def semantic_search(spark, d):
+    p = embedding.provider("hash", dimension=64)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return embedding.search(embedding.embedded(docs, p), "apache license", p).select("id", "score")
+
+
+@query(f"""WITH RECURSIVE {EDGES}, w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS c FROM e)
+SELECT dst AS id, round(sum(c), 6) AS weighted_callers FROM w GROUP BY dst""")
+def weighted_callers(spark, d):
+    """Callers of each symbol, each weighted by the share of its calls."""
+    e = P.call_edges(spark, d)
+    n = e.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    return e.join(n, "src").groupBy(F.col("dst").alias("id")).agg(F.round(F.sum(F.lit(1.0) / F.col("n")), 6).alias("weighted_callers"))
+
+
+@query("""SELECT o_orderpriority AS kind, o_orderstatus AS status, count(*) AS jobs, count(*) FILTER (o_totalprice > 250000) AS large, min(o_orderkey) AS first_job FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)""")
+def jobs_rollup(spark, d):
+    return table(spark, d, "orders").rollup(F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("o_totalprice") > 250000).alias("large"), F.min("o_orderkey").alias("first_job"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE (c_name, c_custkey) > ('Customer#000000050', 50) ORDER BY c_name, c_custkey LIMIT 20")
+def keyset_page(spark, d):
+    """The page after a cursor (name, id)."""
+    after = (F.col("c_name") > "Customer#000000050") | ((F.col("c_name") == "Customer#000000050") & (F.col("c_custkey") > 50))
+    return table(spark, d, "customer").where(after).orderBy("c_name", "c_custkey").limit(20).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
