@@ -115,6 +115,11 @@ def scrub(text: Column) -> Column:
     return text
 
 
-def redact(attributes: Column, keys: tuple[str, ...] = ("password", "token", "secret", "authorization", "api_key")) -> Column:
+#: Keys whose values are replaced, whatever their case, and what replaces them.
+SENSITIVE_KEYS = ("authorization", "password", "token", "secret", "cookie", "api_key")
+REDACTED = "[REDACTED]"
+
+
+def redact(attributes: Column, keys: tuple[str, ...] = SENSITIVE_KEYS) -> Column:
     """Values of sensitive keys of a map replaced."""
-    return F.transform_values(attributes, lambda k, v: F.when(F.lower(k).isin(list(keys)), F.lit("[redacted]")).otherwise(v))
+    return F.transform_values(attributes, lambda k, v: F.when(F.lower(k).isin(list(keys)), F.lit(REDACTED)).otherwise(v))

@@ -104,7 +104,7 @@ def risk_buckets(spark, d):
     return table(spark, d, "part").select("p_partkey", S.risk_bucket(F.col("p_size") / 50.0).alias("bucket"), S.problem_code(F.col("p_name")).alias("code"))
 
 
-@query("SELECT event_id, '{\"token\":\"[redacted]\",\"kind\":\"' || event_type || '\"}' AS attributes FROM events")
+@query("SELECT event_id, '{\"token\":\"[REDACTED]\",\"kind\":\"' || event_type || '\"}' AS attributes FROM events")
 def redact_keys(spark, d):
     attributes = F.create_map(F.lit("token"), F.col("props"), F.lit("kind"), F.col("event_type"))
     return table(spark, d, "events").select("event_id", F.to_json(S.redact(attributes)).alias("attributes"))

@@ -11,10 +11,10 @@ from loomspark.plans import index
 from loomspark.sources import files as sources
 from loomspark.streaming import logs as streaming
 
-CORE = "class Ledger:\n    def post(self, x):\n        return record(x)\n\n\ndef record(x):\n    return x\n"
-PAYMENT = "import billing.core\n\n\nclass PaymentService(Ledger):\n    def settle(self, x):\n        return self.ledger.post(x)\n"
-APP = "import billing.payment\n\n\ndef main():\n    s = PaymentService()\n    s.settle(1)\n"
-APP2 = "import billing.payment\n\n\ndef main():\n    s = PaymentService()\n"
+SOIL = "class Bed:\n    def plant(self, seed):\n        return water(seed)\n\n\ndef water(seed):\n    return seed\n"
+GARDEN = "import plots.soil\n\n\nclass RaisedBed(Bed):\n    def sow(self, seed):\n        return self.plot.plant(seed)\n"
+APP = "import plots.garden\n\n\ndef main():\n    b = RaisedBed()\n    b.sow(1)\n"
+APP2 = "import plots.garden\n\n\ndef main():\n    b = RaisedBed()\n"
 ROWS = "repo_id string, path string, language string, content binary, content_hash string"
 
 
@@ -42,25 +42,25 @@ def impact_of(spark, ix, path, fqn, depth=3):
 
 
 def test_full_and_incremental(spark):
-    ix = index.full(tree(spark, billing__core=CORE, billing__payment=PAYMENT, app=APP))
+    ix = index.full(tree(spark, plots__soil=SOIL, plots__garden=GARDEN, app=APP))
     assert stats(ix) == {"files": 3, "symbols": 9, "calls": 3, "unresolved_calls": 1}
-    assert {(r.src_fqn, r.dst_fqn) for r in ix.calls.collect()} == {("Ledger.post", "record"), ("PaymentService.settle", "Ledger.post"), ("main", "PaymentService.settle")}
-    assert [(r.src_fqn, r.type, r.dst_fqn) for r in ix.inheritance.collect()] == [("PaymentService", "INHERITS", "Ledger")]
+    assert {(r.src_fqn, r.dst_fqn) for r in ix.calls.collect()} == {("Bed.plant", "water"), ("RaisedBed.sow", "Bed.plant"), ("main", "RaisedBed.sow")}
+    assert [(r.src_fqn, r.type, r.dst_fqn) for r in ix.inheritance.collect()] == [("RaisedBed", "INHERITS", "Bed")]
     assert ix.imports.count() == 2
-    r = impact_of(spark, ix, "billing/core.py", "Ledger.post")
+    r = impact_of(spark, ix, "plots/soil.py", "Bed.plant")
     assert (r.dependent_count, r.cross_file_count, r.risk_score) == (2, 2, 0.08)
-    roots = spark.createDataFrame([(ident("billing/payment.py", "PaymentService.settle"),)], "root string")
+    roots = spark.createDataFrame([(ident("plots/garden.py", "RaisedBed.sow"),)], "root string")
     found = {(r.node.split("\x1f")[2], r.direction) for r in traverse.neighborhood(ix.call_edges(), roots, 2).collect()}
-    assert found == {("Ledger.post", "callee"), ("record", "callee"), ("main", "caller")}
+    assert found == {("Bed.plant", "callee"), ("water", "callee"), ("main", "caller")}
 
-    files = tree(spark, billing__core=CORE, billing__payment=PAYMENT, app=APP2)
+    files = tree(spark, plots__soil=SOIL, plots__garden=GARDEN, app=APP2)
     ix2, changes = index.incremental(ix, files)
     assert [(r.path, r.change) for r in changes.collect()] == [("app.py", "changed")]
     assert stats(ix2) == {"files": 3, "symbols": 9, "calls": 2, "unresolved_calls": 1} and edges(ix2) == edges(index.full(files))
-    r = impact_of(spark, ix2, "billing/core.py", "Ledger.post")
+    r = impact_of(spark, ix2, "plots/soil.py", "Bed.plant")
     assert (r.dependent_count, r.cross_file_count, r.risk_score) == (1, 1, 0.04)
 
-    files = tree(spark, billing__core=CORE, billing__payment=PAYMENT)
+    files = tree(spark, plots__soil=SOIL, plots__garden=GARDEN)
     ix3, changes = index.incremental(ix2, files)
     assert [(r.path, r.change) for r in changes.collect()] == [("app.py", "deleted")]
     assert stats(ix3) == {"files": 2, "symbols": 7, "calls": 2, "unresolved_calls": 0} and edges(ix3) == edges(index.full(files))
@@ -88,13 +88,13 @@ def test_cycles_depth_and_empty_repo(spark):
 
 
 def test_chunks(spark):
-    text = '"""Doc."""\nimport os\n\n\n\nclass P:\n    """X."""\n\n    retries = 3\n\n    def settle(self):\n        a = 1\n        return a\n\n    def refund(self):\n        return 2\n\n\ndef audit():\n    return 3\n'
+    text = "import math\n\nSIZE = 3\n\nclass Shape:\n    \"\"\"A shape.\"\"\"\n    sides = 0\n\n    def area(self):\n        r = 2\n        return math.pi * r\n\n    def name(self):\n        return 'shape'\n\n\ndef total(shapes):\n    return sum(s.area() for s in shapes)\n"
     files = spark.createDataFrame([("r", "p.py", "python", text), ("r", "empty.py", "python", ""), ("r", "plain.py", "python", "\n".join(f"x{i}()" for i in range(100)))], "repo_id string, path string, language string, text string")
     ix = index.full(files.withColumn("content", F.encode("text", "UTF-8")).withColumn("content_hash", F.sha2("content", 256)))
     got = chunks.chunks(files, ix.symbols).collect()
     own = {(r.fqn, r.kind): (r.start_line, r.end_line) for r in got if r.path == "p.py"}
-    assert own == {(None, "module"): (1, 5), ("P", "class"): (6, 10), ("P.settle", "method"): (11, 13), ("P.refund", "method"): (15, 16), ("audit", "function"): (19, 20)}
-    assert next(r for r in got if r.fqn == "P.settle").text.startswith("p.py:11-13 method P.settle\n    def settle")
+    assert own == {(None, "module"): (1, 2), ("Shape", "class"): (5, 8), ("Shape.area", "method"): (9, 11), ("Shape.name", "method"): (13, 14), ("total", "function"): (17, 18)}
+    assert next(r for r in got if r.fqn == "Shape.area").text.startswith("p.py:9-11 method Shape.area\n    def area")
     assert {(r.start_line, r.end_line) for r in got if r.path == "plain.py"} == {(1, 80)}
     assert not [r for r in got if r.path == "empty.py"] and len({r.id for r in got}) == len(got)
 
