@@ -38,3 +38,23 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+
+
+def run_states(stream: DataFrame, key: str, order: list[str], state: str, path: str, checkpoint: str) -> None:
+    """Keeps the last state of each key: every batch merges what it brings into the version before, and ends when all is read.
+
+    Version n is written by batch n alone and replaced if that batch runs again, so a restart repeats nothing.
+    """
+
+    def merge(batch: DataFrame, n: int) -> None:
+        rows = batch.select(key, F.struct(*order).alias("_at"), F.col(state).alias("_state"))
+        if n:
+            old = batch.sparkSession.read.parquet(f"{path}/version={n - 1}")
+            rows = rows.unionByName(old.select(key, F.struct(*order).alias("_at"), F.col(state).alias("_state")))
+        last = rows.groupBy(key).agg(F.max(F.struct("_at", "_state")).alias("_x"))
+        last.select(key, "_x._at.*", F.col("_x._state").alias(state)).write.mode("overwrite").parquet(f"{path}/version={n}")
+
+    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()

@@ -163,3 +163,12 @@ def test_streams_equal_batch(spark, data, tmp_path):
     assert got == want
     streaming.run_available(streaming.first_seen(stream(), ["event_type"]).select("event_type"), str(tmp_path / "o3"), str(tmp_path / "c3"))
     assert spark.read.parquet(str(tmp_path / "o3")).distinct().count() == batch.select("fingerprint").distinct().count()
+
+
+def test_stream_of_states_equals_fold(spark, data, tmp_path):
+    raw = spark.read.parquet(f"{data}/events.parquet")
+    raw.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streaming.run_states(stream, "user_id", ["ts", "event_id"], "event_type", str(tmp_path / "s"), str(tmp_path / "c"))
+    got = {(r.user_id, r.event_type) for r in spark.read.parquet(str(tmp_path / "s" / "version=3")).collect()}
+    assert got == {(r.user_id, r.event_type) for r in incremental.fold_states(raw, "user_id", ["ts", "event_id"], "event_type").collect()}
