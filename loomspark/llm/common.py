@@ -5,11 +5,13 @@ Nothing here swallows an import error, and nothing outside ``llm`` imports it.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +62,33 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def trim() -> None:
+    """Gives memory that Python and Arrow have freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
+
+
+def tidy(run, *caches):
+    """``run`` for mapInArrow, giving memory back when a task ends; what ``caches`` hold is dropped before."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for drop in caches:
+                drop()
+            trim()
+
+    return wrapped
+
+
+def spread(df: DataFrame, rows: int, per: int) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` (at most so many it has) of ``per`` each need, so that small tables are few files."""
+    return df.coalesce(max(1, -(-rows // per)))
+
+
 def held_out(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text divides by ``mod``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(mod) == 0, F.lit(False))
