@@ -99,13 +99,15 @@ SENTENCES = (
     ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy", "permission"),
     ("commons-clause", "commons clause licen[sc]e condition", "clause"),
 )
+#: The label of hints at a license that isn't named; it stands only where no other label is found.
+UNKNOWN = "unknown"
 #: label, hint, keyword.
 HINTS = (
     ("proprietary", "all rights reserved", "reserved"),
     ("public-domain", "(released|placed|dedicated)( in)?to the public domain", "domain"),
     ("unlicense", "unlicense", "unlicense"),
-    ("unknown", "(licensed|released|distributed|available) under( the)?( terms of)?( the)?( \\S+){1,3} licen[sc]e", "under"),
-    ("unknown", "see( the)? licen[sc]e( file)?", "see"),
+    (UNKNOWN, "(licensed|released|distributed|available) under( the)?( terms of)?( the)?( \\S+){1,3} licen[sc]e", "under"),
+    (UNKNOWN, "see( the)? licen[sc]e( file)?", "see"),
 )
 
 
@@ -245,7 +247,7 @@ def report(scanned: DataFrame) -> DataFrame:
         F.array_min(F.transform("_base", lambda d: d["s"])).cast("long").alias("first_word"),
         F.array_max(F.transform("_base", lambda d: d["s"])).cast("long").alias("last_word"),
         names(labels(F.col("_base"))).alias("base_labels"),
-        names(F.concat(labels(F.col("_base")), labels(F.col("kept")))).alias("labels"),
+        names(let(F.concat(labels(F.col("_base")), labels(F.col("kept"))), lambda x: F.when(F.size(F.array_remove(x, UNKNOWN)) > 0, F.array_remove(x, UNKNOWN)).otherwise(x))).alias("labels"),
         reduce(lambda c, x: c.when(best == x[0], F.lit(x[1])), ((2, 0.9), (1, 0.5)), F.when(best == 3, F.lit(1.0))).otherwise(F.lit(0.0)).alias("score"),
     )
 
