@@ -18,18 +18,25 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node, comp (its component's smallest node) of all nodes of edges (a, b); edges to itself are ignored.
+#: Edges in a file.
+PER = 500_000
+
+
+def components(edges: DataFrame, rows: int, most: int = 60) -> DataFrame:
+    """node, comp (its component's smallest node) of all nodes of edges (a, b), about ``rows`` at most; edges to itself are ignored.
 
     Each round is written to the shared folder, and only its row count and a hash sum reach the driver.
     """
-    now = common.saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    now = common.saved(common.spread(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows, PER), "edges")
+    seen, n = None, now.count()
     for _ in range(most):
-        now = common.saved(_stars(now), "edges")
+        if not n:
+            break
+        now = common.saved(common.spread(_stars(now), 2 * n, PER), "edges")
         r = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if (r["n"], r["h"]) == seen or not r["n"]:
+        if (r["n"], r["h"]) == seen:
             break
+        n = r["n"]
         seen = (r["n"], r["h"])
     else:
         raise RuntimeError(f"no fixed point after {most} rounds")

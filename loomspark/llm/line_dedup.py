@@ -59,7 +59,7 @@ def dropped_bits(docs: DataFrame, min_docs: int = MIN_DOCS, mode: str = "frequen
     # ranges already hold a hash's rows of one document together: no exchange here
     per_doc = ranged.groupBy("h1", "h2", "doc").agg(F.min(F.struct("pos", "a", "b")).alias("first"))
     keys = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc", "first.pos", "first.a", "first.b")).alias("first")).where(F.col("docs") >= min_docs)
-    keys = common.saved(keys, "line-keys")
+    keys = common.saved(common.spread(keys, n, 1_000_000), "line-keys")
     hot = keys.where(F.col("docs") > n / HOT)
     rest = keys.where(F.col("docs") <= n / HOT)
     at = ["a", "b", "doc", "pos", "h1", "h2"]

@@ -36,7 +36,7 @@ SLACK = 0.23
 BLOCK = 512
 #: Shingles of full sets in one block.
 BLOCK_SHINGLES = 400_000
-#: Up to so many ids (8 bytes each) are broadcast to pick the families' texts; beyond, the texts are joined by shuffle.
+#: Up to so many classes (32 bytes each) are broadcast to pick the families' texts; beyond, the texts are joined by shuffle.
 MOST_IDS = 500_000
 _SIGN = np.uint64(1 << 63)
 
@@ -78,7 +78,7 @@ def digests(docs: DataFrame, n: int, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), lists], ["doc_id", "th", "n_shingles", "sig", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, n_shingles long, sig binary, sketch array<long>")
+    return rows.mapInArrow(common.tidy(run), "doc_id long, th long, n_shingles long, sig binary, sketch array<long>")
 
 
 def listed(classes: DataFrame, percent: int) -> DataFrame:
@@ -205,7 +205,7 @@ def compare_lists(members: DataFrame, percent: int, k: int = K) -> DataFrame:
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    return members.select("v", "i", "j", "own", "c", "fam", "n", "sketch").mapInArrow(run, "a long, b long")
+    return members.select("v", "i", "j", "own", "c", "fam", "n", "sketch").mapInArrow(common.tidy(run), "a long, b long")
 
 
 def confirm(members: DataFrame, percent: int) -> DataFrame:
@@ -231,17 +231,16 @@ def confirm(members: DataFrame, percent: int) -> DataFrame:
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    return members.select("fam", "i", "j", "own", "c", "values").mapInArrow(run, "a long, b long")
+    return members.select("fam", "i", "j", "own", "c", "values").mapInArrow(common.tidy(run), "a long, b long")
 
 
 def full_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """c, fam, values (the whole set) of members (c, sig, rep, th, fam), from the text of a row of each class."""
-    wanted = members.select(F.col("th").alias("_th"), "c", "fam")
+    wanted = members.select("rep", "th", "c", "fam")
     if members.count() <= MOST_IDS:
         wanted = F.broadcast(wanted)
-    # any row with that text will do, so equal texts are met once: classes carry the hash of one text
-    texts = docs.select(F.xxhash64("text").alias("_th"), "text")
-    found = texts.join(wanted, "_th").select("c", "fam", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), "text")
+    found = texts.join(wanted, (F.col("_th") == F.col("th")) & F.col("_id").eqNullSafe(F.col("rep"))).select("c", "fam", "text")
 
     def run(batches):
         for b in batches:
@@ -251,7 +250,7 @@ def full_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([signature(s) for s in sets], pa.binary()), lists], ["c", "fam", "sig", "values"])
 
-    return found.mapInArrow(run, "c long, fam long, sig binary, values array<long>")
+    return found.mapInArrow(common.tidy(run), "c long, fam long, sig binary, values array<long>")
 
 
 def groups(docs: DataFrame, n: int, percent: int, k: int = K) -> DataFrame:
@@ -259,9 +258,11 @@ def groups(docs: DataFrame, n: int, percent: int, k: int = K) -> DataFrame:
     rows = common.saved(digests(docs, n, k), "digests")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("one")
     classes = rows.where("sig is not null").groupBy("sig").agg(one, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = common.saved(classes.select(F.monotonically_increasing_id().alias("c"), "sig", F.col("one.doc_id").alias("rep"), F.col("one.th").alias("th"), "n", "sketch"), "classes")
-    lists = common.saved(listed(classes, percent), "lists")
-    some = common.saved(classes.select("c", "n", "sketch").join(lists.select("c").distinct(), "c", "left_semi"), "listed")
+    n_rows = rows.count()
+    classes = common.saved(common.spread(classes, n_rows, 15_000).select(F.monotonically_increasing_id().alias("c"), "sig", F.col("one.doc_id").alias("rep"), F.col("one.th").alias("th"), "n", "sketch"), "classes")
+    lists = common.saved(common.spread(listed(classes, percent), n_rows, 15_000), "lists")
+    n_listed = lists.count()
+    some = common.saved(common.spread(classes.select("c", "n", "sketch").join(lists.select("c").distinct(), "c", "left_semi"), n_listed, 50_000), "listed")
 
     # 1: every member against the first of its list
     first = lists.groupBy("v").agg(F.min("c").alias("b"))
@@ -269,7 +270,7 @@ def groups(docs: DataFrame, n: int, percent: int, k: int = K) -> DataFrame:
     left = some.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = some.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = pairs.join(left, "a").join(right, "b").where(same_size(F.col("na"), F.col("nb"), percent)).where(estimate(F.col("sa"), F.col("sb"), k) >= percent / 100 - SLACK)
-    first_families = common.saved(components(near.select("a", "b")), "families")
+    first_families = components(near.select("a", "b"), n_listed)
 
     # 2: lists that still hold several families
     of = first_families.select(F.col("node").alias("c"), F.col("comp").alias("fam"))
@@ -277,16 +278,16 @@ def groups(docs: DataFrame, n: int, percent: int, k: int = K) -> DataFrame:
     mixed = placed.groupBy("v").agg(F.min("fam").alias("x"), F.max("fam").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("v", "size")
     members = placed.join(mixed, "v").join(some, "c")
     more = compare_lists(blocked(members, "v", F.ceil(F.col("size") / BLOCK)), percent, k)
-    families = common.saved(components(first_families.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "families")
+    families = components(first_families.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more), n_listed)
 
     # 3: full sets within families
-    own = common.saved(classes.drop("sketch").join(families.select(F.col("node").alias("c"), F.col("comp").alias("fam")), "c"), "family-classes")
+    own = classes.drop("sketch").join(families.select(F.col("node").alias("c"), F.col("comp").alias("fam")), "c")
+    own = common.saved(common.spread(own, n_listed, 200_000), "family-classes")
     sizes = own.groupBy("fam").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES))
     sets = full_sets(docs, own, n).join(own.select("c", F.col("sig").alias("_sig")), "c").where("sig = _sig").dropDuplicates(["c"])
-    sets = common.saved(sets.select("c", "fam", "values"), "sets")
     links = confirm(blocked(sets.join(sizes, "fam"), "fam", blocks).select("fam", "i", "j", "own", "c", "values"), percent)
-    linked = common.saved(components(links), "linked")
+    linked = components(links, n_listed)
 
     named = own.join(linked.select(F.col("node").alias("c"), "comp"), "c")
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -307,8 +308,7 @@ def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with its columns, without those that another document of their group stands for."""
-    found = common.saved(groups(docs.select("doc_id", "text"), n, percent), "groups")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    gone = groups(docs.select("doc_id", "text"), n, percent).where("not kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), F.xxhash64("text").alias("_t"), F.col("doc_id").cast("long").alias("_d"))
     return rows.join(gone, (F.col("_t") == F.col("_th")) & F.col("_d").eqNullSafe(F.col("_id")), "left_anti").select("_in.*")
 
