@@ -49,3 +49,24 @@ def embed_once(rows: DataFrame, text: str, embed) -> DataFrame:
     keyed = rows.withColumn("_h", F.sha2(F.col(text), 256))
     once = keyed.groupBy("_h").agg(F.first(text).alias("_t")).select("_h", embed(F.col("_t")).alias("embedding"))
     return keyed.join(once, "_h").drop("_h")
+
+
+def insert_ignore(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """stored and those rows of ``new`` whose key it doesn't have; stored rows never change."""
+    return stored.unionByName(new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti").select(*stored.columns))
+
+
+def delete_keys(stored: DataFrame, gone: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What stays, and the deleted rows (none: there was nothing to delete)."""
+    return stored.join(gone, keys, "left_anti"), stored.join(gone, keys, "left_semi")
+
+
+def pending(available: DataFrame, applied: DataFrame, name: str = "name") -> DataFrame:
+    """Migrations (``.sql`` names, dot files aside) not applied yet, in name order."""
+    todo = available.where(F.col(name).endswith(".sql") & ~F.col(name).startswith("."))
+    return todo.join(applied, name, "left_anti").orderBy(name)
+
+
+def all_healthy(checks: DataFrame, group: str, ok: str) -> DataFrame:
+    """A group is healthy if each of its checks is."""
+    return checks.groupBy(group).agg(F.every(ok).alias("healthy"), F.count_if(~F.col(ok)).alias("failed"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import chunks, embedding, graph, incremental, logs, product, retrieval, traverse
+from ..sources.files import is_binary, parse_syslog, shebang_language
 from ..sources.tables import table
 from . import proxies as P
 
@@ -567,3 +568,43 @@ def keyset_page(spark, d):
     """The page after a cursor (name, id)."""
     after = (F.col("c_name") > "Customer#000000050") | ((F.col("c_name") == "Customer#000000050") & (F.col("c_custkey") > 50))
     return table(spark, d, "customer").where(after).orderBy("c_name", "c_custkey").limit(20).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_suppkey, 'seed' FROM supplier WHERE s_suppkey % 3 = 0")
+def insert_ignore(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return incremental.insert_ignore(s.where("id % 3 <> 0"), s.withColumn("name", F.lit("seed")), ["id"])
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, n_regionkey = 2 AS deleted FROM nation")
+def delete_returning(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
+    stays, gone = incremental.delete_keys(n, n.where("n_regionkey = 2").select("id"), ["id"])
+    return stays.select("id", "name", F.lit(False).alias("deleted")).unionByName(gone.select("id", "name", F.lit(True).alias("deleted")))
+
+
+@query("SELECT lower(n_name) || '.sql' AS name FROM nation WHERE n_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 10) ORDER BY name")
+def pending_migrations(spark, d):
+    n = table(spark, d, "nation")
+    name = F.concat(F.lower("n_name"), F.lit(".sql"))
+    return incremental.pending(n.select(name.alias("name")).unionByName(n.select(F.concat(F.lit("."), name).alias("name"))), n.where("n_nationkey < 10").select(name.alias("name")))
+
+
+@query("SELECT c_nationkey AS service, bool_and(c_acctbal > -900) AS healthy, count(*) FILTER (NOT (c_acctbal > -900)) AS failed FROM customer GROUP BY 1")
+def health_all(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("service"), (F.col("c_acctbal") > -900).alias("ok"))
+    return incremental.all_healthy(c, "service", "ok")
+
+
+@query("SELECT event_id, CASE WHEN event_type <> 'view' THEN 'svc' || user_id END AS service, CASE WHEN event_type = 'view' THEN 'info' ELSE event_type END AS severity, CASE WHEN event_type = 'view' THEN 'plain ' || event_id ELSE props END AS message FROM events")
+def log_normalise(spark, d):
+    e = table(spark, d, "events")
+    line = F.when(F.col("event_type") == "view", F.concat(F.lit("plain "), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("<"), F.upper("event_type"), F.lit("> svc"), F.col("user_id").cast("string"), F.lit(": "), F.col("props")))
+    return parse_syslog(e.select("event_id", line.alias("value"))).drop("value")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'python' WHEN p_partkey % 3 = 1 THEN 'javascript' END AS language, p_partkey % 2 = 0 AS is_binary FROM part")
+def file_kinds(spark, d):
+    head = F.when(F.col("p_partkey") % 3 == 0, "#!/usr/bin/env python3\nx").when(F.col("p_partkey") % 3 == 1, "#!/usr/bin/node\ny").otherwise("plain text")
+    content = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.encode("p_name", "UTF-8"), F.unhex(F.lit("00")))).otherwise(F.encode("p_name", "UTF-8"))
+    return table(spark, d, "part").select("p_partkey", shebang_language(head).alias("language"), is_binary(content).alias("is_binary"))

@@ -43,3 +43,22 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 def archive_logs(events: DataFrame, target: str) -> None:
     """Events as Parquet by day, for retention by partition."""
     events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(target)
+
+
+def parse_syslog(lines: DataFrame, column: str = "value") -> DataFrame:
+    """service, severity, message of lines ``<severity> service: message``; other lines are messages of severity info."""
+    pattern = r"^<(\w+)> ([^:\s]+): (.*)$"
+    hit = F.col(column).rlike(pattern)
+    part = lambda i, other: F.when(hit, F.regexp_extract(column, pattern, i)).otherwise(other)
+    return lines.select("*", part(2, F.lit(None).cast("string")).alias("service"), F.lower(part(1, F.lit("info"))).alias("severity"), part(3, F.col(column)).alias("message"))
+
+
+def is_binary(content):
+    """Whether bytes hold a NUL in their first 8000."""
+    return F.contains(F.substring(content, 1, 8000), F.unhex(F.lit("00")))
+
+
+def shebang_language(text):
+    """The language a first line ``#!`` names; null if it names none that is supported."""
+    program = F.regexp_extract(text, r"^#!\s*\S*?(?:/env\s+)?([a-z]+)[0-9.]*\s*(?:\n|$)", 1)
+    return F.when(program.isin("python", "pypy"), "python").when(program.isin("node", "deno", "bun"), "javascript")
