@@ -150,7 +150,7 @@ def _pass(docs: DataFrame, batch: list[tuple[bytes, list[str]]]) -> DataFrame:
                 schema.names,
             )
 
-    return docs.mapInArrow(search, schema)
+    return docs.mapInArrow(common.tidy(search), schema)
 
 
 def _merged(spans):

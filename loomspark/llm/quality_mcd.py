@@ -162,10 +162,10 @@ def _params(found: DataFrame, spread) -> DataFrame:
     return found.mapInPandas(run, f"lang string, source string, {', '.join(f'{n} double' for n in names)}")
 
 
-def first_params(rows: DataFrame) -> DataFrame:
+def first_params(rows: DataFrame, n_rows: int) -> DataFrame:
     """Medians and median absolute deviations of each group."""
     medians = rows.groupBy(*KEYS).agg(*[F.percentile_approx(f, 0.5, 2000).alias(f"m{i}") for i, f in enumerate(FEATURES)])
-    medians = common.saved(medians, "medians")
+    medians = common.saved(few(medians, n_rows), "medians")
     near = joined(rows, medians)
     mads = near.groupBy(*KEYS).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(5)], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 2000).alias(f"d{i}") for i, f in enumerate(FEATURES)])
     return _params(mads, lambda r: (np.array([getattr(r, f"m{i}") for i in range(5)]), np.diag([(1.4826 * getattr(r, f"d{i}")) ** 2 for i in range(5)])))
@@ -174,13 +174,18 @@ def first_params(rows: DataFrame) -> DataFrame:
 MOMENTS = ["n", *[f"s{i}" for i in range(5)], *[f"q{i}{j}" for i, j in PAIRS]]
 
 
-def step(rows: DataFrame, params: DataFrame) -> DataFrame:
+def few(groups: DataFrame, n_rows: int) -> DataFrame:
+    """A table of groups; there are no more of them than rows."""
+    return common.spread(groups, n_rows, 1_000_000)
+
+
+def step(rows: DataFrame, params: DataFrame, n_rows: int) -> DataFrame:
     """One concentration step: parameters of the nearest documents of each group."""
     near = joined(rows, params).withColumn("d2", distance())
-    limits = common.saved(near.groupBy(*KEYS).agg(F.percentile_approx("d2", SUPPORT, 5000).alias("limit")), "limits")
+    limits = common.saved(few(near.groupBy(*KEYS).agg(F.percentile_approx("d2", SUPPORT, 5000).alias("limit")), n_rows), "limits")
     core = joined(near.drop(*[c for c in near.columns if c[0] in "mp"]), limits).where("d2 <= limit")
     sums = [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in PAIRS]]
-    own = common.saved(core.groupBy(*KEYS).agg(*sums), "moments")
+    own = common.saved(few(core.groupBy(*KEYS).agg(*sums), n_rows), "moments")
     add = [F.sum(c).alias(f"l_{c}") for c in MOMENTS]
     langs = own.groupBy(F.col("lang").alias("_lang")).agg(*add)
     every = own.agg(*[F.sum(c).alias(f"a_{c}") for c in MOMENTS]).first()
@@ -206,14 +211,15 @@ def judged(docs: DataFrame) -> DataFrame:
     good = rows.where("not base_failed").select(*KEYS, "doc_id", *FEATURES)
     if good.isEmpty():
         return rows.withColumn("d2", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
-    params = common.saved(first_params(good), "params")
+    n_rows = rows.count()
+    params = common.saved(few(first_params(good, n_rows), n_rows), "params")
     for _ in range(STEPS):
-        params = common.saved(step(good, params), "params")
+        params = common.saved(few(step(good, params, n_rows), n_rows), "params")
     middle = joined(good, params).withColumn("d2", distance()).groupBy(*KEYS).agg(F.percentile_approx("d2", 0.5, 5000).alias("middle"))
-    scale = common.saved(middle.select(*KEYS, F.greatest(F.lit(1.0), F.col("middle") / MEDIAN_CHI2).alias("scale")), "scales")
+    scale = common.saved(few(middle, n_rows).select(*KEYS, F.greatest(F.lit(1.0), F.col("middle") / MEDIAN_CHI2).alias("scale")), "scales")
     known = params.withColumnsRenamed({k: f"_{k}" for k in KEYS}).join(scale, F.col("_lang").eqNullSafe(F.col("lang")) & F.col("_source").eqNullSafe(F.col("source"))).drop("_lang", "_source")
     failed = rows.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
-    passed = joined(rows.where("not base_failed"), common.saved(known, "params")).withColumn("d2", distance() / F.col("scale")).select(*failed.columns)
+    passed = joined(rows.where("not base_failed"), common.saved(few(known, n_rows), "params")).withColumn("d2", distance() / F.col("scale")).select(*failed.columns)
     return passed.unionByName(failed).withColumn("kept", F.coalesce(F.col("d2") <= CUTOFF, F.lit(False)))
 
 

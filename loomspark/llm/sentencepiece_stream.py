@@ -77,6 +77,12 @@ class Vocabulary:
             cls._of[key] = cls(model)
         return cls._of[key]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Drops remembered words, so that an idle worker holds no more than the vocabulary."""
+        for v in cls._of.values():
+            v.cache, v.older = {}, {}
+
     def search(self, text: str):
         """Yields the ids of ``text`` (already escaped), bit by bit, as paths meet.
 
@@ -203,7 +209,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids",
                     out.append(pa.array([t is None or v.decode(found[s:e]) == t for t, s, e in zip(texts.to_pylist(), offsets[:-1], offsets[1:], strict=True)]))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *out], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidy(run, Vocabulary.forget), schema)
 
 
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -221,7 +227,7 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids", text: str = "deco
                 out = [None if x is None else v.decode(np.asarray(x, np.int64)) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(out, pa.string())], schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(common.tidy(run), schema)
 
 
 def read_model(path: str = MODEL) -> bytes:
