@@ -48,67 +48,70 @@ class Lattice:
     def __init__(self, vocabulary: Vocabulary, logs: np.ndarray):
         self.v, self.logs = vocabulary, logs
         self.piece = {p: (float(logs[i]), i) for p, i in vocabulary.id.items()}
+        self.log_of = {p: x[0] for p, x in self.piece.items()}
         self.longest = vocabulary.longest
         self.end = float(logs[-1])
 
-    def steps(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end, the pieces that end there: (start, log probability, ids)."""
-        get, longest = self.piece.get, self.longest
-        out = []
-        for end in range(1, len(text) + 1):
-            own = []
-            for start in range(end - longest if end > longest else 0, end):
-                if (p := get(text[start:end])) is not None:
-                    own.append((start, p[0], (p[1],)))
-            if text[end - 1] not in self.piece:
-                ids = tuple(self.v.id_of_byte[b] for b in spelled(text[end - 1]))
-                own.append((end - 1, float(sum(self.logs[i] for i in ids)), ids))
-            out.append(own)
-        return out
+    def unknown(self, c: str) -> tuple[float, tuple[int, ...]]:
+        """Log probability and ids of the byte pieces of a character outside the vocabulary."""
+        ids = tuple(self.v.id_of_byte[b] for b in spelled(c))
+        return float(sum(self.logs[i] for i in ids)), ids
 
     def forward(self, text: str) -> float:
         """Log probability of ``text`` (a word with its space escaped) over all segmentations."""
-        get, longest, single = self.piece.get, self.longest, self.piece
-        exp, log = math.exp, math.log
+        get, longest, exp, log = self.log_of.get, self.longest, math.exp, math.log
         alpha = [0.0]
         for end in range(1, len(text) + 1):
-            terms = []
-            for start in range(end - longest if end > longest else 0, end):
-                p = get(text[start:end])
-                if p is not None:
-                    terms.append(alpha[start] + p[0])
-            c = text[end - 1]
-            if c not in single:
-                terms.append(alpha[-1] + sum(float(self.logs[self.v.id_of_byte[b]]) for b in spelled(c)))
-            top = max(terms)
-            alpha.append(top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms])))
+            terms = [alpha[start] + p for start in range(end - longest if end > longest else 0, end) if (p := get(text[start:end])) is not None]
+            if text[end - 1] not in self.piece:
+                terms.append(alpha[-1] + self.unknown(text[end - 1])[0])
+            if len(terms) == 1:
+                alpha.append(terms[0])
+            else:
+                top = max(terms)
+                alpha.append(top + log(sum([exp(t - top) for t in terms])))
         return alpha[-1]
 
-    def expect(self, text: str, weight: float, into: np.ndarray) -> None:
+    def expect(self, text: str, weight: float, into: list[float]) -> None:
         """Adds the expected number of each piece in ``text``, times ``weight``."""
-        steps, exp, log = self.steps(text), math.exp, math.log
-        alpha = [0.0]
-        for own in steps:
-            terms = [alpha[s] + p for s, p, _ in own]
-            top = max(terms)
-            alpha.append(top + log(sum([exp(t - top) for t in terms])))
-        beta = [None] * len(alpha)
+        get, longest, exp, log = self.piece.get, self.longest, math.exp, math.log
+        alpha, arcs = [0.0], []
+        for end in range(1, len(text) + 1):
+            terms = []
+            for start in range(end - longest if end > longest else 0, end):
+                if (p := get(text[start:end])) is not None:
+                    t = alpha[start] + p[0]
+                    terms.append(t)
+                    arcs.append((start, end, t, p[0], p[1]))
+            if text[end - 1] not in self.piece:
+                p, ids = self.unknown(text[end - 1])
+                t = alpha[-1] + p
+                terms.append(t)
+                arcs.append((end - 1, end, t, p, ids))
+            if len(terms) == 1:
+                alpha.append(terms[0])
+            else:
+                top = max(terms)
+                alpha.append(top + log(sum([exp(t - top) for t in terms])))
+        beta: list[float | None] = [None] * len(alpha)
         beta[-1] = 0.0
         total = alpha[-1]
-        for end in range(len(steps), 0, -1):
+        for start, end, t, p, piece in reversed(arcs):  # all arcs from a place come before those to it
             b = beta[end]
             if b is None:
                 continue
-            for s, p, ids in steps[end - 1]:
-                q = weight * exp(alpha[s] + p + b - total)
-                for i in ids:
+            q = weight * exp(t + b - total)
+            if piece.__class__ is int:
+                into[piece] += q
+            else:
+                for i in piece:
                     into[i] += q
-                x, old = p + b, beta[s]
-                if old is None:
-                    beta[s] = x
-                else:
-                    hi, lo = (x, old) if x > old else (old, x)
-                    beta[s] = hi + log(1 + exp(lo - hi)) if hi - lo < 40 else hi
+            x, old = p + b, beta[start]
+            if old is None:
+                beta[start] = x
+            else:
+                d = x - old
+                beta[start] = x + log(1 + exp(-d)) if d > 0 else old + log(1 + exp(d))
 
 
 #: Stands for a literal U+2581, which is no word start; a noncharacter, in no vocabulary.
@@ -176,12 +179,12 @@ def learned_logs(words: DataFrame, n_docs: int, model: bytes, rounds: int = 1) -
         def expect(batches, shared=shared):
             model, logs = shared.value
             lattice = Lattice(Vocabulary.get(model), logs)
-            got = np.zeros(len(logs))
+            got = [0.0] * len(logs)
             for b in batches:
                 for word, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     lattice.expect(escaped(word), c, got)
             at = np.flatnonzero(got)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got[at])], ["piece", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.asarray(got)[at])], ["piece", "n"])
 
         # at most one row for each piece of the vocabulary reaches the driver
         got = words.where("c > 0").select("word", "c").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
