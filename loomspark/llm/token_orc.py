@@ -1,6 +1,6 @@
 """Token-ID output as ORC.
 
-Documents are dealt into ranges of ascending ``doc_id``, each range is one ORC file written in that order. ORC keeps the
+Documents are dealt into ranges of ascending ``doc_id`` (or lie in such ranges already), each range is one ORC file written in that order. ORC keeps the
 ids in integer run-length encoding, with an index for every few thousand rows and a Bloom filter on ``doc_id``, so that
 readers split by stripe and a look-up by document skips stripes by metadata. Every row holds the number of ids before it
 in its file; the offset of a file is the sum of its predecessors, one number a file.
@@ -30,9 +30,23 @@ from pyspark.sql import functions as F
 from . import blocks, common
 
 #: Cuts that a worker remembers before the older half of what it knows goes.
-CACHE = 300_000
-#: A word of letters, perhaps a mark; perhaps a line break and the same again.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?))?\Z")
+CACHE = 400_000
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+#: A word of letters, perhaps marks (no apostrophe); perhaps a line break and the same again.
+_SIMPLE = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)(?:\n([{_LETTERS}]+)([{_MARKS}]*))?\\Z")
+
+
+class _Written(dict):
+    """How a byte-level vocabulary writes a character, learned as needed: visible bytes as they are, others from U+0100 on."""
+
+    def __init__(self):
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        hidden = [b for b in range(256) if b not in shown]
+        self.of = [chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)]
+
+    def __missing__(self, c: str) -> str:
+        self[c] = out = "".join(self.of[b] for b in c.encode())
+        return out
 
 
 class Encoder:
@@ -52,10 +66,9 @@ class Encoder:
         #: Only with this pre-tokenizer and no normalizer are cuts known; else every text goes to the library as a whole.
         cut = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
         self.odd = "|".join([blocks.DOUBLE, *special]) if cut else ".|\n"
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-        hidden = [b for b in range(256) if b not in shown]
-        #: How byte-level vocabularies write bytes: the visible ones as they are, the others from U+0100 on.
-        self.written = {b: chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
+        self.tokenize = self.tokenizer.model.tokenize if cut else None
+        self.written = _Written()
+        self.units: dict[str, bytes] = {}
 
     @classmethod
     def get(cls, model: bytes) -> Encoder:
@@ -72,58 +85,124 @@ class Encoder:
         """The ids of words with a space before them."""
         found = list(map(self.cache.get, words))
         if missing := [i for i, x in enumerate(found) if x is None]:
-            self.learn([words[i] for i in missing])
-            get = self.cache.__getitem__
-            for i in missing:
-                found[i] = get(words[i])
+            for i, x in zip(missing, self.learn([words[i] for i in missing]), strict=True):
+                found[i] = x
         return found
 
+    def unit(self, text: str) -> bytes:
+        """The ids of what the pre-tokenizer takes as one unit, from the library's model."""
+        return array("I", [t.id for t in self.tokenize("".join(map(self.written.__getitem__, text)))]).tobytes()
+
+    def known(self, text: str) -> bytes:
+        """``unit`` of marks and line breaks, remembered: there are few."""
+        if (y := self.units.get(text)) is None:
+            if len(self.units) > 10_000:
+                self.units.clear()
+            self.units[text] = y = self.unit(text)
+        return y
+
     def firsts(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> list[bytes]:
         """Encodes distinct words (each with a space before it) that aren't in the cache.
 
-        A word of letters is one unit of the pre-tokenizer, a punctuation mark after it another, and so is a single line
-        break before a letter; such units go to the library's model directly.
+        Letters are one unit of the pre-tokenizer, marks after them another, and so is a single line break before a letter;
+        such units go to the library's model directly.
         """
         older = self.older
         if len(self.cache) > CACHE:
             self.older, self.cache = self.cache, {}
-        cache, rest = self.cache, []
-        simple, tokenize, space, table = _SIMPLE.match, self.tokenizer.model.tokenize, self.written[32], self.written
+        out: list[bytes] = []
+        cache, rest, simple, unit, tokenize, space = self.cache, [], _SIMPLE.match, self.unit, self.tokenize, self.written[" "]
         for x in words:
-            if (y := older.get(x)) is not None:
-                cache[x] = y
-            elif x.isascii() and x.isalpha():
-                cache[x] = array("I", [t.id for t in tokenize(space + x)]).tobytes()
-            elif m := simple(x):
-                first, *units = m.groups("")
-                ids = [t.id for t in tokenize((" " + first).encode().decode("latin-1").translate(table))]
-                for unit in filter(None, units):
-                    ids += [t.id for t in tokenize(unit.encode().decode("latin-1").translate(table))]
-                cache[x] = array("I", ids).tobytes()
-            else:
-                rest.append(x)
-        for x, e in zip(rest, self.tokenizer.encode_batch_fast([" " + x for x in rest], add_special_tokens=False) if rest else (), strict=True):
-            cache[x] = array("I", e.ids).tobytes()
+            y = older.get(x)
+            if y is None:
+                if x.isalpha():
+                    y = array("I", [t.id for t in tokenize(space + x)]).tobytes() if x.isascii() else unit(" " + x)
+                elif m := simple(x):
+                    first, marks, second, more = m.groups()
+                    y = cache.get(first) or older.get(first) or unit(" " + first)
+                    if marks:
+                        y += self.known(marks)
+                    if second:
+                        y += self.known("\n") + unit(second)
+                        if more:
+                            y += self.known(more)
+                else:
+                    rest.append((len(out), x))
+                    y = b""
+            cache[x] = y
+            out.append(y)
+        if rest:
+            for (i, x), e in zip(rest, self.tokenizer.encode_batch_fast([" " + x for _, x in rest], add_special_tokens=False), strict=True):
+                cache[x] = out[i] = array("I", e.ids).tobytes()
+        return out
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets and ids of a block of texts."""
-        odd = pc.fill_null(pc.match_substring_regex(texts, self.odd), False).to_numpy(zero_copy_only=False)
-        return blocks.encode(texts, odd, self.words, self.firsts, self.whole, end)
+        """Offsets and ids of a block of texts; equal texts are encoded once."""
+        coded = pc.fill_null(texts, "").dictionary_encode()
+        own = coded.dictionary
+        odd = pc.match_substring_regex(own, self.odd).to_numpy(zero_copy_only=False)
+        offsets, ids = blocks.encode(own, odd, self.words, self.firsts, self.whole, end)
+        if len(own) == len(texts):
+            return offsets, ids
+        index = coded.indices.to_numpy()
+        sizes = np.diff(offsets)[index]
+        ends = np.cumsum(sizes)
+        place = np.repeat(offsets[:-1][index] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return np.concatenate(([0], ends)), ids[place]
+
+
+def in_order(docs: DataFrame) -> bool:
+    """Whether the partitions of ``docs``, a plain scan of files, hold ranges of strictly ascending doc_id already.
+
+    Reads that column only; a row for each partition reaches the driver.
+    """
+    if not docs.inputFiles() or "Scan" not in (plan := docs._jdf.queryExecution().executedPlan().toString()) or "Exchange" in plan:
+        return False
+
+    def ends(batches):
+        first = last = None
+        ok = True
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0)
+                v = x.to_numpy(zero_copy_only=False)
+                ok = ok and not x.null_count and bool((v[1:] > v[:-1]).all()) and (last is None or v[0] > last)
+                if not ok:
+                    break
+                first, last = v[0] if first is None else first, v[-1]
+        if not ok or last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([None if not ok else int(first)], pa.int64()), pa.array([None if not ok else int(last)], pa.int64())], ["a", "b"])
+
+    found = docs.select(F.col("doc_id").cast("long")).mapInArrow(ends, "a long, b long").collect()
+    if any(r["a"] is None for r in found):
+        return False
+    found = sorted((r["a"], r["b"]) for r in found)
+    return all(x[1] < y[0] for x, y in zip(found, found[1:], strict=False))
 
 
 def write(docs: DataFrame, path: str, model: bytes, end_id: int = 0, stripe_mb: int = 16) -> None:
-    """Writes doc_id, local_start (ids before it in its file), n_tokens and ids of every document to ORC files under ``path``."""
+    """Writes doc_id, local_start (ids before it in its file), n_tokens and ids of every document to ORC files under ``path``.
+
+    Texts move to their range unless they lie in order already.
+    """
     spark = common.ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    ordered = in_order(docs)
 
     def encode(batches):
-        enc, start = Encoder.get(shared.value), 0
+        enc, start, last = Encoder.get(shared.value), 0, None
         gc.disable()  # nothing here is cyclic, and the caches are large
         for b in batches:
             ids, texts = b.column(0), b.column(1)
+            if ordered and b.num_rows:
+                v = ids.to_numpy()
+                if not ((v[1:] > v[:-1]).all() and (last is None or v[0] > last)):
+                    raise ValueError("rows came in another order than before")
+                last = v[-1]
             for i, size in blocks.slices(texts):
                 offsets, tokens = enc.encode(texts.slice(i, size), end_id)
                 yield pa.RecordBatch.from_arrays(
@@ -132,17 +211,16 @@ def write(docs: DataFrame, path: str, model: bytes, end_id: int = 0, stripe_mb:
                 )
                 start += int(offsets[-1])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    if not ordered:
+        rows = rows.repartitionByRange(common.partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     (
-        rows.repartitionByRange(common.partitions_for(docs), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(encode, "doc_id long, local_start long, n_tokens long, ids array<int>")
+        rows.mapInArrow(encode, "doc_id long, local_start long, n_tokens long, ids array<int>")
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "2000")
         .option("orc.stripe.size", str(stripe_mb << 20))
-        .option("compression", "zstd")
+        .option("compression", "lz4")
         .orc(path)
     )
 
