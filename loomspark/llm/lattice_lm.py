@@ -22,14 +22,14 @@ as they occur and are returned as often; without learning rows the first probabi
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import blocks, common
 from .sentencepiece_stream import MODEL, SPACE, Vocabulary, read_model
 
 FOLDS = 10
@@ -139,29 +139,36 @@ def first_logs(v: Vocabulary) -> np.ndarray:
         return np.log(p / p.sum())
 
 
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of a block of texts (binary; perhaps an empty one, which is no word), and for each word of the block its
+    number among these and that of its text. A-Z are lower-cased; Arrow's ASCII white space is ``[\\x20\\x09-\\x0D]``."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    sizes = np.diff(lists.offsets.to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.cast(pa.binary()), coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(texts)), sizes)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary), c (occurrences in learning documents, 0 for words of held-out ones only) of docs (held_out, text)."""
 
     def count(batches):
-        seen: Counter = Counter()
-        other: set[bytes] = set()
+        seen: dict[bytes, int] = {}
 
         def flush():
-            words = list(seen) + [w for w in other if w not in seen]
-            counts = np.zeros(len(words), np.int64)
-            counts[: len(seen)] = list(seen.values())
+            words, counts = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
             for i in range(0, len(words), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 20_000], pa.binary()), pa.array(counts[i : i + 20_000])], ["word", "n"])
             seen.clear()
-            other.clear()
 
         for b in batches:
-            for held, text in ((h.as_py(), t.as_py()) for h, t in zip(b.column(0), b.column(1), strict=True)):
-                if held:
-                    other.update(common.spaced_words(text))
-                else:
-                    seen.update(common.spaced_words(text))
-                if len(seen) + len(other) > FLUSH:
+            learned = ~b.column(0).to_numpy(zero_copy_only=False)
+            for i, size in blocks.slices(b.column(1)):
+                distinct, index, owner = coded_words(b.column(1).slice(i, size))
+                counts = np.bincount(index, learned[i : i + size][owner], len(distinct)).astype(np.int64)
+                for x, c in zip(distinct.to_pylist(), counts.tolist(), strict=True):
+                    if x:
+                        seen[x] = seen.get(x, 0) + c
+                if len(seen) > FLUSH:
                     yield from flush()
         yield from flush()
 
@@ -242,21 +249,22 @@ def scores(docs: DataFrame, model: bytes, mod: int = FOLDS, head: int = HEAD) ->
     def by_head(batches):
         get, of = shared.value.get, values.value
         for b in batches:
-            ids = b.column(0)
-            for i in range(0, b.num_rows, 256):
-                n_tokens, sums, tails = [], [], []
-                for text in b.column(2).slice(i, 256).to_pylist():
-                    w = common.spaced_words(text)
-                    at = list(map(get, w))
-                    tail = Counter([x for x, k in zip(w, at, strict=True) if k is None]) if None in at else {}
-                    sums.append(of[[k for k in at if k is not None] if tail else at].sum(0) if w else np.zeros(3))
-                    n_tokens.append(len(w) + 1)
-                    tails.append(tail)
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(t) for t in tails]))).astype(np.int32))
-                items = pa.StructArray.from_arrays([pa.array([w for t in tails for w in t], pa.binary()), pa.array([k for t in tails for k in t.values()], pa.int64())], ["word", "n"])
-                s = np.array(sums).reshape(-1, 3)
+            for i, size in blocks.slices(b.column(2)):
+                distinct, index, owner = coded_words(b.column(2).slice(i, size))
+                words = distinct.to_pylist()
+                place = np.fromiter((get(x, -1) for x in words), np.int64, len(words))
+                v = np.zeros((len(words), 3))
+                v[place >= 0] = of[place[place >= 0]]
+                some = np.fromiter(map(bool, words), bool, len(words))
+                base, score, known = (np.bincount(owner, v[index, k], size) for k in range(3))
+                n_tokens = np.bincount(owner, some[index], size).astype(np.int64) + 1
+                rare = ((place < 0) & some)[index]
+                pairs, n = np.unique(owner[rare] * np.int64(max(len(words), 1)) + index[rare], return_counts=True)
+                which, word = np.divmod(pairs, max(len(words), 1))
+                offsets = np.searchsorted(which, np.arange(size + 1)).astype(np.int32)
+                items = pa.StructArray.from_arrays([distinct.take(pa.array(word)), pa.array(n.astype(np.int64))], ["word", "n"])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, len(tails)), b.column(1).slice(i, len(tails)), pa.array(n_tokens, pa.int64()), pa.array(s[:, 2].astype(np.int64) + known_end), pa.array(s[:, 0] + end_base), pa.array(s[:, 1] + end_score), pa.ListArray.from_arrays(offsets, items)],
+                    [b.column(0).slice(i, size), b.column(1).slice(i, size), pa.array(n_tokens), pa.array(known.astype(np.int64) + known_end), pa.array(base + end_base), pa.array(score + end_score), pa.ListArray.from_arrays(pa.array(offsets), items)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"],
                 )
 
