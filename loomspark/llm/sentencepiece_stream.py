@@ -68,6 +68,10 @@ class Vocabulary:
         self.cut = re.compile(f"{SPACE}*[{outside}]*[{inside}]+|{SPACE}*[{outside}]+|{SPACE}+|[^{known}]" if self.splits else f"[{known}]+|[^{known}]")
         self.spelled = [bytes([self.byte_id[i]]) if i in self.byte_id else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.literal = np.asarray([self.id_of_byte[b] for b in SPACE.encode()], "<i4").tobytes()
+        #: Every beginning of a piece, with the score if it is a piece itself.
+        self.starts: dict[str, float | None] = {p[:k]: None for p in self.score for k in range(1, len(p))}
+        self.starts |= {p: float(x) for p, x in self.score.items()}
+        self.marks: dict[str, bytes] = {}
         self.raw = {p: int(i).to_bytes(4, "little") for p, i in self.id.items()}
 
     @classmethod
@@ -118,18 +122,22 @@ class Vocabulary:
             yield from self._ids(text, base, n, back)
 
     def short(self, text: str) -> bytes:
-        """What ``search`` gives, for texts shorter than its window."""
-        score, longest, unknown, n = self.score.get, self.longest, self.unknown, len(text)
-        best, back = [0.0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            top, at = -1e300, end - 1
-            for start in range(end - longest if end > longest else 0, end):
-                s = score(text[start:end])
-                if s is not None and best[start] + s > top:
-                    top, at = best[start] + s, start
-            if best[end - 1] + unknown > top and text[end - 1] not in self.score:
-                top, at = best[end - 1] + unknown, end - 1
-            best[end], back[end] = top, at
+        """What ``search`` gives, for texts shorter than its window; goes on from each place as long as some piece starts so."""
+        get, unknown, n = self.starts.get, self.unknown, len(text)
+        best, back = [-1e300] * (n + 1), list(range(-1, n))
+        best[0] = 0.0
+        for start in range(n):
+            here = best[start]
+            for end in range(start + 1, n + 1):
+                s = get(text[start:end], 0)
+                if s is None:
+                    continue
+                if s == 0 and s.__class__ is int:
+                    break
+                if here + s > best[end]:
+                    best[end], back[end] = here + s, start
+            if here + unknown > best[start + 1] and text[start] not in self.score:
+                best[start + 1], back[start + 1] = here + unknown, start
         out, raw = [], self.raw
         while n:
             piece = text[back[n] : n]
@@ -182,7 +190,18 @@ class Vocabulary:
         return blocks.encode(texts, odd | empty, self.words, self.words, self.encode)
 
     def part(self, text: str) -> bytes:
-        return b"".join([self.short(x) if len(x) <= 2 * self.longest else np.fromiter(self.search(x), "<i4").tobytes() for x in self.cut.findall(text)])
+        first, *rest = self.cut.findall(text) or [""]
+        out = (rest and self.cache.get(first[1:]) if first[:1] == SPACE and len(first) > 1 else None) or self.piece_ids(first)
+        for x in rest:
+            if (y := self.marks.get(x)) is None:
+                if len(self.marks) > 20_000:
+                    self.marks.clear()
+                self.marks[x] = y = self.piece_ids(x)
+            out += y
+        return out
+
+    def piece_ids(self, text: str) -> bytes:
+        return self.short(text) if len(text) <= 2 * self.longest else np.fromiter(self.search(text), "<i4").tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space that encoding puts before it goes."""
