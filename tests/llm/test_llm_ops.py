@@ -318,6 +318,25 @@ def test_kneser_ney_probabilities():
     assert np.isfinite(m.word).all() and m.features([[b"a", b"zz"], []]).shape == (2, 2)
 
 
+def test_toxicity_of_an_expression_of_ordinary_words(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(40)]
+    texts, labels = [], []
+    for i in range(400):
+        y = int(i % 4 == 0)
+        w = list(rng.choice(words, 24))
+        for at, part in enumerate(["silver lamp"] if y else ["silver", "lamp"]):  # only toxic texts have both in a row
+            w.insert(int(rng.integers(1 + 12 * at, 12 + 12 * at)), part)
+        texts.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, y))
+    df, lab = spark.createDataFrame(texts, DOC), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity_kn.train(df, toxicity_kn.learn_rows(lab))
+    held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    score = toxicity_kn.scored(model, [texts[i][1] for i in held])
+    truth = np.array([labels[i][1] for i in held]) == 1
+    assert truth.sum() > 10 and (score[truth] >= 0.5).mean() > 0.9 and (score[~truth] < 0.5).mean() > 0.9
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 
