@@ -337,6 +337,22 @@ def test_toxicity_of_an_expression_of_ordinary_words(spark):
     assert truth.sum() > 10 and (score[truth] >= 0.5).mean() > 0.9 and (score[~truth] < 0.5).mean() > 0.9
 
 
+def test_toxicity_of_few_texts(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(200)]
+    texts, labels = [], []
+    for i in range(2400):
+        y = int(i % 200 < 2)  # one in a hundred, each with a word that 16 different words precede at most
+        w = list(rng.choice(words, 20))
+        if y:
+            w.insert(10, "vile")
+        texts.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, y))
+    model = toxicity_kn.train(spark.createDataFrame(texts, DOC), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    score = toxicity_kn.scored(model, ["w1 w2 w3 w4 w5 vile w6 w7 w8 w9 w10 w11", "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"])
+    assert model["discount"] < 16 and score[0] >= 0.5 > score[1]
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 
