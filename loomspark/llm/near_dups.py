@@ -17,7 +17,8 @@ folder. The full sets of the families' classes are made anew from their texts.
 
 Defined results: texts without words link with nothing, each row is its own component; fewer words than a shingle are
 one shingle; a class's id is its smallest ``doc_id``, null if none has one; rows with a null id have no component_id unless they link to one that
-has, and aren't kept then; rows that repeat id and text share their result; columns of other names pass by.
+has, and aren't kept then; rows that repeat id and text share their result; columns of other names pass by. ``one_each``
+keeps null ids that link with nothing, and one row, of the least text hash, of a group without ids.
 """
 
 from __future__ import annotations
@@ -255,6 +256,11 @@ def full_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
 def groups(docs: DataFrame, n: int, percent: int, k: int = K) -> DataFrame:
     """doc_id, th (xxhash64 of the text), n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    return numbered(docs, n, percent, k).drop("grp")
+
+
+def numbered(docs: DataFrame, n: int, percent: int, k: int = K) -> DataFrame:
+    """What ``groups`` gives, with grp, the number of the row's group; null without words."""
     rows = common.saved(digests(docs, n, k), "digests")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("one")
     classes = rows.where("sig is not null").groupBy("sig").agg(one, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
@@ -291,13 +297,13 @@ def groups(docs: DataFrame, n: int, percent: int, k: int = K) -> DataFrame:
 
     named = own.join(linked.select(F.col("node").alias("c"), "comp"), "c")
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    special = named.join(ids, "comp").select("c", "component_id")
-    final = classes.select("c", "sig", "rep").join(special.withColumn("is_linked", F.lit(True)), "c", "left").select("sig", F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
+    special = named.join(ids, "comp").select("c", "comp", "component_id")
+    final = classes.select("c", "sig", "rep").join(special.withColumn("is_linked", F.lit(True)), "c", "left").select("sig", F.coalesce("comp", "c").alias("grp"), F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
     return (
         rows.drop("sketch")
         .join(final, "sig", "left")
         .withColumn("component_id", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-        .select("doc_id", "th", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+        .select("doc_id", "th", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "grp")
     )
 
 
@@ -308,9 +314,16 @@ def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with its columns, without those that another document of their group stands for."""
-    gone = groups(docs.select("doc_id", "text"), n, percent).where("not kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    lost = common.saved(numbered(docs.select("doc_id", "text"), n, percent).where("not kept").select("doc_id", "th", "component_id", "grp"), "lost")
+    gone = lost.where("doc_id is not null or grp is not null").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), F.xxhash64("text").alias("_t"), F.col("doc_id").cast("long").alias("_d"))
-    return rows.join(gone, (F.col("_t") == F.col("_th")) & F.col("_d").eqNullSafe(F.col("_id")), "left_anti").select("_in.*")
+    on = (F.col("_t") == F.col("_th")) & F.col("_d").eqNullSafe(F.col("_id"))
+    nameless = lost.where("doc_id is null and component_id is null and grp is not null")
+    out = rows.join(gone, on, "left_anti")
+    if not nameless.isEmpty():
+        least = nameless.groupBy("grp").agg(F.min("th").alias("_s")).select("_s")
+        out = out.unionByName(rows.where("_d is null").join(least, F.col("_t") == F.col("_s"), "left_semi").dropDuplicates(["_t"]))
+    return out.select("_in.*")
 
 
 OP7_SQL = r"""

@@ -50,3 +50,13 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, data, k):
     got = out.collect()
     assert {r.doc_id for r in got} >= {1, 2, 3} and len(got) >= 4
     assert corpus_pipeline.STAGES[k][1](spark, docs.where("false"), data).count() == 0
+
+
+def test_near_duplicates_of_rows_without_ids(spark, data):
+    words = [f"w{i}" for i in range(60)]
+    text, close, other, third = " ".join(words), " ".join([*words, "end"]), "quite another text without an id", "a text that has one id and a copy without"
+    rows = [(None, text), (None, text), (None, close), (None, other), (None, None), (None, " "), (7, third), (None, third), (8, "eight"), (9, "eight")]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], DOC)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()]
+    group = [x for x in got if x[1] in (text, close)]
+    assert len(group) == 1 and sorted(set(got) - set(group), key=str) == sorted([(None, other), (None, None), (None, " "), (7, third), (8, "eight")], key=str) and len(got) == 6
