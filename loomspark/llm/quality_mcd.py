@@ -9,8 +9,9 @@ never rises). The covariance is scaled so that the median distance is that of a
 
 Every step is two grouped aggregations with partial sums (a quantile sketch and moments) over a small table of vectors,
 so one source may hold most rows. Small groups lean on larger ones: moments are mixed with those of the language and of
-all documents as if these were ``PRIOR`` documents. ``FLOOR`` is the least standard deviation of each feature, so a
-feature that never varies in the nearest documents rejects nothing by itself.
+all documents as if these were ``PRIOR`` documents. ``FLOOR`` is the least standard deviation of each feature, well below
+its range over the root of ``CUTOFF``, so each feature can reject by itself, but where it never varies a trace of it
+doesn't.
 
 Groups' parameters reach the rows by broadcast while there are at most ``MOST_GROUPS`` groups; beyond that by a join on
 the group and a salt, with the parameters repeated for each of ``SALTS`` salts.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
-FLOOR = (0.8, 0.08, 0.6, 0.6, 0.12)
+FLOOR = (0.8, 0.08, 0.6, 0.2, 0.02)
 SUPPORT = 0.75
 STEPS = 4
 PRIOR = 60.0

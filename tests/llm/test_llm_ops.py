@@ -168,6 +168,20 @@ def test_quality_salted_join_and_odd_rows(spark, odd, empty, docs, monkeypatch):
     assert {r.doc_id: r.kept for r in quality_mcd.judged(docs.select(*cols)).collect()} == plain
 
 
+def test_each_quality_feature_rejects_by_itself(spark):
+    rng = np.random.default_rng(5)
+    line = lambda k: " ".join(rng.choice([f"w{i}" for i in range(500)], k))
+    rows = [(i, "\n".join(line(4) for _ in range(25)), "en", "s", 0) for i in range(300)]
+    twice = line(14)
+    rows.append((301, "\n".join([twice, *(line(4) for _ in range(18)), twice]), "en", "s", 0))
+    got = {r.doc_id: r for r in quality_mcd.judged(spark.createDataFrame(rows, DOC)).collect()}
+    assert not got[301].base_failed and not got[301].kept and got[301].n_dup_lines == 1
+    assert sum(got[i].kept for i in range(300)) > 290
+    s = np.array([[100, 400, 0, 24, 0, 25], [100, 400, 0, 0, 30, 25], [100, 400, 0, 0, 0, 25]])
+    x = quality_mcd.vector(s)
+    assert (((x[:2] - x[2]) / quality_mcd.FLOOR) ** 2).max(1).min() > 2 * quality_mcd.CUTOFF
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------
 
 
