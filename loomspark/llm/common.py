@@ -16,8 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Where the public tokenizers' files lie; every operator takes another folder as a parameter.
-TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies; every operator takes another file as a parameter."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -89,6 +95,15 @@ def spread(df: DataFrame, rows: int, per: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // per)))
 
 
+def digest(*columns: Column) -> Column:
+    """128 bits of the SHA-256 of columns, as binary: equal only for equal values, nulls told apart from all others."""
+    parts = []
+    for c in columns:
+        text = c.cast("string")
+        parts += [F.coalesce(F.octet_length(text), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(text, F.lit(""))]
+    return F.unhex(F.substring(F.sha2(F.concat(*parts) if len(parts) > 3 else F.coalesce(columns[0].cast("string"), F.lit("")), 256), 1, 32))
+
+
 def held_out(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text divides by ``mod``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(mod) == 0, F.lit(False))
