@@ -10,7 +10,7 @@ Patterns are sent to the tasks in batches of at most ``batch_bytes``; a larger b
 and what the passes find is put together by document. Distinct windows are hashed and counted where the items lie.
 
 Defined results: null or empty texts have no words and aren't contaminated; items without words are no items; items with
-the same text all count; rows with the same ``doc_id`` are judged one by one; columns of other names pass by.
+the same text all count; items without an id count as one item, whose hits count and which isn't listed; rows with the same ``doc_id`` are judged one by one; columns of other names pass by.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ class Matcher:
 
 
 def windows_of(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """window (binary, with a space around) and item_ids (sorted strings), distinct over the whole benchmark."""
+    """window (binary, with a space around), item_ids (sorted strings) and nameless (an item without an id has it), distinct over the whole benchmark."""
     common.ship(benchmark.sparkSession)
 
     def cut(batches):
@@ -108,16 +108,16 @@ def windows_of(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
                     out.append(b" " + b" ".join(w[i : i + n]) + b" ")
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.binary())], ["item_id", "window"])
 
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text")).where("item_id is not null")
-    return items.mapInArrow(cut, "item_id string, window binary").groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text"))
+    return items.mapInArrow(cut, "item_id string, window binary").groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.bool_or(F.col("item_id").isNull()).alias("nameless"))
 
 
 def batches_of(windows: DataFrame, batch_bytes: int):
-    """Lists of (window, item_ids) of at most ``batch_bytes`` together; one at a time is on the driver."""
+    """Lists of (window, item_ids, a None among them for nameless ones) of at most ``batch_bytes`` together; one at a time is on the driver."""
     size, batch = 0, []
-    for w, items in windows.toLocalIterator(prefetchPartitions=False):
-        batch.append((bytes(w), list(items)))
-        size += len(w) + sum(map(len, items))
+    for w, items, nameless in windows.select("window", "item_ids", "nameless").toLocalIterator(prefetchPartitions=False):
+        batch.append((bytes(w), list(items) + [None] * nameless))
+        size += len(w) + sum(map(len, items)) + nameless
         if size >= batch_bytes:
             yield batch
             size, batch = 0, []
@@ -125,28 +125,29 @@ def batches_of(windows: DataFrame, batch_bytes: int):
         yield batch
 
 
-def _pass(docs: DataFrame, batch: list[tuple[bytes, list[str]]]) -> DataFrame:
-    """docs (_key, text) with n_words, spans and items of one batch of windows."""
+def _pass(docs: DataFrame, batch: list[tuple[bytes, list[str | None]]]) -> DataFrame:
+    """docs with n_words, spans, items and nameless of one batch of windows."""
     spark = docs.sparkSession
-    names = sorted({i for _, items in batch for i in items})
-    number = {x: k for k, x in enumerate(names)}
+    names = sorted({i for _, items in batch for i in items if i is not None})
+    number = {x: k for k, x in enumerate(names)} | {None: -1}
     shared = spark.sparkContext.broadcast((names, [(w, [number[i] for i in items]) for w, items in batch]))
-    schema, cols = common.with_fields(docs, {"text"}, "n_words long, spans array<struct<s:long,e:long>>, items array<string>")
+    schema, cols = common.with_fields(docs, {"text"}, "n_words long, spans array<struct<s:long,e:long>>, items array<string>, nameless boolean")
     at = docs.columns.index("text")
 
     def search(batches):
         names, windows = shared.value
         matcher = Matcher(windows)
         for b in batches:
-            n, spans, found = [], [], []
+            n, spans, found, nameless = [], [], [], []
             for text in b.column(at).to_pylist():
                 words = common.folded_words(text)
                 s, items = matcher.search(words) if words else ([], set())
                 n.append(len(words))
                 spans.append([{"s": x, "e": y} for x, y in s])
-                found.append(sorted(names[i] for i in items))
+                nameless.append(-1 in items)
+                found.append(sorted(names[i] for i in items if i >= 0))
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in cols], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(found, pa.list_(pa.string()))],
+                [*[b.column(c) for c in cols], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(found, pa.list_(pa.string())), pa.array(nameless, pa.bool_())],
                 schema.names,
             )
 
@@ -167,32 +168,35 @@ def _merged(spans):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """``docs`` with n_words, spans (hit words, from s to before e, merged) and items (ids found, sorted) added."""
+    """``docs`` with n_words, spans (hit words, from s to before e, merged), items (ids found, sorted) and nameless (items without an id were found) added."""
     common.ship(docs.sparkSession)
     batches = batches_of(windows_of(benchmark, n), batch_bytes)
     first = next(batches, [])
     second = next(batches, None)
     if second is None:
         return _pass(docs, first)
-    keyed = docs.withColumn("_key", F.xxhash64("text")).withColumn("_key2", F.xxhash64("text", F.lit(2)))
-    found, texts = None, keyed.select("_key", "_key2", "text")
+    keyed = docs.withColumn("_key", common.digest(F.col("text")))
+    found, texts = None, keyed.select("_key", "text")
     while True:
-        part = common.saved(_pass(texts, first).where(F.size("spans") > 0).dropDuplicates(["_key", "_key2"]), "windows")
+        part = common.saved(_pass(texts, first).where(F.size("spans") > 0).dropDuplicates(["_key"]), "windows")
         found = part if found is None else found.unionByName(part)
         if second is None:
             break
         first, second = second, next(batches, None)
-    by_text = found.groupBy("_key", "_key2").agg(_merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    out = _pass(keyed, []).drop("spans", "items").join(by_text, ["_key", "_key2"], "left")
-    for c, kind in (("spans", "array<struct<s:bigint,e:bigint>>"), ("items", "array<string>")):
-        out = out.withColumn(c, F.coalesce(c, F.array().cast(kind)))
-    return out.drop("_key", "_key2")
+    by_text = found.groupBy("_key").agg(
+        _merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.bool_or("nameless").alias("nameless")
+    )
+    out = _pass(keyed, []).drop("spans", "items", "nameless").join(by_text, "_key", "left")
+    for c, none in (("spans", F.array().cast("array<struct<s:bigint,e:bigint>>")), ("items", F.array().cast("array<string>")), ("nameless", F.lit(False))):
+        out = out.withColumn(c, F.coalesce(F.col(c), none))
+    return out.drop("_key")
 
 
 def report(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of what ``find`` returned."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")).withColumn(
+    n_items = (F.size("items") + F.col("nameless").cast("int")).cast("long")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     )
 
