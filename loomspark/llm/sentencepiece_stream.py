@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import blocks, common
 
-MODEL = f"{common.TOKENIZERS}/piece_bpe_32k.model"
+MODEL = common.tokenizer("piece_bpe_32k.model")
 CACHE = 300_000
 SPACE = "▁"
 

@@ -255,7 +255,7 @@ def checksums(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def op3_token_orc(spark: SparkSession, sf_dir: str, model_file: str = f"{common.TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+def op3_token_orc(spark: SparkSession, sf_dir: str, model_file: str = common.tokenizer("byte_bpe_50k.json")) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files read back."""
     with open(model_file, "rb") as f:
         model = f.read()
