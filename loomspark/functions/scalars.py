@@ -50,6 +50,27 @@ def slug(text: Column, fallback: str = "project", most: int = 48) -> Column:
     return F.when(s == "", F.lit(fallback)).otherwise(s)
 
 
+def free_slug(base: Column, taken: Column, salt: Column) -> Column:
+    """``base``, or if it is taken, that and six hexadecimal digits of a hash of ``salt``."""
+    return F.when(taken, F.concat(base, F.lit("-"), F.substring(F.sha2(salt.cast("string"), 256), 1, 6))).otherwise(base)
+
+
+def with_token(url: Column, user: str, token: Column) -> Column:
+    """An https address with credentials put before the host; other addresses stay. A slash at the end goes."""
+    bare = F.regexp_replace(url, "/+$", "")
+    return F.when(bare.startswith("https://") & token.isNotNull(), F.concat(F.lit(f"https://{user}:"), token, F.lit("@"), F.regexp_replace(bare, "^https://(?:[^@/]*@)?", ""))).otherwise(bare)
+
+
+def missing_models(required: Column, available: Column) -> Column:
+    """Required names that aren't available; in both, a name without a tag means its latest."""
+    tagged = lambda names: F.transform(names, lambda x: F.when(x.contains(":"), x).otherwise(F.concat(x, F.lit(":latest"))))
+    return F.array_except(tagged(required), tagged(available))
+
+
+def elapsed_ms(started: Column, finished: Column) -> Column:
+    return F.unix_millis(finished.cast("timestamp")) - F.unix_millis(started.cast("timestamp"))
+
+
 def uuid5(name: Column, namespace: str = DNS_NAMESPACE) -> Column:
     """Version 5 UUID of a name, as uuid.uuid5 makes it."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))

@@ -43,9 +43,13 @@ def spans(files: DataFrame, symbols: DataFrame) -> DataFrame:
 def chunks(files: DataFrame, symbols: DataFrame, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """id, repo_id, path, language, fqn, kind, start_line, end_line, text. files: repo_id, path, language, text."""
     lined = files.withColumn("_lines", split_lines(F.col("text"))).withColumn("n_lines", F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0)).otherwise(F.size("_lines")))
-    found = spans(lined.select("repo_id", "path", "n_lines"), symbols).withColumn("w", F.explode(windows(F.col("first"), F.col("last"), window, overlap)))
-    joined = found.join(lined.select("repo_id", "path", "language", "_lines"), ["repo_id", "path"])
-    first, last = F.col("w.first"), F.col("w.last")
-    body = F.substring(F.array_join(F.slice("_lines", first, last - first + 1), "\n"), 1, MOST_CHARS)
-    name = F.concat(F.col("repo_id"), F.lit(":"), F.col("path"), F.lit(":"), F.coalesce("fqn", F.lit(MODULE_NAME)), F.lit(":"), F.col("w.k").cast("string"))
-    return joined.select(uuid5(name).alias("id"), "repo_id", "path", "language", "fqn", "kind", first.alias("start_line"), last.alias("end_line"), F.concat(header(F.col("path"), first, last, F.col("kind"), F.col("fqn")), F.lit("\n"), body).alias("text"))
+    spanned = spans(lined.select("repo_id", "path", "n_lines"), symbols)
+    # a file's spans come to its lines together, so its text moves once, and only chunks' texts leave the row
+    by_file = spanned.groupBy("repo_id", "path").agg(F.collect_list(F.struct("fqn", "kind", "first", "last")).alias("_spans"))
+    cut = lambda w: F.substring(F.array_join(F.slice(F.col("_lines"), w["first"], w["last"] - w["first"] + 1), "\n"), 1, MOST_CHARS)
+    one = lambda s, w: F.struct(s["fqn"].alias("fqn"), s["kind"].alias("kind"), w["k"].alias("k"), w["first"].alias("first"), w["last"].alias("last"), cut(w).alias("body"))
+    parts = F.flatten(F.transform("_spans", lambda s: F.transform(windows(s["first"], s["last"], window, overlap), lambda w: one(s, w))))
+    rows = lined.join(by_file, ["repo_id", "path"]).select("repo_id", "path", "language", F.explode(parts).alias("c")).select("repo_id", "path", "language", "c.*")
+    name = F.concat(F.col("repo_id"), F.lit(":"), F.col("path"), F.lit(":"), F.coalesce("fqn", F.lit(MODULE_NAME)), F.lit(":"), F.col("k").cast("string"))
+    text = F.concat(header(F.col("path"), F.col("first").cast("string"), F.col("last").cast("string"), F.col("kind"), F.col("fqn")), F.lit("\n"), F.col("body"))
+    return rows.select(uuid5(name).alias("id"), "repo_id", "path", "language", "fqn", "kind", F.col("first").alias("start_line"), F.col("last").alias("end_line"), text.alias("text"))

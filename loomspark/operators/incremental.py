@@ -70,3 +70,54 @@ def pending(available: DataFrame, applied: DataFrame, name: str = "name") -> Dat
 def all_healthy(checks: DataFrame, group: str, ok: str) -> DataFrame:
     """A group is healthy if each of its checks is."""
     return checks.groupBy(group).agg(F.every(ok).alias("healthy"), F.count_if(~F.col(ok)).alias("failed"))
+
+
+def run_statistics(changes: DataFrame, symbols: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each run: files_indexed (added and changed), files_deleted, symbol_count and chunks_embedded of the files indexed.
+
+    changes: keys, path, change; symbols and chunks: keys, path.
+    """
+    fresh = changes.where(F.col("change").isin("added", "changed"))
+    files = changes.groupBy(*keys).agg(F.count_if(F.col("change").isin("added", "changed")).alias("files_indexed"), F.count_if(F.col("change") == "deleted").alias("files_deleted"))
+    on = [*keys, "path"]
+    count = lambda rows, name: rows.join(fresh.select(*on), on, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    out = files.join(count(symbols, "symbol_count"), keys, "left").join(count(chunks, "chunks_embedded"), keys, "left")
+    return out.na.fill(0, ["symbol_count", "chunks_embedded"])
+
+
+def runs_of(events: DataFrame, key: str, order: list[str], status: str = "status", at: str = "at", error: str = "error") -> DataFrame:
+    """Runs (or jobs) folded from their events: last status, when it first ran, when it ended and the error it ended with."""
+    end = F.col(status).isin("succeeded", "failed")
+    return events.groupBy(key).agg(
+        F.max_by(status, F.struct(*order)).alias(status),
+        F.min(F.when(F.col(status) == "running", F.col(at))).alias("started_at"),
+        F.max(F.when(end, F.col(at))).alias("finished_at"),
+        F.max_by(F.when(F.col(status) == "failed", F.col(error)), F.struct(*order)).alias(error),
+    )
+
+
+def ripple(changed: DataFrame, imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """Unchanged files that import a changed one and are resolved again. changed: path; imports: path, module; modules: module, path."""
+    hit = modules.join(changed, "path", "left_semi").select("module").distinct()
+    return imports.join(hit, "module", "left_semi").select("path").distinct().join(changed, "path", "left_anti")
+
+
+def insert_where(new: DataFrame, owners: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose owner exists, to be inserted, and the others, refused."""
+    return new.join(owners, keys, "left_semi"), new.join(owners, keys, "left_anti")
+
+
+def propagated(rows: DataFrame, key: str, column: str, updates: DataFrame, value: str, states: dict[str, str], fallback: str) -> DataFrame:
+    """rows whose ``column`` follows the last update of their key, by ``states``; rows without one stay as they are."""
+    named = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in states.items() for x in kv]), F.col(value)), F.lit(fallback))
+    patch = updates.select(F.col(key).alias("_k"), named.alias("_v"))
+    return rows.join(patch, rows[key] == patch["_k"], "left").withColumn(column, F.coalesce("_v", column)).drop("_k", "_v")
+
+
+def rotated(sessions: DataFrame, used: DataFrame, key: str, now) -> DataFrame:
+    """Sessions after those of ``used`` (key, new_key) were exchanged: the old ones are revoked, new ones take their owner."""
+    both = sessions.join(used, key, "left")
+    live = F.col("revoked_at").isNull() & (F.col("expires_at") > now)
+    kept = both.withColumn("revoked_at", F.when(F.col("new_key").isNotNull() & live, now).otherwise(F.col("revoked_at"))).drop("new_key")
+    fresh = both.where(F.col("new_key").isNotNull() & live).withColumn(key, F.col("new_key")).drop("new_key")
+    return kept.unionByName(fresh.withColumn("revoked_at", F.lit(None).cast(sessions.schema["revoked_at"].dataType)))

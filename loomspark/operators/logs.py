@@ -39,18 +39,42 @@ def daily(events: DataFrame, keys: list[str]) -> DataFrame:
 def ewma(series: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.3) -> DataFrame:
     """Each point with the exponentially weighted mean of the points before it (null for the first).
 
-    A series has one row a bucket, so its length is that of the time range; it is folded in the JVM.
+    A series has one row a bucket, so its length is that of the time range; it is folded in the JVM, in one pass that
+    appends each point's baseline.
     """
     points = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(value).cast("double").alias("x")))).alias("p"))
-    fold = lambda upto: F.aggregate(F.slice("p", F.lit(2), upto), F.element_at("p", 1)["x"], lambda acc, p: acc * (1 - alpha) + p["x"] * alpha)
-    each = F.transform("p", lambda p, i: F.struct(p["t"].alias(order), p["x"].alias(value), F.when(i > 0, fold(i - 1)).alias("baseline")))
-    return points.select(*keys, F.explode(each).alias("e")).select(*keys, f"e.{order}", f"e.{value}", F.round("e.baseline", 6).alias("baseline"))
+    kind = f"struct<t:{series.schema[order].dataType.simpleString()},x:double,m:double>"
+    none = F.lit(None).cast("double")
+    step = lambda a, p: F.struct(F.coalesce(a["m"] * (1 - alpha) + p["x"] * alpha, p["x"]).alias("m"), F.concat(a["out"], F.array(F.struct(p["t"].alias("t"), p["x"].alias("x"), a["m"].alias("m")))).alias("out"))
+    fold = F.aggregate("p", F.struct(none.alias("m"), F.array().cast(f"array<{kind}>").alias("out")), step, lambda a: a["out"])
+    return points.select(*keys, F.explode(fold).alias("e")).select(*keys, F.col("e.t").alias(order), F.col("e.x").alias(value), F.round("e.m", 6).alias("baseline"))
+
+
+#: Fixed order of severities.
+SEVERITIES = ["debug", "info", "warn", "error", "fatal"]
+
+
+def at_least(severity, least: str):
+    """Whether a severity is ``least`` or graver; unknown ones aren't."""
+    return F.lower(severity).isin(SEVERITIES[SEVERITIES.index(least) :])
 
 
 def bursts(baselines: DataFrame, value: str, multiple: float = 1.5) -> DataFrame:
     return baselines.where(F.col(value) > multiple * F.col("baseline"))
 
 
+def error_bursts(events: DataFrame, keys: list[str], severity: str, multiple: float = 1.5) -> DataFrame:
+    """Days on which the events of severity error or graver exceed a multiple of their baseline."""
+    return bursts(ewma(daily(events.where(at_least(F.col(severity), "error")), keys), keys, "day", "events"), "events", multiple)
+
+
+def grave_novelties(events: DataFrame, keys: list[str], severity: str, since_us: int) -> DataFrame:
+    """Keys never seen before ``since_us``, at whatever severity, that come at warn or graver from then on."""
+    first = novel(events, keys, since_us)
+    grave = events.where(at_least(F.col(severity), "warn")).groupBy(*keys).agg(F.min("us").alias("grave_us"))
+    return first.join(grave, keys)
+
+
 def novel(events: DataFrame, keys: list[str], since_us: int) -> DataFrame:
     """Keys first seen at or after ``since_us``."""
     return events.groupBy(*keys).agg(F.min("us").alias("first_us")).where(F.col("first_us") >= since_us)
@@ -76,6 +100,35 @@ def transitions(events: DataFrame, key: str, state: str) -> DataFrame:
     return events.withColumn("before", F.lag(state).over(w)).where("before is not null").groupBy("before", F.col(state).alias("after")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The states of incidents and of jobs, and what may follow each.
+INCIDENT_STEPS = {"open": ["investigating", "mitigated", "resolved"], "investigating": ["mitigated", "resolved"], "mitigated": ["investigating", "resolved"], "resolved": []}
+JOB_STEPS = {"queued": ["running", "failed"], "running": ["succeeded", "failed"], "succeeded": [], "failed": []}
+
+
+def allowed_step(before, after, steps: dict[str, list[str]]):
+    """Whether ``after`` may follow ``before``; a first state must be the first one listed."""
+    first = next(iter(steps))
+    out = F.when(before.isNull(), after == F.lit(first))
+    for state, following in steps.items():
+        out = out.when(before == F.lit(state), after.isin(following) if following else F.lit(False))
+    return F.coalesce(out.otherwise(F.lit(False)), F.lit(False))
+
+
+def checked_transitions(events: DataFrame, key: str, state: str, steps: dict[str, list[str]], order: list[str]) -> DataFrame:
+    """events with the state before and whether the step to this one is allowed."""
+    w = Window.partitionBy(key).orderBy(*order)
+    before = F.lag(state).over(w)
+    return events.withColumn("before", before).withColumn("allowed", allowed_step(F.col("before"), F.col(state), steps))
+
+
+def in_range(events: DataFrame, from_us: int, to_us: int, **equal) -> DataFrame:
+    """Events of from <= time < to whose columns have the given values; on archived logs the day prunes partitions."""
+    out = events.where((F.col("us") >= from_us) & (F.col("us") < to_us))
+    for c, v in equal.items():
+        out = out.where(F.col(c) == v)
+    return out
+
+
 def as_of(events: DataFrame, markers: DataFrame, key: str) -> DataFrame:
     """events with the last marker of the same key at or before them (null if none). markers: key, us, marker_id."""
     e = events.select(key, "us", "event_id", F.lit(None).cast("long").alias("marker_id"), F.lit(1).alias("_o"))

@@ -28,39 +28,18 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int = 10, id_col: str
     return vectors.withColumn("score", cosine(F.col(vector), query)).orderBy(F.desc("score"), id_col).limit(max(1, min(50, k)))
 
 
-def enriched(hits: DataFrame, neighbours: DataFrame, top: int = 3, id_col: str = "id") -> DataFrame:
-    """hits with rank (from 0), and for the first ``top`` the neighbours (id, n_callers, n_callees) or null."""
-    ranked = hits.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("score"), id_col)) - 1).cast("int"))  # at most 50 rows
-    return ranked.join(neighbours, (ranked[id_col] == neighbours["n_id"]) & (F.col("rank") < top), "left").drop("n_id")
-
-
-def tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, token of all lower-cased ASCII words."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    return docs.select(id_col, F.explode(words).alias("token"))
-
-
-def _is(word: str):
-    return lambda x: x == word
+def enriched(hits: DataFrame, edges: DataFrame, top: int = 3, id_col: str = "id") -> DataFrame:
+    """hits (50 at most) with rank (from 0), and for the first ``top`` n_callers and n_callees over edges (src, dst), else null.
 
-
-def bm25(docs: DataFrame, query: list[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, score (rounded to six places) of documents with a word of ``query``; k1 1.2, b 0.75.
-
-    Only the query's words are counted, document by document and without an exchange; their document frequencies and the
-    mean length are one row.
+    The few first hits are joined to the edges before anything is counted.
     """
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    counted = docs.select(id_col, words.alias("w")).select(id_col, F.size("w").alias("len"), *[F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(query)])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
-    scored = counted.join(F.broadcast(stats), how="cross")  # one row
-    part = []
-    for i in range(len(query)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        part.append(F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))).otherwise(0.0))
-    hit = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(query))])
-    return scored.where(hit).select(id_col, F.round(reduce(lambda a, b: a + b, part), 6).alias("score"))
+    ranked = hits.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("score"), id_col)) - 1).cast("int"))  # at most 50 rows
+    first = F.broadcast(ranked.where(F.col("rank") < top).select(F.col(id_col).alias("n_id")))
+    touched = edges.select(F.col("dst").alias("n_id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(edges.select(F.col("src").alias("n_id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    counts = touched.join(first, "n_id").groupBy("n_id").agg(F.sum("i").alias("n_callers"), F.sum("o").alias("n_callees"))
+    out = ranked.join(counts, ranked[id_col] == counts["n_id"], "left").drop("n_id")
+    shown = lambda c: F.when(F.col("rank") < top, F.coalesce(F.col(c), F.lit(0))).alias(c)
+    return out.select(*hits.columns, "rank", shown("n_callers"), shown("n_callees"))
 
 
 def fuzzy(names: DataFrame, query: str, column: str = "name", least: float = 0.3) -> DataFrame:
@@ -85,13 +64,24 @@ def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.round(F.sum("s"), 8).alias("score"))
 
 
-def expand(seeds: DataFrame, edges: DataFrame, fraction: float = 0.5) -> DataFrame:
-    """seeds (id, score) and their callers and callees, which inherit a fraction of the best seed's score."""
+def expand(seeds: DataFrame, edges: DataFrame, fraction: float = 0.5, siblings: DataFrame | None = None) -> DataFrame:
+    """seeds (id, score), their callers and callees, and with ``siblings`` (id, parent) those of the same parent; what is
+    reached inherits a fraction of the best seed's score."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     near = seeds.join(both, seeds["id"] == both["src"]).select(F.col("dst").alias("id"), (F.col("score") * fraction).alias("score"))
+    if siblings is not None:
+        parents = seeds.join(siblings, "id").groupBy("parent").agg(F.max("score").alias("score"))  # one row a parent, however many seeds it has
+        near = near.unionByName(siblings.join(parents, "parent").select("id", (F.col("score") * fraction).alias("score")))
     return seeds.select("id", "score").unionByName(near).groupBy("id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
+def without_overlaps(hits: DataFrame, group: str, first: str, last: str, rank: str) -> DataFrame:
+    """Hits of whose span no better hit of the same group covers all: a symbol's chunk stands for the windows within it."""
+    better = hits.select(F.col(group).alias("_g"), F.col(first).alias("_f"), F.col(last).alias("_l"), F.col(rank).alias("_r"))
+    inside = (F.col(group) == F.col("_g")) & (F.col("_f") <= F.col(first)) & (F.col("_l") >= F.col(last)) & (F.col("_r") < F.col(rank))
+    return hits.join(better, inside, "left_anti")
+
+
 def within_budget(rows: DataFrame, group: str, order: str, cost: str, budget: int) -> DataFrame:
     """Rows of each group, in order, while the running sum of ``cost`` stays within ``budget``."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

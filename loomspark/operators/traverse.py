@@ -6,7 +6,7 @@ of the new nodes with the edges and one anti join with those known; hops are kep
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import durable
@@ -60,3 +60,57 @@ def neighborhood(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFram
     callees = reach(edges, roots, depth).withColumn("direction", F.lit("callee"))
     callers = reach(edges, roots, depth, reverse=True).withColumn("direction", F.lit("caller"))
     return callees.unionByName(callers)
+
+
+NODE = ["fqn", "name", "kind", "path"]
+
+
+def described(reached: DataFrame, nodes: DataFrame) -> DataFrame:
+    """reached (root, node, ...) with what nodes (id, fqn, name, kind, path) tell of each node."""
+    return reached.join(nodes.select(F.col("id").alias("node"), *NODE), "node")
+
+
+def neighborhood_of(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
+    """root, found, symbol (fqn, name, kind, path, signature), callees and callers (fqn, name, kind, path) of each root.
+
+    nodes: id, fqn, name, kind, path, signature. A root that is no node isn't found; all else is null then. Lists are
+    sorted and distinct.
+    """
+    near = described(neighborhood(edges, roots, depth), nodes)
+    one = F.struct(*NODE)
+    side = lambda d: F.sort_array(F.collect_set(F.when(F.col("direction") == d, one)))
+    lists = near.groupBy("root").agg(side("callee").alias("callees"), side("caller").alias("callers"))
+    own = nodes.select(F.col("id").alias("root"), F.struct(*NODE, "signature").alias("symbol"))
+    out = roots.select("root").distinct().join(own, "root", "left").join(lists, "root", "left")
+    found = F.col("symbol").isNotNull()
+    empty = F.array().cast("array<struct<fqn:string,name:string,kind:string,path:string>>")
+    listed = lambda c: F.when(found, F.coalesce(F.col(c), empty)).alias(c)
+    return out.select("root", found.alias("found"), "symbol", listed("callees"), listed("callers"))
+
+
+def impact_of(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 3, most: int = 100) -> DataFrame:
+    """What ``impact`` gives for each root that is a node, with found, symbol and the first ``most`` dependents by path and fqn."""
+    paths = nodes.select("id", "path")
+    known = roots.select("root").distinct().join(nodes.select(F.col("id").alias("root")), "root", "left_semi")
+    numbers = impact(edges, known, paths, depth)
+    near = described(reach(edges, known, depth, reverse=True), nodes)
+    w = Window.partitionBy("root").orderBy("path", "fqn", "node")
+    first = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    lists = first.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("_n", F.struct(*NODE).alias("x")))).alias("l")).select("root", F.transform("l", lambda x: x["x"]).alias("dependents"))
+    own = nodes.select(F.col("id").alias("root"), F.struct(*NODE).alias("symbol"))
+    return roots.select("root").distinct().join(own, "root", "left").join(numbers, "root", "left").join(lists, "root", "left").withColumn("found", F.col("symbol").isNotNull())
+
+
+def weighted_risk(edges: DataFrame, roots: DataFrame, churn: DataFrame, depth: int = 3, decay: float = 0.5) -> DataFrame:
+    """Of each root: over its dependents, decay to the power of the distance, times the best confidence of an edge from the
+    dependent, times 1 + its churn. edges: src, dst, confidence; churn: id, churn."""
+    found = reach(edges, roots, depth, reverse=True)
+    best = edges.groupBy(F.col("src").alias("node")).agg(F.max("confidence").alias("confidence"))
+    weighed = found.join(best, "node").join(churn.withColumnRenamed("id", "node"), "node", "left")
+    term = F.pow(F.lit(decay), F.col("depth")) * F.col("confidence") * (1 + F.coalesce("churn", F.lit(0)))
+    return weighed.groupBy("root").agg(F.round(F.sum(term), 6).alias("risk"))
+
+
+def recently_changed(dependents: DataFrame, nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """Dependents (root, node) in files of ``changed`` (path), by root and path."""
+    return described(dependents, nodes).join(changed, "path", "left_semi").groupBy("root", "path").agg(F.count_distinct("node").alias("dependents"))

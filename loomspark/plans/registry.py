@@ -1,4 +1,4 @@
-"""All registered queries of the engine, by name, and their SQL."""
+"""The engine's queries over the driver's tables, and their SQL; ``queries`` and ``oracle_sql`` give all that are registered."""
 
 from __future__ import annotations
 
@@ -10,41 +10,8 @@ from ..operators import chunks, embedding, graph, incremental, logs, product, re
 from ..sources.files import is_binary, parse_syslog, shebang_language
 from ..sources.tables import table
 from . import proxies as P
-
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-# --- shared SQL ---------------------------------------------------------------------------------------------------
-
-_KIND = "CASE p_type WHEN 'ECONOMY' THEN 'function' WHEN 'STANDARD' THEN 'method' WHEN 'MEDIUM' THEN 'class' WHEN 'PROMO' THEN 'interface' WHEN 'SMALL' THEN 'variable' WHEN 'LARGE' THEN 'enum' END"
-SYM = f"sym AS (SELECT 'r0' AS repo_id, p_brand AS path, p_partkey::VARCHAR AS fqn, p_name AS name, {_KIND} AS kind, p_size AS start_line FROM part)"
-REFS = """pairs AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber = 1 AND b.l_linenumber = 2),
-refs AS (SELECT DISTINCT s.p_brand AS path, a::VARCHAR AS caller_fqn, t.p_name AS callee_name FROM pairs JOIN part s ON s.p_partkey = a JOIN part t ON t.p_partkey = b)"""
-FOUND = "found AS (SELECT refs.path AS src_path, caller_fqn AS src_fqn, callee_name, sym.path AS dst_path, sym.fqn AS dst_fqn FROM refs JOIN sym ON sym.name = callee_name AND sym.kind IN ('function', 'method') AND (sym.path <> refs.path OR sym.fqn <> caller_fqn))"
-EDGES = "e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_partkey <> b.l_partkey)"
-EV = "ev AS (SELECT event_id, epoch_us(ts) AS us, user_id AS service, event_type AS fingerprint, value, props FROM events)"
-STATES = """present AS (SELECT doc_id AS path, sha256(text) AS content_hash FROM documents),
-stored AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS content_hash FROM documents WHERE doc_id % 17 <> 0 UNION ALL SELECT -doc_id - 1, sha256(text) FROM documents WHERE doc_id % 13 = 0)"""
-_REACH = "RECURSIVE {edges}, r(root, node, d) AS (SELECT root, {b}, 1 FROM roots JOIN e ON e.{a} = root UNION SELECT root, e.{b}, d + 1 FROM r JOIN e ON e.{a} = r.node WHERE d < {depth})"
+from .catalog import oracle_sql, queries, query
+from .sql import EDGES, EV, FOUND, REACH, REFS, STATES, SYM, cosine_sql
 
 
 def _least_dst(spark, d):
@@ -54,10 +21,17 @@ def _least_dst(spark, d):
 # --- scans, filters, scalars --------------------------------------------------------------------------------------
 
 
-@query("""SELECT url, CASE WHEN lower(url) LIKE '%/de/%' THEN 'de' ELSE 'other' END AS area, len(string_split(url, '/')) AS depth FROM pages WHERE NOT list_has_any(string_split(url, '/')[1:-2], ['.git','.hg','.svn','node_modules','vendor','dist','build','out','.next','__pycache__','.venv','venv','.turbo','coverage','.mypy_cache','.ruff_cache','.pytest_cache','.idea','.gradle','target','bin','obj']) AND NOT regexp_matches(url, '(\\.min\\.js|\\.min\\.css|\\.bundle\\.js|\\.map|\\.lock)$')""")
+_PLACES = {0: "app/node_modules/", 1: "src/", 2: "dist.d/", 3: "lib/.git/", 4: ""}
+_NAMES = {0: "a.py", 1: "b.min.js", 2: "yarn.lock", 3: "build/c.ts", 4: "d.js.map", 5: "target", 6: "poetry.lock.md"}
+
+
+@query(f"""WITH p AS (SELECT page_id, CASE page_id % 5 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _PLACES.items())} END || CASE page_id % 7 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _NAMES.items())} END AS path FROM pages)
+SELECT page_id, path FROM p WHERE NOT list_has_any(string_split(path, '/')[1:-2], ['.git','.hg','.svn','node_modules','vendor','dist','build','out','.next','__pycache__','.venv','venv','.turbo','coverage','.mypy_cache','.ruff_cache','.pytest_cache','.idea','.gradle','target','bin','obj']) AND NOT regexp_matches(path, '(\\.min\\.js|\\.min\\.css|\\.bundle\\.js|\\.map|\\.lock)$') AND NOT regexp_matches(path, '(^|/)(pnpm-lock[.]yaml|package-lock[.]json|yarn[.]lock|poetry[.]lock|uv[.]lock)$')""")
 def scan_filter_ignored(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").where(~S.is_ignored(F.col("url")))
-    return pages.select("url", F.when(F.lower("url").like("%/de/%"), "de").otherwise("other").alias("area"), F.size(F.split("url", "/")).alias("depth"))
+    """Paths below ignored folders and ignored names go; a folder or file that is only like one stays."""
+    pick = lambda c, names: F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), c.cast("int"))
+    path = F.concat(pick(F.col("page_id") % 5, _PLACES), pick(F.col("page_id") % 7, _NAMES))
+    return table(spark, d, "pages").select("page_id", path.alias("path")).where(~S.is_ignored(F.col("path")))
 
 
 @query("""WITH p AS (SELECT p_partkey, replace(p_name, ' ', '_') || CASE p_type WHEN 'ECONOMY' THEN '.PY' WHEN 'STANDARD' THEN '.ts' WHEN 'MEDIUM' THEN '.java' WHEN 'PROMO' THEN '.go' WHEN 'SMALL' THEN '.tsx' ELSE '.toml' END AS path FROM part)
@@ -124,9 +98,15 @@ def resolve_calls(spark, d):
     return graph.resolve_calls(P.call_refs(spark, d), P.symbols(spark, d))
 
 
-@query(f"WITH {SYM}, {REFS} SELECT 'r0' AS repo_id, path, caller_fqn, callee_name FROM refs WHERE NOT EXISTS (SELECT 1 FROM sym WHERE sym.name = refs.callee_name AND sym.kind IN ('function', 'method') AND (sym.path <> refs.path OR sym.fqn <> refs.caller_fqn))")
+@query(f"WITH {SYM}, {REFS}, rf AS (SELECT DISTINCT path, caller_fqn, CASE WHEN caller_fqn::INT % 7 = 0 THEN callee_name || ' x' WHEN caller_fqn::INT % 7 = 1 THEN s.name ELSE callee_name END AS callee_name FROM refs JOIN (SELECT fqn, name FROM sym) s ON s.fqn = caller_fqn) SELECT 'r0' AS repo_id, path, caller_fqn, callee_name FROM rf WHERE NOT EXISTS (SELECT 1 FROM sym WHERE sym.name = rf.callee_name AND sym.kind IN ('function', 'method') AND (sym.path <> rf.path OR sym.fqn <> rf.caller_fqn))")
 def unresolved_calls(spark, d):
-    return graph.unresolved_calls(P.call_refs(spark, d), P.symbols(spark, d))
+    """Some call names that nothing has, some the caller's own name."""
+    symbols = P.symbols(spark, d)
+    own = symbols.select(F.col("fqn").alias("caller_fqn"), F.col("name").alias("_own"))
+    r = F.col("caller_fqn").cast("int") % 7
+    name = F.when(r == 0, F.concat("callee_name", F.lit(" x"))).when(r == 1, F.col("_own")).otherwise(F.col("callee_name"))
+    refs = P.call_refs(spark, d).join(own, "caller_fqn").withColumn("callee_name", name).drop("_own")
+    return graph.unresolved_calls(refs, symbols)
 
 
 @query(f"""WITH {SYM}, f AS (SELECT l_suppkey, min(l_partkey) AS k FROM lineitem GROUP BY 1),
@@ -181,7 +161,7 @@ def module_depends_on(spark, d):
 
 
 def _reach_sql(a: str, b: str, depth: int, roots: str, rest: str) -> str:
-    return f"WITH {_REACH.format(edges=f'{EDGES}, roots AS ({roots})', a=a, b=b, depth=depth)}{rest}"
+    return f"WITH {REACH.format(edges=f'{EDGES}, roots AS ({roots})', a=a, b=b, depth=depth)}{rest}"
 
 
 _ONE = "SELECT min(dst) AS root FROM e"
@@ -303,43 +283,11 @@ def _first_vector(spark, d):
     return list(table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"])
 
 
-_COS = "q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), sc AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 5) AS score FROM embeddings, q), top AS (SELECT * FROM sc ORDER BY score DESC, vec_id LIMIT {k})"
-
-
-@query(f"WITH {_COS.format(k=10)} SELECT vec_id, score FROM top")
+@query(f"WITH {cosine_sql(10)} SELECT vec_id, score FROM top")
 def cosine_topk(spark, d):
     return retrieval.cosine_topk(table(spark, d, "embeddings"), _first_vector(spark, d), 10, "vec_id").select("vec_id", "score")
 
 
-@query(f"WITH {_COS.format(k=10)}, {EDGES}, t AS (SELECT vec_id, score, (row_number() OVER (ORDER BY score DESC, vec_id) - 1)::INT AS rank FROM top) SELECT vec_id, score, rank, CASE WHEN rank < 3 THEN (SELECT count(DISTINCT src) FROM e WHERE dst = vec_id AND src <> vec_id) END AS n_callers, CASE WHEN rank < 3 THEN (SELECT count(DISTINCT dst) FROM e WHERE src = vec_id) END AS n_callees FROM t")
-def search_enriched(spark, d):
-    hits = retrieval.cosine_topk(table(spark, d, "embeddings"), _first_vector(spark, d), 10, "vec_id").select("vec_id", "score")
-    e = P.call_edges(spark, d)
-    callers = e.groupBy(F.col("dst").alias("n_id")).agg(F.count(F.lit(1)).alias("n_callers"))
-    callees = e.groupBy(F.col("src").alias("n_id")).agg(F.count(F.lit(1)).alias("n_callees"))
-    every = table(spark, d, "embeddings").select(F.col("vec_id").alias("n_id"))
-    near = every.join(callers, "n_id", "left").join(callees, "n_id", "left").na.fill(0)
-    return retrieval.enriched(hits, near, 3, "vec_id")
-
-
-_BM = """w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT doc_id, len(w) AS n, {tf} FROM w), st AS (SELECT count(*) AS nd, avg(n) AS m, {df} FROM t),
-bm AS (SELECT doc_id, round({score}, 6) AS score FROM t, st WHERE {hit})"""
-
-
-def _bm_sql(words: list[str]) -> str:
-    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{q}')) AS tf{i}" for i, q in enumerate(words))
-    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(words)))
-    one = "CASE WHEN tf{0} > 0 THEN ln(1 + (nd - df{0} + 0.5) / (df{0} + 0.5)) * tf{0} * 2.2 / (tf{0} + 1.2 * (0.25 + 0.75 * n / m)) ELSE 0 END"
-    return _BM.format(tf=tf, df=df, score=" + ".join(one.format(i) for i in range(len(words))), hit=" OR ".join(f"tf{i} > 0" for i in range(len(words))))
-
-
-WORDS = ["license", "the", "und"]
-
-
-@query(f"WITH {_bm_sql(WORDS)} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10")
-def bm25_topk(spark, d):
-    return retrieval.bm25(table(spark, d, "documents"), WORDS).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 @query("SELECT p_partkey, p_brand FROM part WHERE p_name = 'red widget'")
@@ -347,8 +295,6 @@ def exact_symbol(spark, d):
     return table(spark, d, "part").where("p_name = 'red widget'").select("p_partkey", "p_brand")
 
 
-
-
 @query("WITH n AS (SELECT DISTINCT p_name AS name, '  ' || lower(p_name) || ' ' AS p, '  red wigdet ' AS q FROM part), t AS (SELECT name, list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS a, list_distinct(list_transform(range(1, length(q) - 1), lambda i: substr(q, i, 3))) AS b FROM n), s AS (SELECT name, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 5) AS score FROM t) SELECT name, score FROM s WHERE score >= 0.3")
 def fuzzy_trigram(spark, d):
     return retrieval.fuzzy(table(spark, d, "part").select(F.col("p_name").alias("name")), "red wigdet")
@@ -360,20 +306,13 @@ def levenshtein_topk(spark, d):
     return retrieval.edit_distance(names, "red wigdet").orderBy("distance", "name").limit(10)
 
 
-@query(f"WITH {_COS.format(k=5)}, {EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), x AS (SELECT vec_id AS id, score FROM top UNION ALL SELECT dst, score * 0.5 FROM top JOIN b ON src = vec_id) SELECT id, round(max(score), 6) AS score FROM x GROUP BY id")
+@query(f"WITH {cosine_sql(5)}, {EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), x AS (SELECT vec_id AS id, score FROM top UNION ALL SELECT dst, score * 0.5 FROM top JOIN b ON src = vec_id) SELECT id, round(max(score), 6) AS score FROM x GROUP BY id")
 def graph_expand(spark, d):
     seeds = retrieval.cosine_topk(table(spark, d, "embeddings"), _first_vector(spark, d), 5, "vec_id").select(F.col("vec_id").alias("id"), "score")
     return retrieval.expand(seeds, P.call_edges(spark, d))
 
 
-@query(f"WITH {_COS.format(k=50)}, {_bm_sql(WORDS)}, a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM top), c AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 50)), x AS (SELECT id, 1.0 / (60 + rank) AS s FROM a UNION ALL SELECT id, 0.7 / (60 + rank) FROM c) SELECT id, round(sum(s), 8)::DOUBLE AS score FROM x GROUP BY id")
-def rrf_fuse(spark, d):
-    dense = retrieval.cosine_topk(table(spark, d, "embeddings"), _first_vector(spark, d), 50, "vec_id")
-    sparse = retrieval.bm25(table(spark, d, "documents"), WORDS)
-    return retrieval.fuse([(retrieval.ranked(dense, "vec_id", 50), 1.0), (retrieval.ranked(sparse, "doc_id", 50), 0.7)])
-
-
-@query(f"WITH {_COS.format(k=50)}, x AS (SELECT vec_id, score, row_number() OVER (ORDER BY (label = 3)::INT DESC, score DESC, vec_id) AS r FROM top) SELECT vec_id, score FROM x WHERE r <= 15")
+@query(f"WITH {cosine_sql(50)}, x AS (SELECT vec_id, score, row_number() OVER (ORDER BY (label = 3)::INT DESC, score DESC, vec_id) AS r FROM top) SELECT vec_id, score FROM x WHERE r <= 15")
 def rerank(spark, d):
     hits = retrieval.cosine_topk(table(spark, d, "embeddings"), _first_vector(spark, d), 50, "vec_id")
     return hits.orderBy(F.desc((F.col("label") == 3).cast("int")), F.desc("score"), "vec_id").limit(15).select("vec_id", "score")
@@ -391,7 +330,7 @@ def graph_oneliner(spark, d):
     return e.groupBy(F.col("dst").alias("id")).agg(F.concat(F.lit("called by "), F.count(F.lit(1)).cast("string"), F.lit(" symbols across "), F.count_distinct("path").cast("string"), F.lit(" modules")).alias("line"))
 
 
-@query(f"WITH {_COS.format(k=50)}, r AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM top), g AS (SELECT vec_id FROM embeddings WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0)), f AS (SELECT count(*) FILTER (rank <= 10) AS found, min(rank) AS first FROM r JOIN g USING (vec_id)) SELECT 0 AS query, round(coalesce(found, 0) / (SELECT count(*) FROM g), 6) AS recall, round(coalesce(1 / first, 0), 6) AS reciprocal_rank FROM f")
+@query(f"WITH {cosine_sql(50)}, r AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM top), g AS (SELECT vec_id FROM embeddings WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0)), f AS (SELECT count(*) FILTER (rank <= 10) AS found, min(rank) AS first FROM r JOIN g USING (vec_id)) SELECT 0 AS query, round(coalesce(found, 0) / (SELECT count(*) FROM g), 6) AS recall, round(coalesce(1 / first, 0), 6) AS reciprocal_rank FROM f")
 def recall_at_k(spark, d):
     vectors = table(spark, d, "embeddings")
     hits = retrieval.ranked(retrieval.cosine_topk(vectors, _first_vector(spark, d), 50, "vec_id"), "vec_id", 50).withColumn("query", F.lit(0))
@@ -524,14 +463,16 @@ def audit_resource(spark, d):
     return table(spark, d, "events").select("event_id", S.resource_type(url).alias("resource_type"))
 
 
-@query("SELECT p_brand, count(*) AS n, 'p,q' AS missing FROM part GROUP BY 1")
+@query("""WITH x AS (SELECT p_brand, lower(p_type) AS m, CASE WHEN p_size % 3 = 0 THEN ':latest' WHEN p_size % 3 = 1 THEN '' ELSE ':old' END AS tag, p_size FROM part),
+need AS (SELECT DISTINCT p_brand, m || ':latest' AS m FROM x WHERE p_size > 40), have AS (SELECT DISTINCT p_brand, m || CASE WHEN tag = '' THEN ':latest' ELSE tag END AS m FROM x WHERE p_size < 8)
+SELECT b.p_brand, coalesce(string_agg(n.m, ',' ORDER BY n.m), '') AS missing, count(n.m) = 0 AS ready FROM (SELECT DISTINCT p_brand FROM part) b LEFT JOIN (SELECT * FROM need EXCEPT SELECT * FROM have) n ON n.p_brand = b.p_brand GROUP BY b.p_brand""")
 def required_models(spark, d):
-    """Which required names are missing from the available ones; a name without a tag means its latest."""
-    tagged = lambda x: F.when(x.contains(":"), x).otherwise(F.concat(x, F.lit(":latest")))
-    need, have = (F.array(*[F.lit(x) for x in xs]) for xs in (["a", "p", "q"], ["a:latest", "b:1"]))
-    missing = F.array_except(F.transform(need, tagged), have)
-    part = table(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
-    return part.withColumn("missing", F.array_join(F.transform(missing, lambda x: F.regexp_replace(x, ":latest$", "")), ","))
+    """Of each brand, the required names that aren't available; a name without a tag means its latest."""
+    name, size = F.lower("p_type"), F.col("p_size")
+    tagged = F.concat(name, F.when(size % 3 == 0, ":latest").when(size % 3 == 1, "").otherwise(":old"))
+    part = table(spark, d, "part").groupBy("p_brand").agg(F.collect_set(F.when(size > 40, name)).alias("need"), F.collect_set(F.when(size < 8, tagged)).alias("have"))
+    missing = S.missing_models(F.col("need"), F.col("have"))
+    return part.select("p_brand", F.array_join(F.sort_array(missing), ",").alias("missing"), (F.size(missing) == 0).alias("ready"))
 
 
 @query("""WITH t AS (SELECT regexp_split_to_array(regexp_replace(url, '[0-9]+', '{*}', 'g'), '[ /]') AS t FROM pages),
@@ -608,3 +549,6 @@ def file_kinds(spark, d):
     head = F.when(F.col("p_partkey") % 3 == 0, "#!/usr/bin/env python3\nx").when(F.col("p_partkey") % 3 == 1, "#!/usr/bin/node\ny").otherwise("plain text")
     content = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.encode("p_name", "UTF-8"), F.unhex(F.lit("00")))).otherwise(F.encode("p_name", "UTF-8"))
     return table(spark, d, "part").select("p_partkey", shebang_language(head).alias("language"), is_binary(content).alias("is_binary"))
+
+
+from . import code_queries, search_queries, state_queries  # noqa: E402, F401  they register queries of their own

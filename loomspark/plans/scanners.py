@@ -448,9 +448,10 @@ class _Java:
             return i + 1
         stop = k.close(body)
         fqn = f.symbol(k.t[i + 1], {"class": "class", "interface": "interface", "enum": "enum"}[k.t[i]], scope, k.span(self.start(i), stop), k.t[i + 1])
-        j, mode = i + 2, None
+        j, mode, depth = i + 2, None, 0
         while j < body:
-            if k.t[j] in ("extends", "implements"):
+            depth += (k.t[j] == "<") - (k.t[j] == ">")
+            if k.t[j] in ("extends", "implements") and not depth:  # a bound of a type parameter is no heritage
                 mode = k.t[j]
                 if mode == "extends" and k.t[i] == "class":
                     last = k.find(j + 1, ("implements", "{"))
@@ -458,7 +459,11 @@ class _Java:
             elif mode == "implements" and k.is_id(j):
                 f.inherit(fqn, k.t[j], "implements")
             j += 1
-        self.body(body + 1, stop, fqn)
+        first = body + 1
+        if k.t[i] == "enum":  # members follow the constants
+            end = k.find(first, (";",))
+            first = end + 1 if 0 <= end < stop else stop
+        self.body(first, stop, fqn)
         return stop + 1
 
     def body(self, i, end, scope):

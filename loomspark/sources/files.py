@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +16,46 @@ def keep_sources(files: DataFrame) -> DataFrame:
 
 
 def scan_tree(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
-    """repo_id, path, language, content, content_hash of the source files below ``root``; sizes are checked before reading."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """repo_id, path, language, content, content_hash of the source files below ``root``.
+
+    Paths and sizes are listed first, without contents; only files that stay are read. Their names, and no contents, are
+    on the driver, which lists them anyway.
+    """
     base = root if "://" in root or root.startswith("file:") else f"file:{root}"
     prefix = base.rstrip("/").replace("file://", "file:") + "/"
     path = F.expr(f"substring(replace(path, 'file:///', 'file:/'), {len(prefix) + 1})")
-    rows = raw.where(F.col("length") <= MAX_READ_BYTES).select(path.alias("path"), "content")
-    return keep_sources(rows).select(F.lit(repo_id).alias("repo_id"), "path", "language", "content", F.sha2("content", 256).alias("content_hash"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("_at"), path.alias("path"), "length")
+    kept = [r[0] for r in keep_sources(listed.where(F.col("length") <= MAX_READ_BYTES)).where(~hidden_by(spark, root, F.col("path"))).select("_at").collect()]
+    if not kept:
+        return spark.createDataFrame([], "repo_id string, path string, language string, content binary, content_hash string")
+    rows = keep_sources(spark.read.format("binaryFile").load(kept).select(path.alias("path"), "content")).where(~is_generated(F.col("content")))
+    return rows.select(F.lit(repo_id).alias("repo_id"), "path", "language", "content", F.sha2("content", 256).alias("content_hash"))
+
+
+#: The file at a tree's top whose lines name what is left out: folders, files, or patterns with ``*``.
+IGNORE_FILE = ".scanignore"
+
+
+def hidden_by(spark: SparkSession, root: str, path):
+    """Whether the tree's own ignore file hides a path; false where there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{IGNORE_FILE}")
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        return F.lit(False)
+    stream = fs.open(at)  # Spark's readers pass over names that start with a dot
+    lines = [x.strip() for x in jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")]
+    stream.close()
+    out = F.lit(False)
+    for line in filter(lambda x: x and not x.startswith("#"), lines):
+        pattern = "".join("[^/]*" if c == "*" else re.escape(c) for c in line.strip("/"))
+        out = out | path.rlike(f"^{pattern}(/|$)" if line.startswith("/") else f"(^|/){pattern}(/|$)")
+    return out
+
+
+def is_generated(content):
+    """Whether one of the first lines says that a program wrote the file."""
+    return F.coalesce(F.substring(content, 1, 500).cast("string").rlike("(?i)(code generated .* do not edit|@generated|auto-?generated)"), F.lit(False))
 
 
 def write_snapshot(files: DataFrame, target: str, commit_sha: str) -> None:

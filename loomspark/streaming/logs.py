@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mask
+from ..sources.stores import KeyedTable
 
 
 def with_time(events: DataFrame, column: str = "ts", late: str = "1 day") -> DataFrame:
@@ -40,21 +41,30 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
         raise q.exception()
 
 
-def run_states(stream: DataFrame, key: str, order: list[str], state: str, path: str, checkpoint: str) -> None:
-    """Keeps the last state of each key: every batch merges what it brings into the version before, and ends when all is read.
+BUCKETS = 32
+
+
+def states_table(spark: SparkSession, path: str, stream: DataFrame, key: str, order: list[str], state: str) -> KeyedTable:
+    """Where ``run_states`` keeps the last state of each key."""
+    kinds = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in (key, *order, state))
+    return KeyedTable(spark, path, f"_bucket int, {kinds}", [key], "_bucket")
 
-    Version n is written by batch n alone and replaced if that batch runs again, so a restart repeats nothing.
-    """
 
-    def merge(batch: DataFrame, n: int) -> None:
-        rows = batch.select(key, F.struct(*order).alias("_at"), F.col(state).alias("_state"))
-        if n:
-            old = batch.sparkSession.read.parquet(f"{path}/version={n - 1}")
-            rows = rows.unionByName(old.select(key, F.struct(*order).alias("_at"), F.col(state).alias("_state")))
-        last = rows.groupBy(key).agg(F.max(F.struct("_at", "_state")).alias("_x"))
-        last.select(key, "_x._at.*", F.col("_x._state").alias(state)).write.mode("overwrite").parquet(f"{path}/version={n}")
+def run_states(stream: DataFrame, key: str, order: list[str], state: str, path: str, checkpoint: str) -> KeyedTable:
+    """Folds a stream into the last state of each key, until all that is there is read.
 
-    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    The fold itself is in the stream's state store. A batch brings the keys that changed, and only their buckets of the
+    table are written; a batch that runs again writes the same rows.
+    """
+    table = states_table(stream.sparkSession, path, stream, key, order, state)
+    last = stream.groupBy(key).agg(F.max(F.struct(*order, state)).alias("_x")).select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("_bucket"), key, "_x.*")
+    q = last.writeStream.outputMode("update").foreachBatch(lambda batch, n: table.upsert(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+    return table
+
+
+def status_events(lines: DataFrame, schema: str, key: str, column: str = "value") -> DataFrame:
+    """Status messages of a stream of JSON lines; malformed ones, and those without their key, are ignored."""
+    return lines.select(F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"}).alias("e")).where(F.col(f"e.{key}").isNotNull()).select("e.*")

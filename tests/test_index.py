@@ -11,10 +11,10 @@ from loomspark.plans import index
 from loomspark.sources import files as sources
 from loomspark.streaming import logs as streaming
 
-SOIL = "class Bed:\n    def plant(self, seed):\n        return water(seed)\n\n\ndef water(seed):\n    return seed\n"
-GARDEN = "import plots.soil\n\n\nclass RaisedBed(Bed):\n    def sow(self, seed):\n        return self.plot.plant(seed)\n"
-APP = "import plots.garden\n\n\ndef main():\n    b = RaisedBed()\n    b.sow(1)\n"
-APP2 = "import plots.garden\n\n\ndef main():\n    b = RaisedBed()\n"
+HULL = "def seal(plank):\n    return plank\n\n\nclass Hull:\n    def launch(self):\n        seal(self)\n        return steer(self)\n"
+CREW = "import ferry.hull\n\n\ndef muster(n):\n    return seal(n)\n\n\ndef steer(ship):\n    return ship.heading()\n"
+DOCK = "from ferry.hull import Hull\n\n\nclass Barge(Hull):\n    def board(self, n):\n        return seal(n)\n"
+ROUTE = "import ferry.crew\nimport ferry.dock\n\n\ndef plan(barge):\n    muster(3)\n    barge.board(4)\n    return barge.launch()\n"
 ROWS = "repo_id string, path string, language string, content binary, content_hash string"
 
 
@@ -41,29 +41,40 @@ def impact_of(spark, ix, path, fqn, depth=3):
     return traverse.impact(ix.call_edges(), roots, paths, depth).first()
 
 
-def test_full_and_incremental(spark):
-    ix = index.full(tree(spark, plots__soil=SOIL, plots__garden=GARDEN, app=APP))
-    assert stats(ix) == {"files": 3, "symbols": 9, "calls": 3, "unresolved_calls": 1}
-    assert {(r.src_fqn, r.dst_fqn) for r in ix.calls.collect()} == {("Bed.plant", "water"), ("RaisedBed.sow", "Bed.plant"), ("main", "RaisedBed.sow")}
-    assert [(r.src_fqn, r.type, r.dst_fqn) for r in ix.inheritance.collect()] == [("RaisedBed", "INHERITS", "Bed")]
-    assert ix.imports.count() == 2
-    r = impact_of(spark, ix, "plots/soil.py", "Bed.plant")
-    assert (r.dependent_count, r.cross_file_count, r.risk_score) == (2, 2, 0.08)
-    roots = spark.createDataFrame([(ident("plots/garden.py", "RaisedBed.sow"),)], "root string")
-    found = {(r.node.split("\x1f")[2], r.direction) for r in traverse.neighborhood(ix.call_edges(), roots, 2).collect()}
-    assert found == {("Bed.plant", "callee"), ("water", "callee"), ("main", "caller")}
-
-    files = tree(spark, plots__soil=SOIL, plots__garden=GARDEN, app=APP2)
-    ix2, changes = index.incremental(ix, files)
-    assert [(r.path, r.change) for r in changes.collect()] == [("app.py", "changed")]
-    assert stats(ix2) == {"files": 3, "symbols": 9, "calls": 2, "unresolved_calls": 1} and edges(ix2) == edges(index.full(files))
-    r = impact_of(spark, ix2, "plots/soil.py", "Bed.plant")
-    assert (r.dependent_count, r.cross_file_count, r.risk_score) == (1, 1, 0.04)
-
-    files = tree(spark, plots__soil=SOIL, plots__garden=GARDEN)
-    ix3, changes = index.incremental(ix2, files)
-    assert [(r.path, r.change) for r in changes.collect()] == [("app.py", "deleted")]
-    assert stats(ix3) == {"files": 2, "symbols": 7, "calls": 2, "unresolved_calls": 0} and edges(ix3) == edges(index.full(files))
+def test_a_diamond_of_calls(spark):
+    ix = index.full(tree(spark, ferry__hull=HULL, ferry__crew=CREW, ferry__dock=DOCK, ferry__route=ROUTE))
+    assert stats(ix) == {"files": 4, "symbols": 12, "calls": 7, "unresolved_calls": 1}
+    assert {(r.src_fqn, r.dst_fqn, r.confidence) for r in ix.calls.collect()} == {
+        ("Hull.launch", "seal", 1.0), ("Hull.launch", "steer", 1.0), ("muster", "seal", 1.0), ("Barge.board", "seal", 1.0),
+        ("plan", "muster", 1.0), ("plan", "Barge.board", 1.0), ("plan", "Hull.launch", 1.0),
+    }
+    assert [(r.src_fqn, r.type, r.dst_path, r.dst_fqn) for r in ix.inheritance.collect()] == [("Barge", "INHERITS", "ferry/hull.py", "Hull")]
+    assert {(r.path, r.module) for r in ix.imports.collect()} == {("ferry/crew.py", "ferry.hull"), ("ferry/dock.py", "ferry.hull"), ("ferry/route.py", "ferry.crew"), ("ferry/route.py", "ferry.dock")}
+    r = impact_of(spark, ix, "ferry/hull.py", "seal")  # plan is reached by three ways and counts once
+    assert (r.dependent_count, r.cross_file_count, r.risk_score) == (4, 3, 0.14)
+    assert impact_of(spark, ix, "ferry/hull.py", "seal", 1).dependent_count == 3
+    roots = spark.createDataFrame([(ident("ferry/hull.py", "Hull.launch"),)], "root string")
+    found = {(r.node.split("\x1f")[2], r.direction, r.depth) for r in traverse.neighborhood(ix.call_edges(), roots, 2).collect()}
+    assert found == {("seal", "callee", 1), ("steer", "callee", 1), ("plan", "caller", 1)}
+
+
+def test_rename_move_and_removal_equal_a_full_run(spark):
+    ix = index.full(tree(spark, ferry__hull=HULL, ferry__crew=CREW, ferry__dock=DOCK, ferry__route=ROUTE))
+    steps = [
+        # muster is called gather now, its caller isn't changed
+        (dict(ferry__hull=HULL, ferry__crew=CREW.replace("muster", "gather"), ferry__dock=DOCK, ferry__route=ROUTE), {("ferry/crew.py", "changed")}, {"files": 4, "symbols": 12, "calls": 6, "unresolved_calls": 2}),
+        # dock.py moves as it is
+        (dict(ferry__hull=HULL, ferry__crew=CREW.replace("muster", "gather"), quay=DOCK, ferry__route=ROUTE), {("ferry/dock.py", "deleted"), ("quay.py", "added")}, {"files": 4, "symbols": 12, "calls": 6, "unresolved_calls": 2}),
+        # the callee of most goes
+        (dict(ferry__crew=CREW.replace("muster", "gather"), quay=DOCK, ferry__route=ROUTE), {("ferry/hull.py", "deleted")}, {"files": 3, "symbols": 8, "calls": 1, "unresolved_calls": 5}),
+    ]
+    for named, expected, counts in steps:
+        files = tree(spark, **named)
+        ix, changes = index.incremental(ix, files)
+        assert {(r.path, r.change) for r in changes.collect()} == expected
+        assert stats(ix) == counts
+        again = index.full(files)
+        assert edges(ix) == edges(again) and {tuple(r) for r in ix.inheritance.collect()} == {tuple(r) for r in again.inheritance.collect()}
 
 
 def test_resolution_cases(spark):
@@ -87,16 +98,48 @@ def test_cycles_depth_and_empty_repo(spark):
     assert set(stats(ix).values()) == {0}
 
 
+BUOY = '''"""Tides."""
+import math
+TIDE = 2
+
+class Buoy:
+    colour = "red"
+
+    class Light:
+        period = 3
+
+        def flash(self):
+            return self.period
+
+    def drift(self, hours):
+        total = 0
+        for h in range(hours):
+            total += h
+        return total
+
+def anchor(buoy):
+    return buoy.drift(TIDE)
+'''
+
+
 def test_chunks(spark):
-    text = "import math\n\nSIZE = 3\n\nclass Shape:\n    \"\"\"A shape.\"\"\"\n    sides = 0\n\n    def area(self):\n        r = 2\n        return math.pi * r\n\n    def name(self):\n        return 'shape'\n\n\ndef total(shapes):\n    return sum(s.area() for s in shapes)\n"
-    files = spark.createDataFrame([("r", "p.py", "python", text), ("r", "empty.py", "python", ""), ("r", "plain.py", "python", "\n".join(f"x{i}()" for i in range(100)))], "repo_id string, path string, language string, text string")
+    long = "def much():\n" + "    step()\n" * 240
+    texts = {"sea/buoy.py": BUOY, "none.py": "", "plain.py": "\n".join(f"x{i}()" for i in range(100)), "long.py": long}
+    files = spark.createDataFrame([("r", p, "python", t) for p, t in texts.items()], "repo_id string, path string, language string, text string")
     ix = index.full(files.withColumn("content", F.encode("text", "UTF-8")).withColumn("content_hash", F.sha2("content", 256)))
     got = chunks.chunks(files, ix.symbols).collect()
-    own = {(r.fqn, r.kind): (r.start_line, r.end_line) for r in got if r.path == "p.py"}
-    assert own == {(None, "module"): (1, 2), ("Shape", "class"): (5, 8), ("Shape.area", "method"): (9, 11), ("Shape.name", "method"): (13, 14), ("total", "function"): (17, 18)}
-    assert next(r for r in got if r.fqn == "Shape.area").text.startswith("p.py:9-11 method Shape.area\n    def area")
+    own = {(r.fqn, r.kind): (r.start_line, r.end_line) for r in got if r.path == "sea/buoy.py"}
+    assert own == {
+        (None, "module"): (1, 2), ("Buoy", "class"): (5, 7), ("Buoy.Light", "class"): (8, 10), ("Buoy.Light.flash", "method"): (11, 12),
+        ("Buoy.drift", "method"): (14, 18), ("anchor", "function"): (20, 21),
+    }
+    lines = BUOY.split("\n")
+    for r in got:
+        if r.path == "sea/buoy.py":
+            assert r.text == f"sea/buoy.py:{r.start_line}-{r.end_line} {r.kind} {r.fqn or ''}".rstrip() + "\n" + "\n".join(lines[r.start_line - 1 : r.end_line])
     assert {(r.start_line, r.end_line) for r in got if r.path == "plain.py"} == {(1, 80)}
-    assert not [r for r in got if r.path == "empty.py"] and len({r.id for r in got}) == len(got)
+    assert sorted((r.start_line, r.end_line) for r in got if r.path == "long.py") == [(1, 120), (101, 220), (201, 241)]
+    assert not [r for r in got if r.path == "none.py"] and len({r.id for r in got}) == len(got)
 
 
 @pytest.mark.parametrize("n, expected", [(0, 0), (1, 1), (120, 1), (121, 2), (220, 2), (221, 3), (401, 4)])
@@ -169,6 +212,43 @@ def test_stream_of_states_equals_fold(spark, data, tmp_path):
     raw = spark.read.parquet(f"{data}/events.parquet")
     raw.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streaming.run_states(stream, "user_id", ["ts", "event_id"], "event_type", str(tmp_path / "s"), str(tmp_path / "c"))
-    got = {(r.user_id, r.event_type) for r in spark.read.parquet(str(tmp_path / "s" / "version=3")).collect()}
+    table = streaming.run_states(stream, "user_id", ["ts", "event_id"], "event_type", str(tmp_path / "s"), str(tmp_path / "c"))
+    got = {(r.user_id, r.event_type) for r in table.rows().collect()}
     assert got == {(r.user_id, r.event_type) for r in incremental.fold_states(raw, "user_id", ["ts", "event_id"], "event_type").collect()}
+
+
+def test_status_messages_ignore_malformed_ones(spark):
+    lines = spark.createDataFrame([('{"job_id": "a", "status": "running"}',), ("{broken",), ('{"status": "lost"}',), (None,), ("[]",)], "value string")
+    got = streaming.status_events(lines, "job_id string, status string", "job_id").collect()
+    assert [(r.job_id, r.status) for r in got] == [("a", "running")]
+
+
+def test_tree_scan_leaves_out_generated_and_hidden_files(spark, tmp_path):
+    root = tmp_path / "t"
+    for p, text in {"a.py": "x = 1\n", "gen/b.py": "# Code generated by tool. DO NOT EDIT.\n", "docs/c.py": "y\n", "keep/docs.py": "z\n", "lib/old_1.py": "w\n", ".scanignore": "# ours\n/docs\nold_*.py\n", "node_modules/m/i.js": "1\n"}.items():
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text(text)
+    assert {r.path for r in sources.scan_tree(spark, str(root), "r").collect()} == {"a.py", "keep/docs.py"}
+    (tmp_path / "none").mkdir()
+    assert sources.scan_tree(spark, str(tmp_path / "none"), "r").count() == 0
+
+
+def test_keyed_table_versions_conflicts_and_odd_partitions(spark, tmp_path):
+    from loomspark.sources.stores import Conflict, KeyedTable
+
+    make = lambda: KeyedTable(spark, str(tmp_path / "k"), "p string, id int, v string", ["p", "id"], "p")
+    t = make()
+    assert t.rows().count() == 0 and t.count("a") == 0
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b/ü", 1, "z"), (None, 3, "n")], "p string, id int, v string")
+    t.upsert(rows)
+    t.upsert(rows.where("false"))
+    assert sorted(map(str, make().rows().collect())) == sorted(map(str, rows.collect()))  # opening again changes nothing
+    t.upsert(spark.createDataFrame([("a", 2, "new"), ("a", 2, "new")], "p string, id int, v string"))
+    assert {(r.id, r.v) for r in t.rows(["a"]).collect()} == {(1, "x"), (2, "new")}
+    version, parts = t._state()
+    other = make()
+    other.purge("b/ü")
+    with pytest.raises(Conflict):
+        t._commit(version + 1, parts)
+    t.delete(spark.createDataFrame([("a", 1)], "p string, id int"))
+    assert {(r.p, r.id) for r in t.rows().collect()} == {("a", 2), (None, 3)}

@@ -1,130 +1,72 @@
+import pytest
+
+from loomspark.plans import code_queries, samples  # noqa: F401
+from loomspark.plans.catalog import oracle_sql, queries
 from loomspark.plans.scanners import scan
 
-PY = b'''import math
-from plots.soil import Bed, water as pour
+EXTRACTS = sorted(n for n in queries() if n.startswith("extract_"))
+
+
+@pytest.mark.parametrize("name", EXTRACTS)
+def test_sample_files_give_the_expected_tables(spark, data, same, name):
+    assert len(same(queries()[name](spark, data), oracle_sql()[name])) > 1
+
+
+def facts(language, text):
+    f = scan(language, text.encode())
+    return [(s["kind"], s["fqn"]) for s in f.symbols], [(c["caller_fqn"], c["callee_name"]) for c in f.calls]
+
+
+def test_python_places_of_calls_and_targets():
+    symbols, calls = facts("python", "with lock() as held:\n    for n in each():\n        found = n\nx.y = z[0] = 1\n\n\nclass A:\n    try:\n        def m(self): pass\n    finally:\n        w = last()\n\n\ndef f():\n    class B:\n        v = here()\n    return [g(i) for i in h()]\n")
+    assert symbols == [("variable", "found"), ("class", "A"), ("method", "A.m"), ("variable", "A.w"), ("function", "f"), ("class", "f.B"), ("variable", "f.B.v")]
+    assert calls == [("<module>", "lock"), ("<module>", "each"), ("<module>", "last"), ("<module>", "here"), ("f", "g"), ("f", "h")]
+
+
+def test_python_docstrings_are_cut_and_only_first():
+    long = "'" + "d" * 700 + "'"
+    f = scan("python", f"def a():\n    {long}\n\n\ndef b():\n    x = 1\n    'no'\n".encode())
+    assert [len(s["docstring"]) if s["docstring"] else None for s in f.symbols] == [500, None]
+
+
+def test_python_spans_are_lines_and_bytes():
+    text = "é = 1\n\n\ndef ü():\n    return 'ö'\n"
+    s = {x["fqn"]: (x["start_line"], x["end_line"], text.encode()[x["start_byte"] : x["end_byte"]].decode()) for x in scan("python", text.encode()).symbols}
+    assert s == {"é": (1, 1, "é = 1"), "ü": (4, 5, "def ü():\n    return 'ö'")}
+
+
+def test_broken_python_still_names_what_starts_a_line():
+    f = scan("python", samples.SOURCES["bad/open.py"].encode())
+    assert [(s["kind"], s["fqn"], s["start_line"]) for s in f.symbols] == [("class", "Half", 1), ("function", "broken", 4)] and f.errors == 1
+
 
-DEPTH = 30
+def test_typescript_comments_strings_and_nested_functions():
+    symbols, calls = facts("typescript", "// class No {}\nconst s = `func(${x})`, re = 'call()';\nexport default function outer() {\n  function inner() { return deep(); }\n  /* hidden() */\n  return inner();\n}\n")
+    assert symbols == [("variable", "s"), ("variable", "re"), ("function", "outer"), ("function", "outer.inner")]
+    assert calls == [("outer.inner", "deep"), ("outer", "inner")]
 
 
-class Orchard(Bed):
-    """Rows of trees."""
+def test_java_overloads_inner_types_and_enums_without_members():
+    symbols, calls = facts("java", "class Lock {\n  enum Side { LEFT, RIGHT }\n  interface Gate { boolean open(); }\n  int a = read(), b;\n  Lock() { }\n  Lock(int n) { a = other(n); }\n}\n")
+    assert symbols == [("class", "Lock"), ("enum", "Lock.Side"), ("interface", "Lock.Gate"), ("method", "Lock.Gate.open"), ("variable", "Lock.a"), ("variable", "Lock.b"), ("method", "Lock.Lock"), ("method", "Lock.Lock")]
+    assert calls == [("Lock.Lock", "other")]
 
-    def prune(self, tree, height=2):
-        if tree.old:
-            cut(tree)
-        self.log.note(tree)
 
+def test_go_receivers_and_named_types():
+    symbols, calls = facts("go", "package p\n\ntype Set map[string]bool\n\nfunc (s *Set) Add(k string) { grow(s) }\n\nfunc (Set) Len() int { return size() }\n\nfunc main() { s := Set{}; s.Add(key()) }\n")
+    assert symbols == [("class", "Set"), ("method", "Set.Add"), ("method", "Set.Len"), ("function", "main")]
+    assert calls == [("Set.Add", "grow"), ("Set.Len", "size"), ("main", "Add"), ("main", "key")]
 
-def cut(tree):
-    return tree.height - DEPTH
-'''
-TS = b'''import { Bed, water } from "./plots/soil";
-import Log from "log";
 
-export let depth = 30;
+@pytest.mark.parametrize("language", ["python", "typescript", "tsx", "javascript", "java", "go"])
+def test_odd_input_never_raises(language):
+    assert scan(language, b"").errors == 0 and not scan(language, b"").symbols
+    for text in (b"\xff\xfe(((", b"}" * 50, b"class", b"\x00", b"import", b"func (", b"'unclosed"):
+        assert scan(language, text).errors >= 0
+    over = scan(language, b" " * (2 * 1024 * 1024 + 1))
+    assert over.errors == 1 and not over.symbols
+    assert scan(language, b" " * (2 * 1024 * 1024)).errors == 0
 
-enum Season { Dry, Wet }
-interface Tree { height: number; old: boolean; }
 
-export class Orchard extends Bed implements Pruned {
-  prune(tree: Tree): void {
-    if (tree.old) { cut(tree); }
-    this.log.note(tree);
-  }
-}
-
-function cut(tree: Tree): number { return tree.height - depth; }
-
-const twice = (tree: Tree) => { cut(tree); cut(tree); };
-'''
-JAVA = b"""package plots;
-import plots.soil.Bed;
-
-class Orchard extends Bed implements Pruned {
-    int depth = 30;
-    Orchard() { init(); }
-    void prune(Tree tree) {
-        if (tree.old) cut(tree);
-        log.note(new Entry(tree));
-    }
-}
-"""
-GO = b"""package plots
-import (
-    "log"
-    soil "plots/soil"
-)
-
-type Orchard struct { depth int }
-type Pruned interface { Prune(t Tree) }
-
-func (o Orchard) Prune(t Tree) {
-    cut(t)
-    log.Print(t)
-}
-func cut(t Tree) int { return t.height }
-"""
-
-
-def kinds(f, kind):
-    return {s["fqn"] for s in f.symbols if s["kind"] == kind}
-
-
-def calls(f):
-    return {(c["caller_fqn"], c["callee_name"]) for c in f.calls}
-
-
-def test_python():
-    f = scan("python", PY)
-    assert f.errors == 0
-    assert kinds(f, "class") == {"Orchard"} and kinds(f, "method") == {"Orchard.prune"}
-    assert kinds(f, "function") == {"cut"} and kinds(f, "variable") == {"DEPTH"}
-    assert next(s for s in f.symbols if s["fqn"] == "Orchard.prune")["signature"] == "prune(self, tree, height=2)"
-    assert next(s for s in f.symbols if s["fqn"] == "Orchard")["docstring"] == '"""Rows of trees."""'
-    assert {i["module"]: i["symbols"] for i in f.imports} == {"math": [], "plots.soil": ["Bed", "water as pour"]}
-    assert calls(f) == {("Orchard.prune", "cut"), ("Orchard.prune", "note")}
-    assert f.inherits == [{"subclass_fqn": "Orchard", "base_name": "Bed", "kind": "inherits"}]
-
-
-def test_python_scopes():
-    f = scan("python", b"def a():\n    def b(x=c()): return d()\n    y = 1\nclass K:\n    z = e()\n    if True:\n        async def m(self): return f()()\n")
-    assert kinds(f, "function") == {"a", "a.b"} and kinds(f, "method") == {"K.m"} and kinds(f, "variable") == {"K.z"}
-    assert calls(f) == {("a.b", "d"), ("<module>", "e"), ("K.m", "f()"), ("K.m", "f")}
-
-
-def test_typescript():
-    for language in ("typescript", "tsx", "javascript"):
-        f = scan(language, TS)
-        assert f.errors == 0
-        assert kinds(f, "class") == {"Orchard"} and kinds(f, "method") == {"Orchard.prune"} and kinds(f, "enum") == {"Season"}
-        assert kinds(f, "function") == {"cut", "twice"} and kinds(f, "interface") == {"Tree"} and kinds(f, "variable") == {"depth"}
-        assert calls(f) == {("Orchard.prune", "cut"), ("Orchard.prune", "note"), ("twice", "cut")}
-        assert {(h["base_name"], h["kind"]) for h in f.inherits} == {("Bed", "inherits"), ("Pruned", "implements")}
-        assert {i["module"]: i["symbols"] for i in f.imports} == {"./plots/soil": ["Bed", "water"], "log": ["Log"]}
-
-
-def test_java():
-    f = scan("java", JAVA)
-    assert f.errors == 0
-    assert kinds(f, "class") == {"Orchard"} and kinds(f, "method") == {"Orchard.Orchard", "Orchard.prune"} and kinds(f, "variable") == {"Orchard.depth"}
-    assert calls(f) == {("Orchard.Orchard", "init"), ("Orchard.prune", "cut"), ("Orchard.prune", "note"), ("Orchard.prune", "Entry")}
-    assert {(h["base_name"], h["kind"]) for h in f.inherits} == {("Bed", "inherits"), ("Pruned", "implements")}
-    assert [i["module"] for i in f.imports] == ["plots.soil.Bed"]
-
-
-def test_go():
-    f = scan("go", GO)
-    assert f.errors == 0
-    assert kinds(f, "class") == {"Orchard"} and kinds(f, "interface") == {"Pruned"}
-    assert kinds(f, "method") == {"Orchard.Prune"} and kinds(f, "function") == {"cut"}
-    assert calls(f) == {("Orchard.Prune", "cut"), ("Orchard.Prune", "Print")}
-    assert [i["module"] for i in f.imports] == ["log", "plots/soil"]
-
-
-def test_unsupported_malformed_and_large():
-    assert scan("toml", b"[x]\ny = 1\n") is None and scan(None, b"") is None
-    for language, source in (("python", b"def (:\n  pass\n"), ("typescript", b"class { ( "), ("java", b"class A { int f( }"), ("go", b"func ( {")):
-        assert scan(language, source).errors > 0
-    big = scan("python", b"#" * (2 * 1024 * 1024 + 1))
-    assert big.errors == 1 and not big.symbols
-    assert scan("python", b"").errors == 0
+def test_other_languages_give_nothing():
+    assert scan("toml", b"[a]") is None and scan(None, b"x") is None
