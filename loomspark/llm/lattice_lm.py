@@ -8,7 +8,8 @@ words' sums (a word with a space before it), and each distinct word is summed on
 The vocabulary's scores are ranks; a piece of rank r starts with a probability in proportion to 1 / (r + ``RANK``). One
 pass of expectation maximisation over the distinct words of all learning documents, weighted by their counts, then
 re-estimates the probabilities, with the first ones as ``PRIOR`` pseudo-counts, so no piece is impossible. Characters
-outside the vocabulary are spelled by byte pieces.
+outside the vocabulary are spelled by byte pieces. Sums need those of the last few places only; a word of over ``BLOCK``
+characters is gone through in blocks, forwards and back, with a few numbers kept for each.
 
 Words are counted in the tasks and summed by word. Scores of the ``HEAD`` most frequent words (of at most ``HEAD_BYTES``
 bytes, so that the broadcast is bounded) reach the documents by broadcast; the rest by a join on the word, which no
@@ -37,8 +38,11 @@ RANK = 20.0
 PRIOR = 1000.0
 HEAD = 200_000
 HEAD_BYTES = 64
-#: Distinct words that a task counts before it passes them on.
+#: Distinct words that a task counts, and bytes of them, before it passes them on.
 FLUSH = 400_000
+FLUSH_BYTES = 32 << 20
+#: Characters of a word up to which its sums are made in one go; longer ones are made in blocks of as many.
+BLOCK = 16_384
 LN10 = math.log(10)
 
 
@@ -59,6 +63,8 @@ class Lattice:
 
     def forward(self, text: str) -> float:
         """Log probability of ``text`` (a word with its space escaped) over all segmentations."""
+        if len(text) > BLOCK:
+            return self.states(text)[-1][-1]
         get, longest, exp, log = self.log_of.get, self.longest, math.exp, math.log
         alpha = [0.0]
         for end in range(1, len(text) + 1):
@@ -72,8 +78,42 @@ class Lattice:
                 alpha.append(top + log(sum([exp(t - top) for t in terms])))
         return alpha[-1]
 
+    def extend(self, alpha: list[float], text: str, start: int, stop: int) -> list[float]:
+        """``alpha``, the sums of the last places up to ``start``, with those up to ``stop`` appended."""
+        get, longest, exp, log = self.log_of.get, self.longest, math.exp, math.log
+        base = start + 1 - len(alpha)  # the place of alpha[0]
+        for end in range(start + 1, stop + 1):
+            terms = [alpha[at - base] + p for at in range(end - longest if end - longest > base else base, end) if (p := get(text[at:end])) is not None]
+            if text[end - 1] not in self.piece:
+                terms.append(alpha[-1] + self.unknown(text[end - 1])[0])
+            if len(terms) == 1:
+                alpha.append(terms[0])
+            else:
+                top = max(terms)
+                alpha.append(top + log(sum([exp(t - top) for t in terms])))
+        return alpha
+
+    def states(self, text: str) -> list[list[float]]:
+        """The sums of the ``longest`` places before each block of ``BLOCK`` characters and, last, before the end.
+
+        No piece reaches over more places, so these are all that the next block needs, and a word of any length takes a
+        few numbers a block.
+        """
+        out, alpha = [[0.0]], [0.0]
+        for start in range(0, len(text), BLOCK):
+            alpha = self.extend(list(alpha), text, start, min(start + BLOCK, len(text)))[-self.longest :]
+            out.append(alpha)
+        return out
+
     def expect(self, text: str, weight: float, into: list[float]) -> None:
         """Adds the expected number of each piece in ``text``, times ``weight``."""
+        if len(text) > BLOCK:
+            states = self.states(text)
+            total, beta = states[-1][-1], [0.0]
+            for k in range(len(states) - 2, -1, -1):
+                start, stop = k * BLOCK, min((k + 1) * BLOCK, len(text))
+                beta = self.back(text, start, stop, self.extend(list(states[k]), text, start, stop), beta, total, weight, into)
+            return
         get, longest, exp, log = self.piece.get, self.longest, math.exp, math.log
         alpha, arcs = [0.0], []
         for end in range(1, len(text) + 1):
@@ -113,6 +153,39 @@ class Lattice:
                 d = x - old
                 beta[start] = x + log(1 + exp(-d)) if d > 0 else old + log(1 + exp(d))
 
+    def back(self, text: str, start: int, stop: int, alpha: list[float], beta: list[float | None], total: float, weight: float, into: list[float]) -> list[float | None]:
+        """One block of the recursion from the end: all pieces that end in it are counted.
+
+        ``alpha`` ends at ``stop``; ``beta`` are the sums behind of places up to ``stop``, complete at ``stop``. Returned are those
+        up to ``start``, to which only pieces that end in the block have contributed yet.
+        """
+        get, longest, exp, log = self.piece.get, self.longest, math.exp, math.log
+        base = stop + 1 - len(alpha)
+        own: list[float | None] = [None] * (stop + 1 - base)
+        own[len(own) - min(len(beta), len(own)) :] = beta[-len(own) :]
+        for end in range(stop, start, -1):
+            b = own[end - base]
+            if b is None:
+                continue
+            arcs = [(at, p[0], p[1]) for at in range(end - longest if end - longest > base else base, end) if (p := get(text[at:end])) is not None]
+            if text[end - 1] not in self.piece:
+                arcs.append((end - 1, *self.unknown(text[end - 1])))
+            for at, p, piece in arcs:
+                x = p + b
+                q = weight * exp(alpha[at - base] + x - total)
+                if piece.__class__ is int:
+                    into[piece] += q
+                else:
+                    for i in piece:
+                        into[i] += q
+                old = own[at - base]
+                if old is None:
+                    own[at - base] = x
+                else:
+                    d = x - old
+                    own[at - base] = x + log(1 + exp(-d)) if d > 0 else old + log(1 + exp(d))
+        return own[: start + 1 - base]
+
 
 #: Stands for a literal U+2581, which is no word start; a noncharacter, in no vocabulary.
 LITERAL = "\ufdd0"
@@ -153,11 +226,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         seen: dict[bytes, int] = {}
+        size_of = 0
 
         def flush():
             words, counts = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
-            for i in range(0, len(words), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 20_000], pa.binary()), pa.array(counts[i : i + 20_000])], ["word", "n"])
+            step = 20_000 if size_of <= FLUSH_BYTES else 1_000
+            for i in range(0, len(words), step):
+                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + step], pa.binary()), pa.array(counts[i : i + step])], ["word", "n"])
             seen.clear()
 
         for b in batches:
@@ -168,8 +243,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 for x, c in zip(distinct.to_pylist(), counts.tolist(), strict=True):
                     if x:
                         seen[x] = seen.get(x, 0) + c
-                if len(seen) > FLUSH:
+                size_of += distinct.nbytes
+                if len(seen) > FLUSH or size_of > 8 * FLUSH_BYTES:
                     yield from flush()
+                    size_of = 0
         yield from flush()
 
     return docs.select("held_out", "text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
