@@ -2,9 +2,10 @@
 
 Windows of ``WINDOW`` bytes of a text, one after another to its end, go through filters of several widths over byte
 embeddings, a maximum over the window and a softmax. A text's distribution is the mean of its windows' log
-probabilities, normalised. The network is trained in numpy on at most ``PER_LANG`` labelled documents of each language
-(those with the smallest hash of their id; each gives at most ``WINDOWS_PER_DOC`` windows spread over its whole text);
-that bound is the only one: every byte of every text is scored.
+probabilities, normalised. The network is trained in numpy on labelled documents of every language there is: at most
+``PER_LANG`` of each, those with the smallest hashes of id and text, and at most ``MOST_DOCS`` in all (one of each language at
+least), each of which gives at most ``WINDOWS_PER_DOC`` windows spread over its whole text. These are the only bounds:
+every byte of every text is scored, and every learned language can be predicted.
 
 A filter of width w is a sum of w rows, one for each byte value. For scoring, rows of neighbouring bytes are added
 beforehand into tables of byte pairs, which gives the same sums.
@@ -18,17 +19,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import blocks, common
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 PER_LANG = 600
 WINDOWS_PER_DOC = 6
-MAX_LANGS = 256
+MOST_DOCS = 30_000
 FOLDS = 5
 
 
@@ -64,8 +65,26 @@ class ByteCNN:
             best.append(np.take_along_axis(sums, top[:, None], 1)[:, 0])
         return np.concatenate(best, 1), at
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross entropy by filters, output weights and bias; those of a maximum go to the place where it was."""
+        best, at = self.forward(x)
+        hidden = np.maximum(best, 0)
+        p = softmax(hidden @ self.out + self.bias)
+        p[np.arange(len(y)), y] -= 1
+        p /= len(y)
+        back = (p @ self.out.T) * (best > 0)
+        grads = []
+        for i, w in enumerate(WIDTHS):
+            g = np.zeros_like(self.filters[w])
+            part = back[:, i * FILTERS : (i + 1) * FILTERS]
+            cols = np.broadcast_to(np.arange(FILTERS), part.shape)
+            for j in range(w):
+                np.add.at(g[j], (np.take_along_axis(x, at[i] + j, 1), cols), part)
+            grads.append(g)
+        return [*grads, hidden.T @ p, p.sum(0)]
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteCNN:
-        """Adam on the cross entropy; gradients of a maximum go to the place where it was."""
+        """Adam on the cross entropy."""
         rng = np.random.default_rng(seed)
         params = [*self.filters.values(), self.out, self.bias]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -75,24 +94,8 @@ class ByteCNN:
             lr = rate * (0.3 if epoch >= epochs * 2 // 3 else 1)
             for k in range(0, len(x), batch):
                 rows = order[k : k + batch]
-                xb, yb = x[rows], y[rows]
-                best, at = self.forward(xb)
-                hidden = np.maximum(best, 0)
-                p = softmax(hidden @ self.out + self.bias)
-                p[np.arange(len(yb)), yb] -= 1
-                p /= len(yb)
-                back = (p @ self.out.T) * (best > 0)
-                grads = []
-                for i, w in enumerate(WIDTHS):
-                    g = np.zeros_like(self.filters[w])
-                    part = back[:, i * FILTERS : (i + 1) * FILTERS]
-                    cols = np.broadcast_to(np.arange(FILTERS), part.shape)
-                    for j in range(w):
-                        np.add.at(g[j], (np.take_along_axis(xb, at[i] + j, 1), cols), part)
-                    grads.append(g)
-                grads += [hidden.T @ p, p.sum(0)]
                 step += 1
-                for q, g, a, b in zip(params, grads, m, v, strict=True):
+                for q, g, a, b in zip(params, self.gradients(x[rows], y[rows]), m, v, strict=True):
                     a += 0.1 * (g - a)
                     b += 0.001 * (g * g - b)
                     q -= lr * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8) + lr * 1e-4 * q
@@ -130,30 +133,34 @@ def log_probs(model: dict, x: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> dict | None:
-    """The network for the languages of ``docs`` (text, lang), or None without labelled text.
+def train(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST_DOCS) -> dict | None:
+    """The network for the languages of ``docs`` (doc_id, text, lang), or None without labelled text.
 
-    At most MAX_LANGS languages, the most frequent ones, and ``per_lang`` documents each come to the driver.
+    At most ``per_lang`` documents of each language come to the driver, and ``most`` in all, but one of each.
     """
-    rows = docs.where("lang is not null and text is not null and length(text) > 0")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    if not counts:
+    rows = docs.where("lang is not null and text is not null and length(text) > 0").select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = common.saved(counts, "languages")
+    n_langs = counts.count()
+    if not n_langs:
         return None
-    # one scan: of each language the share of all hash values that holds somewhat more than per_lang documents
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * per_lang / n + 20 / n))])
-    hashed = rows.withColumn("_h", F.xxhash64("doc_id", "text")).where(F.pmod("_h", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    each = max(1, min(per_lang, most // n_langs))
+    # of each language the share of all hash values that holds somewhat more than is taken
+    share = counts.select("lang", F.least(F.lit(1.0), (F.lit(1.2 * each + 20)) / F.col("n")).alias("_share"))
+    some = rows.join(F.broadcast(share) if n_langs <= MOST_DOCS else share, "lang").where(F.pmod("_h", F.lit(1 << 30)) < F.col("_share") * (1 << 30))
     # of a long text, only the windows' texts travel
     size, step = F.length("text"), WINDOW * 4 // 5
     spread = [F.col("text").substr((F.lit(1) + (size - step) * i / (WINDOWS_PER_DOC - 1)).cast("int"), F.lit(step)) for i in range(WINDOWS_PER_DOC)]
     pieces = F.when(size <= step * WINDOWS_PER_DOC, F.array("text")).otherwise(F.array(*spread))
-    got = hashed.select("lang", "_h", pieces.alias("_p")).limit(2 * len(counts) * (per_lang + 40)).collect()
-    langs, x, y = sorted(counts), [], []
-    for k, lang in enumerate(langs):
-        for r in sorted((r for r in got if r["lang"] == lang), key=lambda r: (r["_h"] % (1 << 30), r["_p"]))[:per_lang]:
-            for piece in r["_p"]:
-                w = windows(piece)[:WINDOWS_PER_DOC]
-                x.append(w)
-                y.append(np.full(len(w), k))
+    once = some.groupBy("lang", "_h").agg(F.min(pieces).alias("_p"))  # rows that repeat are one
+    w = Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 30)), "_p")
+    got = once.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each).select("lang", "_h", "_p").collect()
+    langs = sorted({r["lang"] for r in got})
+    number, x, y = {lang: k for k, lang in enumerate(langs)}, [], []
+    for r in sorted(got, key=lambda r: (r["lang"], r["_h"] % (1 << 30), r["_p"])):
+        for piece in r["_p"]:
+            x.append(windows(piece)[:WINDOWS_PER_DOC])
+            y.append(np.full(len(x[-1]), number[r["lang"]]))
     return ByteCNN(langs).fit(np.concatenate(x), np.concatenate(y)).compiled() if x else None
 
 
@@ -165,8 +172,8 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     def run(batches):
         model = shared.value
         for b in batches:
-            for i in range(0, b.num_rows, 128):
-                part = b.column(2).slice(i, 128).to_pylist()
+            for i, size in blocks.slices(b.column(2), 128):
+                part = b.column(2).slice(i, size).to_pylist()
                 lang, score = ["und"] * len(part), np.zeros(len(part))
                 use = [k for k, t in enumerate(part) if t and model and any(map(str.isalpha, t))]
                 if use:

@@ -712,6 +712,78 @@ def test_lattice_scores(docs, odd, empty, model):
     assert lattice_lm.scores(empty.select("doc_id", "text"), model).count() == 0
 
 
+def segmentations(v, text):
+    """All ways to spell a text: lists of ids, with the number of byte pieces' characters spelled in full."""
+    if not text:
+        return [[]]
+    out = []
+    for end in range(1, len(text) + 1):
+        if text[:end] in v.id:
+            out += [[v.id[text[:end]], *rest] for rest in segmentations(v, text[end:])]
+    if text[0] not in v.id:
+        spelled = [v.id_of_byte[b] for b in lattice_lm.spelled(text[0])]
+        out += [[*spelled, *rest] for rest in segmentations(v, text[1:])]
+    return out
+
+
+def test_lattice_scores_and_learning_equal_brute_force(spark, model):
+    """Every segmentation of every word, one step of expectation maximisation over the learning rows, then all texts' sums."""
+    v = sentencepiece_stream.Vocabulary(model)
+    texts = ["the cat sat", "a Cat \U0001f600 x", "", None, "threes the", "the the ▁a", "日本 cat", "sat", "unseen zq", "cats", "x", "the end"] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lp", F.lit("kept")).withColumn("word", F.lit(1)).withColumn("row", F.lit(2))
+    p = np.exp(lattice_lm.first_logs(v))
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    assert 0 < sum(held) < len(held)
+    words = [[lattice_lm.escaped(w) for w in common.spaced_words(t)] for t in texts]
+    ways = {w: segmentations(v, w) for ws in words for w in ws}
+    n = p * lattice_lm.PRIOR
+    for ws, h in zip(words, held, strict=True):
+        if not h:
+            n[-1] += 1
+            for w in ws:
+                weights = [math.prod(p[i] for i in way) for way in ways[w]]
+                for way, x in zip(ways[w], weights, strict=True):
+                    for i in way:
+                        n[i] += x / sum(weights)
+    q = n / n.sum()
+    for head in (0, 3, 10**6):
+        got = {r.doc_id: r for r in lattice_lm.scores(df, model, head=head).collect()}
+        for i, ws in enumerate(words):
+            want = math.log10(q[-1]) + sum(math.log10(sum(math.prod(q[j] for j in way) for way in ways[w])) for w in ws)
+            assert math.isclose(got[i].score, want, rel_tol=1e-9) and got[i].held_out == held[i]
+
+
+def test_long_words_take_bounded_memory(model, monkeypatch):
+    import tracemalloc
+
+    v = sentencepiece_stream.Vocabulary(model)
+    lattice = lattice_lm.Lattice(v, lattice_lm.first_logs(v))
+    rng = np.random.default_rng(3)
+    word = "".join(rng.choice(list("abcdeXYZ019+/é日😀"), 900))
+    want, whole = [0.0] * (v.size + 1), lattice.forward(word)
+    lattice.expect(word, 2.0, want)
+    for block in (1, 7, 16, 100, 899):
+        monkeypatch.setattr(lattice_lm, "BLOCK", block)
+        got = [0.0] * (v.size + 1)
+        lattice.expect(word, 2.0, got)
+        assert math.isclose(lattice.forward(word), whole, rel_tol=1e-12) and np.allclose(got, want, rtol=1e-9, atol=1e-12)
+    monkeypatch.setattr(lattice_lm, "BLOCK", 2000)
+    peak = []
+    for n in (20_000, 160_000):
+        word = "".join(rng.choice(list("abcdeXYZ019+/"), n))
+        tracemalloc.start()
+        lattice.expect(word, 1.0, [0.0] * (v.size + 1))
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[1] < peak[0] + 200_000
+
+
+def test_a_text_of_one_long_word(spark, model):
+    rows = [(1, "QUJD" * 30_000), (2, "日本" * 20_000), (3, "plain words")]
+    got = {r.doc_id: r for r in lattice_lm.scores(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[i].n_tokens for i in (1, 2, 3)] == [2, 2, 3] and all(math.isfinite(got[i].score) for i in got) and got[1].score < -10_000
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------------
 
 
@@ -726,6 +798,61 @@ def test_language_network(docs, odd, empty):
     assert {r.lang_pred for r in language_cnn.predict(odd, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i // 4) * 3} l{i // 4} text {i}", f"l{i // 4:03d}") for i in range(1200)]
+    net = language_cnn.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=300)
+    assert net["langs"] == [f"l{k:03d}" for k in range(300)] and net["out"].shape[1] == 300
+    few = spark.createDataFrame([(1, "one text", "aa"), (1, "one text", "aa"), (2, "der text", "bb"), (None, "le text", "cc"), (3, None, "dd"), (4, "x", None)], "doc_id long, text string, lang string")
+    net = language_cnn.train(few.unionByName(few))
+    assert net["langs"] == ["aa", "bb", "cc"]
+
+
+def brute_network(net, x):
+    """Largest sum of each filter over each window, place by place, then the softmax."""
+    out = []
+    for row in x:
+        best = []
+        for w in language_cnn.WIDTHS:
+            for k in range(language_cnn.FILTERS):
+                best.append(max(sum(float(net.filters[w][j, row[i + j], k]) for j in range(w)) for i in range(len(row) - w + 1)))
+        z = [float(net.bias[c]) + sum(max(b, 0.0) * float(net.out[i, c]) for i, b in enumerate(best)) for c in range(len(net.langs))]
+        e = [math.exp(v - max(z)) for v in z]
+        out.append([v / sum(e) for v in e])
+    return np.array(out)
+
+
+def test_network_equals_brute_force_and_its_gradients_are_right():
+    net = language_cnn.ByteCNN(["a", "b", "c"], seed=3)
+    x = language_cnn.windows("Ein kurzer Text, é 日本 and more of it" * 9)[:2]
+    want = brute_network(net, x)
+    assert np.allclose(np.exp(language_cnn.log_probs(net.compiled(), x)), want, atol=1e-5)
+    y = np.array([2, 0])
+    for p in (*net.filters.values(), net.out, net.bias):
+        p[...] = p.astype(np.float32)
+    loss = lambda: -np.log(brute_network(net, x)[np.arange(2), y]).mean()
+    grads = net.gradients(x, y)
+    params = [*net.filters.values(), net.out, net.bias]
+    rng = np.random.default_rng(1)
+    for p, g in zip(params, grads, strict=True):
+        at = [np.unravel_index(k, p.shape) for k in np.argsort(-np.abs(g), axis=None)[:2]] + [tuple(rng.integers(s) for s in p.shape)]
+        for k in at:
+            old, step = p[k].copy(), 1e-2
+            p[k] = old + step
+            up = loss()
+            p[k] = old - step
+            down = loss()
+            p[k] = old
+            assert abs((up - down) / (2 * step) - g[k]) < 2e-3
+
+
+def test_ties_go_to_the_first_language_and_long_texts_to_their_end(spark):
+    net = language_cnn.ByteCNN(["aa", "bb"])
+    net.out[:], net.bias[:] = 0, 0
+    df = spark.createDataFrame([(1, "word"), (2, "x" * 2_000_000), (2, "x" * 2_000_000)], "doc_id long, text string")
+    assert {(r.lang_pred, r.score) for r in language_cnn.predict(df, net.compiled()).collect()} == {("aa", 0.5)}
+    assert len(language_cnn.windows("é" * 1000)) == -(-2000 // language_cnn.WINDOW)
+
+
 def test_compiled_tables_equal_the_filters():
     net = language_cnn.ByteCNN(["a", "b"])
     x = language_cnn.windows("some text é 日本" * 30)
