@@ -1,12 +1,15 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The vocabulary and scores are those of an existing model file; nothing is trained. The search goes through a text once,
-keeps the best score and backpointer of the last ``longest`` positions only (no piece is longer), and commits ids as
-soon as the backpointer paths of all live positions meet at one boundary, so its memory doesn't grow with the text.
+The vocabulary and scores are those of an existing model file; nothing is trained. The search (``search``) goes through a
+text once. Best scores are kept for the last ``longest`` places only, as no piece is longer; the backpointers form a tree,
+from which a place goes when no live place descends from it. As soon as all that live descend from one boundary, the ids
+up to it are committed and the tree starts there. So beside the text and its ids only the open paths are held.
 
 Where no piece of the vocabulary reaches across a place, all paths meet there. Such places are known beforehand: before
-a word's ``\\u2581`` if no piece has one after another character, and around characters that are in no piece. A text is
-cut there, and the ids of each distinct word are remembered while it is among the latest ``CACHE`` to twice as many.
+a word's ``\u2581`` if no piece has one after another character, and around characters that are in no piece. Whole texts
+are streamed from one such place to the next (``stream``); what is between two is searched by itself, and as its ids
+depend on nothing else, those of words are remembered while they are among the latest ``CACHE`` to twice as many. This
+memory of words is a shortcut alone: without it the same search gives the same ids.
 
 Characters outside the vocabulary cost ``min score - 10`` each and become byte pieces. A literal ``\\u2581`` becomes byte
 pieces too, so decoding returns every text unchanged. Defined results: a null text has null ids, an empty one none;
@@ -88,41 +91,80 @@ class Vocabulary:
             v.cache, v.older = {}, {}
 
     def search(self, text: str):
-        """Yields the ids of ``text`` (already escaped), bit by bit, as paths meet.
+        """Yields the ids of ``text`` (already escaped), piece by piece, as paths meet.
 
-        ``best`` and ``back`` cover the open positions from the last commit on. After each step, the paths of the last
-        ``longest`` positions (only these can still be extended) are followed back; the boundary they share is committed.
+        Places are numbered from ``base`` on. ``best`` has the scores of the places that pieces can still start from or have
+        reached, ``back`` where a place's best piece starts. ``kids`` counts the places that live on below a place and
+        ``sum_of`` adds up their numbers, so that an only one is known. A place lives while it is among the last ``longest``
+        or something that lives descends from it.
         """
-        score, longest, unknown, n = self.score, self.longest, self.unknown, len(text)
-        base, best, back = 0, [0.0], [0]  # positions base, base + 1, ...
-        check = 4 * longest
-        for end in range(1, n + 1):
-            top, at = -np.inf, end - 1
-            for start in range(max(base, end - longest), end):
-                s = score.get(text[start:end])
-                if s is not None and best[start - base] + s > top:
-                    top, at = best[start - base] + s, start
-            if text[end - 1] not in score and best[end - 1 - base] + unknown > top:
-                top, at = best[end - 1 - base] + unknown, end - 1
-            best.append(top)
-            back.append(at)
-            if end - base >= check and end < n:
-                live = set(range(end - longest + 1, end + 1))
-                while len(live) > 1:
-                    live.remove(far := max(live))
-                    live.add(back[far - base])
-                meet = live.pop()
-                if meet > base:
-                    yield from self._ids(text, base, meet, back)
-                    best, back, base = best[meet - base :], [meet, *back[meet - base + 1 :]], meet
-                    check = 4 * longest
-                else:
-                    check = 2 * (end - base)
-        if n > base:
-            yield from self._ids(text, base, n, back)
+        get, longest, unknown, n = self.starts.get, self.longest, self.unknown, len(text)
+        base, best, back = 0, [0.0], [-1]
+        kids, sum_of, root = [0], [0], 0
+        for start in range(n):
+            # the place is final: its best piece is known, and it hangs below that piece's start
+            if start:
+                at = back[start - base] - base
+                kids[at] += 1
+                sum_of[at] += start
+                gone = start - longest - 1  # no piece starts there any more
+                while gone > root and not kids[gone - base]:
+                    up = back[gone - base] - base
+                    kids[up] -= 1
+                    sum_of[up] -= gone
+                    if up + base >= start - longest:
+                        break
+                    gone = up + base
+                while root < start - longest and kids[root - base] == 1:
+                    below = sum_of[root - base]
+                    yield from self._ids(text[root:below])
+                    root = below
+                if root - base >= 4096:
+                    cut = root - base
+                    best, back, kids, sum_of, base = best[cut:], back[cut:], kids[cut:], sum_of[cut:], root
+            here = best[start - base]
+            top = len(best) + base
+            for end in range(start + 1, min(start + longest, n) + 1):
+                s = get(text[start:end], 0)
+                if s is None:
+                    if end >= top:
+                        best.append(-1e300)
+                        back.append(end - 1)
+                        kids.append(0)
+                        sum_of.append(0)
+                        top += 1
+                    continue
+                if s == 0 and s.__class__ is int:
+                    break
+                if end >= top:
+                    best.append(here + s)
+                    back.append(start)
+                    kids.append(0)
+                    sum_of.append(0)
+                    top += 1
+                elif here + s > best[end - base]:
+                    best[end - base], back[end - base] = here + s, start
+            if start + 1 >= top:
+                best.append(-1e300)
+                back.append(start)
+                kids.append(0)
+                sum_of.append(0)
+            if here + unknown > best[start + 1 - base] and text[start] not in self.score:
+                best[start + 1 - base], back[start + 1 - base] = here + unknown, start
+        places, end = [], n
+        while end > root:
+            places.append(end)
+            end = back[end - base]
+        for end in reversed(places):
+            yield from self._ids(text[root:end])
+            root = end
+
+    def _ids(self, piece: str) -> list[int]:
+        """The id of a piece, or those of the byte pieces of a character outside the vocabulary."""
+        return [self.id[piece]] if piece in self.id else [self.id_of_byte[x] for x in piece.encode("utf-8", "surrogatepass")]
 
     def short(self, text: str) -> bytes:
-        """What ``search`` gives, for texts shorter than its window; goes on from each place as long as some piece starts so."""
+        """What ``search`` gives, for texts of no more characters than its window has places: nothing can be committed before the end."""
         get, unknown, n = self.starts.get, self.unknown, len(text)
         best, back = [-1e300] * (n + 1), list(range(-1, n))
         best[0] = 0.0
@@ -141,34 +183,33 @@ class Vocabulary:
         out, raw = [], self.raw
         while n:
             piece = text[back[n] : n]
-            if piece in raw:
-                out.append(raw[piece])
-            else:
-                out.append(np.asarray(self._ids(text, back[n], n, [0, back[n]]), "<i4").tobytes() if n - back[n] == 1 else b"")
+            out.append(raw.get(piece) or np.asarray(self._ids(piece), "<i4").tobytes())
             n = back[n]
         return b"".join(out[::-1])
 
-    def _ids(self, text: str, base: int, end: int, back: list[int]) -> list[int]:
-        out: list[int] = []
-        while end > base:
-            start = back[end - base]
-            piece = text[start:end]
-            if piece in self.id:
-                out.append(self.id[piece])
-            else:
-                out.extend(self.id_of_byte[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
-            end = start
-        return out[::-1]
-
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian int32 bytes."""
+        return b"".join(self.stream(text))
+
+    def stream(self, text: str):
+        """Yields the ids of a whole text, bit by bit, from its start to its end."""
         if not text:
-            return b""
-        first, *rest = text.split(SPACE)  # no path goes through a literal U+2581: it becomes bytes
-        out = self.part(SPACE + first.replace(" ", SPACE))
-        for x in rest:
-            out += self.literal + self.part(x.replace(" ", SPACE))
-        return out
+            return
+        first = True
+        for part in text.split(SPACE):  # no path goes through a literal U+2581: it becomes bytes
+            if not first:
+                yield self.literal
+            for x in self.cut.finditer((SPACE if first else "") + part.replace(" ", SPACE)):
+                x = x[0]
+                known = self.cache.get(x[1:]) if x[:1] == SPACE and len(x) > 1 else self.marks.get(x)
+                if known is not None:
+                    yield known
+                elif len(x) > self.longest:
+                    for i in self.search(x):
+                        yield i.to_bytes(4, "little")
+                else:
+                    yield self.short(x)
+            first = False
 
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of words (no white space, no U+2581) after a space or at a text's start."""
@@ -201,7 +242,7 @@ class Vocabulary:
         return out
 
     def piece_ids(self, text: str) -> bytes:
-        return self.short(text) if len(text) <= 2 * self.longest else np.fromiter(self.search(text), "<i4").tobytes()
+        return self.short(text) if len(text) <= self.longest else np.fromiter(self.search(text), "<i4").tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space that encoding puts before it goes."""
