@@ -1,8 +1,9 @@
 """License scan by ordered signature rules; DataFrame functions only, and no exchange: each document is scanned where it lies.
 
 A text is A-Z lower-cased and turned into its words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with one space before each and one
-at the end. Hundreds of signatures, regular expressions over such words, are made from a table of license families and a
-few ways to name a license. Each has a keyword; texts without any keyword are never normalised, and of the others only
+at the end. Hundreds of hand-written signatures (``license_signatures``: grants, conditions, warranties, headers, exceptions,
+SPDX identifiers) and those that a table of license families gives for titles and versions are regular expressions over
+such words. Each has a keyword; texts without any keyword are never normalised, and of the others only
 the signatures whose keyword occurs are tried. A signature has a priority (3: with a version or a license's own
 sentence, 2: a title, 1: a hint); a detection whose words lie within those of one with the same or a higher priority is
 suppressed, equal intervals by order of the rules. The labels of the base phrases stay even then.
@@ -16,6 +17,7 @@ row; other columns pass by.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .license_signatures import SIGNATURES, SPDX
 
 BLOCK = 256
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -144,6 +147,8 @@ def rules() -> list[Rule]:
         out.append(Rule(f"cc-by{suffix}", "creative", f"creative commons {title}( licen[sc]e)?", 2))
     out.append(Rule("cc0", "cc0", "cc0", 2))
     out += [Rule(label, keyword, text, 3) for label, text, keyword in SENTENCES]
+    out += [Rule(label, keyword, pattern, priority) for label, keyword, priority, pattern, _ in SIGNATURES]
+    out += [Rule(x.lower(), "spdx", f"spdx licen[sc]e identifier {re.sub('[^a-z0-9]+', ' ', x.lower())}", 3) for x in SPDX]
     out += [Rule(label, keyword, text, 1) for label, text, keyword in HINTS]
     return list(dict.fromkeys(out))
 
@@ -193,7 +198,8 @@ def detections(norm: Column, signatures: list[Rule]) -> Column:
     """All detections, sorted: first word s, -(word after the last) ne, -priority np, number of the rule, label. ``norm`` is bound already."""
     occurring = F.regexp_extract_all(norm, F.lit(f" ({'|'.join(keywords(signatures))})(?= )"), F.lit(1))
     occurring = F.array_distinct(F.transform(occurring, lambda w: F.when(w == "licence", F.lit("license")).otherwise(w)))
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.keyword).alias("keyword"), F.lit(f" {r.pattern}(?= )").alias("pattern"), F.lit(-r.priority).alias("np"), F.lit(r.label).alias("label")) for i, r in enumerate(signatures)])
+    one = "named_struct('rule', {}, 'keyword', '{}', 'pattern', r' {}(?= )', 'np', {}, 'label', '{}')"
+    table = F.expr(f"array({', '.join(one.format(i, r.keyword, r.pattern, -r.priority, r.label) for i, r in enumerate(signatures))})")
     none = F.array().cast(f"array<{DETECTION}>")
 
     def places(rule):
