@@ -3,8 +3,8 @@
 Statistics of each text (words, characters, symbols, repeated lines and words) become a vector of ``FEATURES`` on scales
 where ordinary text is about normal. For each language and source a minimum-covariance-determinant estimate is made over
 all its documents: from the median and the median absolute deviations, concentration steps take the ``SUPPORT`` share of
-documents nearest by Mahalanobis distance and compute mean and covariance of these, ``STEPS`` times (the determinant
-never rises). The covariance is scaled so that the median distance is that of a normal distribution, and texts beyond
+documents nearest by Mahalanobis distance and compute mean and covariance of these, ``STEPS`` times. (Plain steps never
+raise the determinant; here floors and the mixing below change the estimate after each, so that isn't promised.) The covariance is scaled so that the median distance is that of a normal distribution, and texts beyond
 ``CUTOFF`` are rejected.
 
 Every step is two grouped aggregations with partial sums (a quantile sketch and moments) over a small table of vectors,

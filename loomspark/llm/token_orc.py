@@ -225,13 +225,20 @@ def write(docs: DataFrame, path: str, model: bytes, end_id: int = 0, stripe_mb:
     )
 
 
+#: Files (a row of some 100 bytes each) whose starts are broadcast; those of more are joined as any table is.
+MOST_FILES = 100_000
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows with ``start``, the ids of all documents before; a filter on doc_id skips stripes.
 
-    One row for each file is broadcast; ``write`` makes 100,000 files at most.
+    ``write`` makes a file for each range it deals or, of ordered input, for each partition that is read.
     """
-    rows = spark.read.schema("doc_id long, local_start long, n_tokens long, ids array<int>").orc(path).withColumn("_file", F.col("_metadata.file_path"))
-    return rows.join(F.broadcast(starts(rows)), F.col("_file") == F.col("_of"), "left").select("doc_id", (F.col("_before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    rows = spark.read.schema("doc_id long, local_start long, n_tokens long, ids array<int>").orc(path)
+    n_files = len(rows.inputFiles())
+    rows = rows.withColumn("_file", F.col("_metadata.file_path"))
+    before = starts(rows)
+    return rows.join(F.broadcast(before) if n_files <= MOST_FILES else before, F.col("_file") == F.col("_of"), "left").select("doc_id", (F.col("_before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def starts(rows: DataFrame) -> DataFrame:

@@ -85,6 +85,55 @@ def test_streaming_viterbi_is_optimal(model, rows):
         assert np.frombuffer(v.encode(text), "<i4").tolist() == ids
 
 
+def score_of(v, ids, escaped):
+    return sum(v.score[v.pieces[i]] for i in ids if i not in v.byte_id) + v.unknown * sum(1 for c in escaped if c not in v.chars)
+
+
+def test_streaming_viterbi_is_optimal_on_whole_texts(model, rows):
+    """Through the texts' ends, line breaks and all; with remembered words and without."""
+    v, fresh = sentencepiece_stream.Vocabulary(model), sentencepiece_stream.Vocabulary(model)
+    texts = [r.text for r in rows if r.text][:40] + [ODD[-1][1][:30_000], "日本" * 300 + " é" * 50, " two  blanks ", "x\n\n y", "QUJD" * 500]
+    import pyarrow as pa
+
+    offsets, ids = v.block(pa.array(texts))
+    for text, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
+        escaped = "▁" + text.replace(" ", "▁")
+        whole = list(fresh.search(escaped))
+        assert math.isclose(score_of(v, whole, escaped), best_score(v, escaped), rel_tol=1e-9)
+        assert ids[a:b].tolist() == whole
+        assert np.frombuffer(b"".join(fresh.stream(text)), "<i4").tolist() == whole
+
+
+def test_streaming_search_commits_early_and_holds_little(model):
+    import tracemalloc
+
+    v = sentencepiece_stream.Vocabulary(model)
+    rng = np.random.default_rng(5)
+
+    class Watched(str):
+        furthest = 0
+
+        def __getitem__(self, k):
+            end = k.stop if isinstance(k, slice) else k + 1
+            self.furthest = max(self.furthest, end)
+            return str.__getitem__(self, k)
+
+    text = Watched("▁" + "".join(rng.choice(list("abcdefgh日"), 5000)))
+    at, lag = 0, 0
+    for i in v.search(text):
+        at += len(v.pieces[i]) if i not in v.byte_id else 0
+        lag = max(lag, text.furthest - at)
+    assert lag < 60 * v.longest  # long before the end
+    peak = []
+    for n in (30_000, 240_000):
+        text = "".join(rng.choice(list("abcdefgh"), n))
+        tracemalloc.start()
+        assert sum(1 for _ in v.search(text)) > n / 10
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[1] < peak[0] + 300_000
+
+
 def test_sentencepiece_round_trip(odd, empty, model, docs):
     got = sentencepiece_stream.encode(odd, model, check="ok").collect()
     assert len(got) == len(ODD) and all(r.ok for r in got)
@@ -168,6 +217,32 @@ def test_quality_salted_join_and_odd_rows(spark, odd, empty, docs, monkeypatch):
     assert {r.doc_id: r.kept for r in quality_mcd.judged(docs.select(*cols)).collect()} == plain
 
 
+def test_quality_groups_ties_and_clashing_names(spark, odd, docs):
+    """Several languages and sources, each with its own estimate; equal rows are judged alike; columns of any name are ignored."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(900):
+        lang, source = ("en", "de", None)[i % 3], ("a", "b")[i // 3 % 2]
+        n = {"a": 60, "b": 300}[source]
+        rows.append((i, " ".join("w" * int(rng.integers(2, 9)) + str(rng.integers(900)) for _ in range(int(n * rng.uniform(0.8, 1.25)))), lang, source, 0))
+    rows += [(1000 + i, rows[0][1], "en", "a", 0) for i in range(50)]  # ties in all features
+    rows.append((2000, rows[3][1].replace(" ", " #$%& "), "en", "b", 0))
+    df = spark.createDataFrame(rows, DOC)
+    got = quality_mcd.judged(df.select("doc_id", "lang", "source", "text")).toPandas()
+    good = got[~got.base_failed].reset_index(drop=True)
+    groups = [(g.lang, g.source) for g in good.itertuples()]
+    want = brute_mcd(good[list(quality_mcd.FEATURES)].to_numpy(), groups)
+    assert len(set(groups)) == 6 and np.allclose(good.d2, want, rtol=2e-3, atol=2e-3)
+    same = good[good.doc_id.isin([0, *range(1000, 1050)])]
+    assert same.d2.nunique() == 1 and same.kept.nunique() == 1
+    assert not good[good.doc_id == 2000].kept.any() and good.kept.mean() > 0.95
+    named = df.withColumn("x0", F.lit("kept")).withColumn("n_words", F.lit("kept")).withColumn("d2", F.lit(1)).withColumn("_s", F.lit(2)).withColumn("limit", F.lit(3)).withColumn("m0", F.lit(4))
+    assert {r.doc_id: r.kept for r in quality_mcd.judged(named).collect()} == dict(zip(got.doc_id, got.kept, strict=True))
+    assert quality_mcd.judged(odd).count() == len(ODD)
+    alike = spark.createDataFrame([(i, rows[0][1], "en", "a", 0) for i in range(30)], DOC)  # nothing varies at all
+    assert quality_mcd.judged(alike).where("kept").count() == 30
+
+
 def test_each_quality_feature_rejects_by_itself(spark):
     rng = np.random.default_rng(5)
     line = lambda k: " ".join(rng.choice([f"w{i}" for i in range(500)], k))
@@ -220,6 +295,45 @@ def test_token_files_of_ordered_input_need_no_exchange(spark, docs, tmp_path):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in looked._jdf.queryExecution().executedPlan().toString()
 
 
+def test_orc_files_have_stripes_indexes_run_lengths_and_bloom_filters(spark, docs, odd, tmp_path):
+    model = open(common.tokenizer("byte_bpe_50k.json"), "rb").read()
+    many = docs.select((F.col("doc_id") * 2).alias("doc_id"), "text").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(60)))).select((F.col("doc_id") + F.col("k") * 1000).alias("doc_id"), "text", F.lit("x").alias("ids"), F.lit(1).alias("local_start"))
+    token_orc.write(many.coalesce(1), str(tmp_path / "t"), model, stripe_mb=1)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    kinds, encodings, stripes, rows = set(), set(), 0, 0
+    for path in (tmp_path / "t").glob("*.orc"):
+        orc = jvm.org.apache.orc.OrcFile
+        reader = orc.createReader(jvm.org.apache.hadoop.fs.Path(str(path)), orc.readerOptions(conf))
+        assert reader.getRowIndexStride() == 2000
+        parts = reader.rows()
+        for stripe in reader.getStripes():
+            footer = parts.readStripeFooter(stripe)
+            stripes += 1
+            rows += stripe.getNumberOfRows()
+            kinds |= {str(x.getKind()) for x in footer.getStreamsList()}
+            encodings |= {str(x.getKind()) for x in footer.getColumnsList()}
+        parts.close()
+    assert rows == docs.count() * 61 and stripes > 1
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8", "DATA", "LENGTH"} <= kinds and "DIRECT_V2" in encodings  # run lengths of the second kind
+    read = token_orc.read(spark, str(tmp_path / "t"))
+    assert read.where("doc_id = 1999").count() == 0 and read.where("doc_id = 2").count() == many.where("doc_id = 2").count() > 0
+    # an absent id within the range of all is skipped by the filters: far fewer rows are read than there are
+    plan = spark.read.schema("doc_id long, ids array<int>").orc(str(tmp_path / "t")).where("doc_id = 1999")
+    plan.collect()
+    scanned = plan._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+    assert scanned < rows / 2
+    token_orc.write(odd, str(tmp_path / "o"), model)
+    assert sorted(r.doc_id or 0 for r in token_orc.read(spark, str(tmp_path / "o")).collect()) == sorted(r[0] or 0 for r in ODD)
+
+
+def test_token_starts_join_when_there_are_many_files(spark, docs, tmp_path, monkeypatch):
+    model = open(common.tokenizer("byte_bpe_50k.json"), "rb").read()
+    token_orc.write(docs.select("doc_id", "text"), str(tmp_path / "t"), model)
+    want = sorted(map(tuple, token_orc.checksums(token_orc.read(spark, str(tmp_path / "t"))).collect()))
+    monkeypatch.setattr(token_orc, "MOST_FILES", 0)
+    assert sorted(map(tuple, token_orc.checksums(token_orc.read(spark, str(tmp_path / "t"))).collect())) == want
+
+
 def test_tokens_of_other_pretokenizers_go_whole():
     model = open(common.tokenizer("word_bpe_49k.json"), "rb").read()
     import pyarrow as pa
@@ -323,6 +437,27 @@ def test_license_scan(spark, odd, empty, docs):
     assert license_scan.scan(odd).where("score = 'kept'").count() == len(ODD)
 
 
+def test_every_hand_written_signature_finds_its_text(spark):
+    from loomspark.llm.license_signatures import SIGNATURES, SPDX
+
+    signatures = license_scan.rules()
+    assert len(SIGNATURES) > 250 and len(signatures) > 700 and len({s[3] for s in SIGNATURES}) == len(SIGNATURES)
+    assert not any("'" in x for s in SIGNATURES for x in s[:1] + s[3:4])
+    cases = [(label, text or pattern, pattern) for label, _, _, pattern, text in SIGNATURES]
+    cases += [(x.lower(), f"// SPDX-License-Identifier: {x}\n", None) for x in SPDX]
+    rows = [(i, f"Some words before. {text} And words after.") for i, (_, text, _) in enumerate(cases)]
+    place = {r.pattern: i for i, r in enumerate(signatures)}
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    said = {r.doc_id: r for r in license_scan.report(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i, (label, text, pattern) in enumerate(cases):
+        if pattern is None:
+            assert label in said[i].labels.split(",") and said[i].score == 1.0, text
+        else:
+            assert place[pattern] in {d.rule for d in got[i].found}, text
+        want = brute_license(rows[i][1], signatures)
+        assert tuple(said[i])[1:] == want, text
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 

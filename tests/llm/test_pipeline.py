@@ -52,6 +52,27 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, data, k):
     assert corpus_pipeline.STAGES[k][1](spark, docs.where("false"), data).count() == 0
 
 
+def test_last_stage_takes_odd_rows(spark, data):
+    rows = [(1, None, "en", "s", None), (2, "", None, None, 0), (None, "some words", "en", "s", 3), (3, "some words", "en", "s", 10), (3, "some words", "en", "s", 10)]
+    docs = spark.createDataFrame(rows, DOC).withColumn("ids", F.lit(1)).withColumn("n_pieces", F.lit("x"))
+    out = corpus_pipeline.sentencepiece(spark, docs, data)
+    assert out.columns == ["doc_id", "lang", "source", "n_pieces", "ids"]
+    got = {(r.doc_id, r.n_pieces, None if r.ids is None else len(r.ids)) for r in out.collect()}
+    n = len(np.frombuffer(sentencepiece_stream.Vocabulary(sentencepiece_stream.read_model()).encode("some words"), "<i4"))
+    assert out.count() == 5 and got == {(1, 0, None), (2, 0, 0), (None, n, n), (3, n, n)}
+    assert corpus_pipeline.sentencepiece(spark, docs.where("false"), data).count() == 0
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_very_long_texts(spark, data, k):
+    rng = np.random.default_rng(k)
+    prose = " ".join(rng.choice([f"word{i}" for i in range(3000)], 150_000))
+    lines = "\n".join(f"line {i} of many" for i in range(40_000))
+    docs = spark.createDataFrame([(1, prose, "en", "s", 0), (2, lines, "en", "s", 0), (3, "q" * 300_000, "en", "s", 0), (4, "short one", "en", "s", 9)], DOC)
+    got = {r.doc_id for r in corpus_pipeline.STAGES[k][1](spark, docs, data).collect()}
+    assert got == {1, 2, 3, 4}
+
+
 def test_near_duplicates_of_rows_without_ids(spark, data):
     words = [f"w{i}" for i in range(60)]
     text, close, other, third = " ".join(words), " ".join([*words, "end"]), "quite another text without an id", "a text that has one id and a copy without"
