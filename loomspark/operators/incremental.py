@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,9 +24,9 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], version: str) ->
 
 
 def latest(runs: DataFrame, key: str, finished: str, tie: str) -> DataFrame:
-    """The last finished run of each key; unfinished runs come last."""
-    w = Window.partitionBy(key).orderBy(F.col(finished).desc_nulls_last(), F.col(tie).desc())
-    return runs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last finished run of each key, which an unfinished one is only where none has finished; an aggregation with partial maxima."""
+    last = runs.groupBy(key).agg(F.max_by(F.struct(*runs.columns), F.struct(F.col(finished).isNotNull().alias("_f"), F.col(finished).alias("_t"), F.col(tie).alias("_i"))).alias("_r"))
+    return last.select("_r.*")
 
 
 def fold_states(events: DataFrame, key: str, order: list[str], state: str) -> DataFrame:

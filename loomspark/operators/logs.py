@@ -80,24 +80,48 @@ def novel(events: DataFrame, keys: list[str], since_us: int) -> DataFrame:
     return events.groupBy(*keys).agg(F.min("us").alias("first_us")).where(F.col("first_us") >= since_us)
 
 
+#: Time that one task sees of a key at once, so that a key with a third of all events is many tasks' work.
+CHUNK = 24 * HOUR
+
+
+def with_previous(events: DataFrame, key: str, columns: list[str], order: tuple[str, ...] = ("us", "event_id"), chunk: int = CHUNK) -> DataFrame:
+    """events with ``previous`` (a struct of columns) of the event before of the same key, null for the first, and ``_chunk``.
+
+    Events are ordered within chunks of time; a chunk's first event takes what the chunk before ended with, which a table
+    of one row a key and chunk tells.
+    """
+    cut = events.withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(chunk)).cast("long"))
+    inner = Window.partitionBy(key, "_chunk").orderBy(*order)
+    ends = cut.groupBy(key, "_chunk").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"))
+    before = ends.select(F.col(key).alias("_k"), F.col("_chunk").alias("_c"), F.lag("_last").over(Window.partitionBy(key).orderBy("_chunk")).alias("_before"))
+    rows = cut.withColumn("_own", F.lag(F.struct(*columns)).over(inner))
+    joined = rows.join(before, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_chunk") == F.col("_c")), "left")
+    return joined.withColumn("previous", F.coalesce("_own", "_before")).drop("_own", "_before", "_k", "_c")
+
+
 def absences(events: DataFrame, key: str, gap_us: int) -> DataFrame:
     """Gaps of more than ``gap_us`` between consecutive events of a key."""
-    w = Window.partitionBy(key).orderBy("us", "event_id")
-    return events.withColumn("next_us", F.lead("us").over(w)).where(F.col("next_us") - F.col("us") > gap_us).select(key, F.col("us").alias("from_us"), F.col("next_us").alias("to_us"))
+    rows = with_previous(events, key, ["us"])
+    return rows.where(F.col("us") - F.col("previous.us") > gap_us).select(key, F.col("previous.us").alias("from_us"), F.col("us").alias("to_us"))
 
 
 def incidents(events: DataFrame, key: str, gap_us: int) -> DataFrame:
     """Runs of events of a key without a gap of more than ``gap_us``: number, start, end and size."""
-    w = Window.partitionBy(key).orderBy("us", "event_id")
-    new = F.when(F.lag("us").over(w).isNull() | (F.col("us") - F.lag("us").over(w) > gap_us), 1).otherwise(0)
-    numbered = events.withColumn("_new", new).withColumn("incident", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "incident").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("events"))
+    rows = with_previous(events, key, ["us"]).withColumn("_new", F.when(F.col("previous").isNull() | (F.col("us") - F.col("previous.us") > gap_us), 1).otherwise(0))
+    inner = Window.partitionBy(key, "_chunk").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.withColumn("_n", F.sum("_new").over(inner))
+    parts = numbered.groupBy(key, "_chunk", "_n").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("events"), F.max("_new").alias("_new"))
+    # a run that goes over the end of a chunk is put together: its parts are few
+    counts = parts.groupBy(key, "_chunk").agg(F.max("_n").alias("_m"))
+    earlier = counts.select(F.col(key).alias("_k"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("_m").over(Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_e"))
+    joined = parts.join(earlier, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_chunk") == F.col("_c")))
+    return joined.withColumn("incident", F.col("_n") + F.col("_e")).groupBy(key, "incident").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("events").alias("events"))
 
 
 def transitions(events: DataFrame, key: str, state: str) -> DataFrame:
     """Consecutive states of a key, counted."""
-    w = Window.partitionBy(key).orderBy("us", "event_id")
-    return events.withColumn("before", F.lag(state).over(w)).where("before is not null").groupBy("before", F.col(state).alias("after")).agg(F.count(F.lit(1)).alias("n"))
+    rows = with_previous(events, key, [state]).where("previous is not null")
+    return rows.groupBy(F.col(f"previous.{state}").alias("before"), F.col(state).alias("after")).agg(F.count(F.lit(1)).alias("n"))
 
 
 #: The states of incidents and of jobs, and what may follow each.
@@ -114,11 +138,10 @@ def allowed_step(before, after, steps: dict[str, list[str]]):
     return F.coalesce(out.otherwise(F.lit(False)), F.lit(False))
 
 
-def checked_transitions(events: DataFrame, key: str, state: str, steps: dict[str, list[str]], order: list[str]) -> DataFrame:
+def checked_transitions(events: DataFrame, key: str, state: str, steps: dict[str, list[str]], order: tuple[str, ...] = ("us", "event_id")) -> DataFrame:
     """events with the state before and whether the step to this one is allowed."""
-    w = Window.partitionBy(key).orderBy(*order)
-    before = F.lag(state).over(w)
-    return events.withColumn("before", before).withColumn("allowed", allowed_step(F.col("before"), F.col(state), steps))
+    rows = with_previous(events, key, [state], order).withColumn("before", F.col(f"previous.{state}")).drop("previous", "_chunk")
+    return rows.withColumn("allowed", allowed_step(F.col("before"), F.col(state), steps))
 
 
 def in_range(events: DataFrame, from_us: int, to_us: int, **equal) -> DataFrame:
@@ -129,13 +152,21 @@ def in_range(events: DataFrame, from_us: int, to_us: int, **equal) -> DataFrame:
     return out
 
 
-def as_of(events: DataFrame, markers: DataFrame, key: str) -> DataFrame:
-    """events with the last marker of the same key at or before them (null if none). markers: key, us, marker_id."""
+def as_of(events: DataFrame, markers: DataFrame, key: str, chunk: int = CHUNK) -> DataFrame:
+    """events with the last marker of the same key at or before them (null if none). markers: key, us, marker_id.
+
+    Both are ordered within chunks of time; where a chunk has no marker yet, the last one of the chunks before counts.
+    """
     e = events.select(key, "us", "event_id", F.lit(None).cast("long").alias("marker_id"), F.lit(1).alias("_o"))
     m = markers.select(key, "us", F.lit(None).cast("long").alias("event_id"), "marker_id", F.lit(0).alias("_o"))
-    w = Window.partitionBy(key).orderBy("us", "_o", "marker_id").rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(m).withColumn("marker_id", F.last("marker_id", ignorenulls=True).over(w))
-    return both.where("_o = 1").select("event_id", key, "us", "marker_id")
+    cut = e.unionByName(m).withColumn("_chunk", F.floor(F.col("us") / F.lit(chunk)).cast("long"))
+    inner = Window.partitionBy(key, "_chunk").orderBy("us", "_o", "marker_id").rowsBetween(Window.unboundedPreceding, 0)
+    ends = cut.groupBy(key, "_chunk").agg(F.max_by("marker_id", F.when(F.col("marker_id").isNotNull(), F.struct("us", "marker_id"))).alias("_last"))
+    outer = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(F.col(key).alias("_k"), F.col("_chunk").alias("_c"), F.last("_last", ignorenulls=True).over(outer).alias("_before"))
+    rows = cut.withColumn("marker_id", F.last("marker_id", ignorenulls=True).over(inner))
+    joined = rows.where("_o = 1").join(before, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_chunk") == F.col("_c")), "left")
+    return joined.select("event_id", key, "us", F.coalesce("marker_id", "_before").alias("marker_id"))
 
 
 def split_retention(events: DataFrame, now_us: int, days: int = 30) -> DataFrame:

@@ -15,6 +15,7 @@ from .sql import EDGES, bm_sql, cosine_sql
 
 WORDS = ["license", "the", "und"]
 _INDEXES: dict[tuple, str] = {}
+_STORES: dict[tuple, vectors.VectorStore] = {}
 
 
 def _new_folder(spark: SparkSession, label: str) -> str:
@@ -89,6 +90,14 @@ def _store(spark, d) -> vectors.VectorStore:
     return store
 
 
+def _stored(spark, d) -> vectors.VectorStore:
+    """The session's store of these vectors, which nothing changes; made when they are first searched."""
+    key = (spark.sparkContext.applicationId, postings.state_of(spark, f"{d}/embeddings.parquet"))
+    if key not in _STORES:
+        _STORES[key] = _store(spark, d)
+    return _STORES[key]
+
+
 def _total(rows):
     return rows.select("repo_id", "id", "path", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
@@ -96,7 +105,7 @@ def _total(rows):
 @query(f"WITH {cosine_sql(10, 'label % 3 = 1 AND label IN (1, 4)')} SELECT vec_id AS id, score FROM top")
 def cosine_filtered(spark, d):
     """Top-k among one repository's vectors of some paths."""
-    return _store(spark, d).search(1, _first_vector(spark, d), 10, ["1", "4"]).select("id", "score")
+    return _stored(spark, d).search(1, _first_vector(spark, d), 10, ["1", "4"]).select("id", "score")
 
 
 @query(f"WITH {_V}, u AS (SELECT repo_id, id, path || '!' AS path, list_transform(e, lambda x: 2 * x) AS e FROM v WHERE id % 5 = 0 UNION ALL SELECT 7, -1 - id, 'new', e FROM v WHERE id < 3) SELECT repo_id, id, path, {_SUM} FROM u UNION ALL SELECT repo_id, id, path, {_SUM} FROM v WHERE id % 5 <> 0")
@@ -122,7 +131,7 @@ def vector_delete(spark, d):
 
 @query(f"WITH {_V} SELECT repo_id, count(*) AS n FROM v GROUP BY 1 UNION ALL SELECT 9, 0")
 def vector_count(spark, d):
-    store = _store(spark, d)
+    store = _stored(spark, d)
     return spark.createDataFrame([(r, store.count(r)) for r in (0, 1, 2, 9)], "repo_id long, n long")
 
 

@@ -171,7 +171,7 @@ def _steps_sql(steps: dict) -> str:
 @query(f"WITH j AS (SELECT event_id, epoch_us(ts) AS us, user_id AS job_id, {_JOB} AS status FROM events), b AS (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY us, event_id) AS before FROM j) SELECT before, status, {_steps_sql(logs.JOB_STEPS)} AS allowed, count(*) AS n FROM b GROUP BY ALL")
 def job_transitions(spark, d):
     """Steps between a job's states, and which are allowed."""
-    rows = logs.checked_transitions(_job_events(spark, d), "job_id", "status", logs.JOB_STEPS, ["us", "event_id"])
+    rows = logs.checked_transitions(_job_events(spark, d), "job_id", "status", logs.JOB_STEPS)
     return rows.groupBy("before", "status", "allowed").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -183,7 +183,7 @@ def incident_steps(spark, d):
     """Of each incident, how many of its steps are allowed."""
     state = F.element_at(F.create_map(*[F.lit(x) for kv in {"view": "open", "click": "investigating", "purchase": "mitigated"}.items() for x in kv]), F.col("fingerprint"))
     e = P.events(spark, d).select("event_id", "us", F.col("service").alias("incident"), F.coalesce(state, F.lit("resolved")).alias("status"))
-    return logs.checked_transitions(e, "incident", "status", logs.INCIDENT_STEPS, ["us", "event_id"]).groupBy("incident").agg(F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("steps"))
+    return logs.checked_transitions(e, "incident", "status", logs.INCIDENT_STEPS).groupBy("incident").agg(F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("steps"))
 
 
 @query(f"""WITH {STATES}, c AS (SELECT coalesce(p.path, s.path) AS path, coalesce(p.path, s.path) % 4 AS run, CASE WHEN s.path IS NULL THEN 'added' WHEN p.path IS NULL THEN 'deleted' WHEN p.content_hash <> s.content_hash THEN 'changed' ELSE 'unchanged' END AS change FROM present p FULL JOIN stored s ON p.path = s.path),
