@@ -37,6 +37,18 @@ def is_ignored(path: Column) -> Column:
     return out
 
 
+def utf8(content: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """A path below a root, with ``/`` between its parts whatever they were divided by."""
+    top = root.replace("\\", "/").rstrip("/") + "/"
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.when(plain.startswith(top), F.substring(plain, len(top) + 1, 1 << 30)).otherwise(plain)
+
+
 def split_lines(text: Column) -> Column:
     """Lines as Python's splitlines() gives them: no empty last line after a final break."""
     parts = F.split(text, LINE_BREAKS, -1)

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import graph, incremental, logs, retrieval, traverse
+from ..operators import graph, incremental, logs, product, retrieval, traverse
+from ..sources.files import normalised
 from ..sources.tables import table
 from . import proxies as P
 from .catalog import query
@@ -330,3 +331,52 @@ def org_scope(spark, d):
     """Every look-up is scoped by the org."""
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return o.where((F.col("c_custkey") == 7) | ((F.col("c_custkey") == 11) & (F.col("o_orderstatus") == "F"))).select(F.col("c_custkey").alias("org_id"), F.col("o_orderkey").alias("id"))
+
+
+_REQ = "rq AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'get' WHEN 'click' THEN 'post' WHEN 'purchase' THEN 'PUT' ELSE 'DELETE' END AS method, 'https://h/api/v1/' || CASE user_id % 3 WHEN 0 THEN 'auth/login' WHEN 1 THEN 'projects/' || user_id ELSE 'jobs?x=1' END AS url, CASE WHEN event_id % 4 = 0 THEN 404 ELSE 200 + event_id % 3 END AS status FROM events)"
+
+
+@query(f"WITH {_REQ} SELECT event_id, upper(method) || ' ' || regexp_extract(url, '(/api/v1/[^?]*)', 1) AS action, regexp_extract(url, '/api/v1/([^/?]+)', 1) AS resource_type FROM rq WHERE status BETWEEN 200 AND 399 AND upper(method) IN ('POST', 'PUT', 'PATCH', 'DELETE') AND url NOT LIKE '%/api/v1/auth%'")
+def audit_append(spark, d):
+    """The audit rows that requests leave."""
+    e = table(spark, d, "events")
+    kind = F.col("event_type")
+    method = F.when(kind == "view", "get").when(kind == "click", "post").when(kind == "purchase", "PUT").otherwise("DELETE")
+    user = F.col("user_id") % 3
+    url = F.concat(F.lit("https://h/api/v1/"), F.when(user == 0, "auth/login").when(user == 1, F.concat(F.lit("projects/"), F.col("user_id").cast("string"))).otherwise("jobs?x=1"))
+    requests = e.select("event_id", method.alias("method"), url.alias("url"), F.when(F.col("event_id") % 4 == 0, 404).otherwise(200 + F.col("event_id") % 3).alias("status"))
+    return product.audit_rows(requests).select("event_id", "action", "resource_type")
+
+
+@query("WITH n AS (SELECT p_partkey AS id, lower(p_name) AS email FROM part WHERE p_size >= 10), s AS (SELECT DISTINCT lower(p_name) AS email FROM part WHERE p_size < 3), f AS (SELECT email, min(id) AS id FROM n GROUP BY 1) SELECT n.id, f.id IS NOT NULL AND s.email IS NULL AS accepted FROM n LEFT JOIN f ON f.id = n.id LEFT JOIN s ON s.email = n.email")
+def unique_inserts(spark, d):
+    """Of rows with the same address the first is taken, none if one is stored; the others are conflicts."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("email"), "p_size")
+    yes, no = product.insert_unique(p.where("p_size < 3").select("email").distinct(), p.where("p_size >= 10").select("id", "email"), ["email"], "id")
+    return yes.select("id", F.lit(True).alias("accepted")).unionByName(no.select("id", F.lit(False).alias("accepted")))
+
+
+@query(r"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'error' WHEN 2 THEN 'info' WHEN 3 THEN CASE user_id % 8 WHEN 0 THEN 'fatal' WHEN 1 THEN 'fatal' WHEN 2 THEN 'fatal' WHEN 3 THEN 'error' WHEN 4 THEN 'warn' WHEN 7 THEN 'debug' ELSE 'info' END WHEN 4 THEN 'warn' ELSE 'info' END.lower() AS severity,
+CASE event_id % 6 WHEN 0 THEN 'api' WHEN 3 THEN 'sshd' END AS service, CASE WHEN event_id % 6 = 5 THEN 'plain {' || event_id ELSE 'm ' || event_id END AS message, CASE event_id % 6 WHEN 0 THEN 't0' WHEN 1 THEN 't1' WHEN 2 THEN '2024-01-01T00:00:00Z' WHEN 3 THEN '2024 Jan  2 03:04:05' WHEN 4 THEN '2024-01-01 00:00:00.5' END AS ts FROM events""")
+def log_adapters(spark, d):
+    """Lines of applications, containers, syslog and a database, and one that has no form."""
+    e = table(spark, d, "events")
+    i, m = F.col("event_id") % 6, F.concat(F.lit("m "), F.col("event_id").cast("string"))
+    j = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    line = (
+        F.when(i == 0, j('{"ts":"t0","severity":"ERROR","service":"api","message":"', m, '"}'))
+        .when(i == 1, j('{"log":"', m, '\\n","stream":"stderr","time":"t1"}'))
+        .when(i == 2, j("2024-01-01T00:00:00Z stdout F ", m))
+        .when(i == 3, j("<", (F.col("user_id") % 8 + 8).cast("string"), ">Jan  2 03:04:05 host sshd[12]: ", m))
+        .when(i == 4, j("2024-01-01 00:00:00.5 UTC [77] WARNING:  ", m))
+        .otherwise(j("plain {", F.col("event_id").cast("string")))
+    )
+    kind = F.element_at(F.array(*map(F.lit, ("app", "docker", "k8s", "syslog", "db", "app"))), (i + 1).cast("int"))
+    return normalised(e.select("event_id", line.alias("value"), kind.alias("kind")), F.col("kind"), year="2024").select("event_id", "severity", "service", "message", "ts")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'src/' || page_id || '/a.py' ELSE 'other/' || page_id END AS path FROM pages")
+def relative_paths(spark, d):
+    n = F.col("page_id").cast("string")
+    path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("C:\\repo\\src\\"), n, F.lit("\\a.py"))).otherwise(F.concat(F.lit("other\\"), n))
+    return table(spark, d, "pages").select("page_id", S.relative_path(path, "C:\\repo").alias("path"))

@@ -88,6 +88,43 @@ def parse_syslog(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select("*", part(2, F.lit(None).cast("string")).alias("service"), F.lower(part(1, F.lit("info"))).alias("severity"), part(3, F.col(column)).alias("message"))
 
 
+#: Adapters: lines of a kind to ts, severity, service, message.
+_RFC3164 = r"^<(\d{1,3})>([A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d) (\S+) ([^:\[ ]+)(?:\[\d+\])?: ?(.*)$"
+_CRI = r"^(\S+) (stdout|stderr) [FP] (.*)$"
+_DB = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d+)?) \w+ \[\d+\] (?:\S+ )?(DEBUG|LOG|INFO|NOTICE|WARNING|ERROR|FATAL|PANIC): +(.*)$"
+_LEVELS = {"0": "fatal", "1": "fatal", "2": "fatal", "3": "error", "4": "warn", "5": "info", "6": "info", "7": "debug"}
+_DB_LEVELS = {"DEBUG": "debug", "LOG": "info", "INFO": "info", "NOTICE": "info", "WARNING": "warn", "ERROR": "error", "FATAL": "fatal", "PANIC": "fatal"}
+
+
+def normalised(lines: DataFrame, kind, column: str = "value", year: str = "1970") -> DataFrame:
+    """lines with ts (string), severity, service and message by their ``kind`` (a column): app, docker, k8s, syslog or db.
+
+    What doesn't have its kind's form is a message of severity info. Syslog lines have no year; ``year`` is put before.
+    """
+    v = F.col(column)
+    of = lambda names: F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    none = F.lit(None).cast("string")
+    app = F.from_json(v, "ts string, severity string, service string, message string")
+    docker = F.from_json(v, "log string, stream string, time string")
+    part = lambda pattern, i: F.regexp_extract(v, pattern, i)
+    stream = lambda x: F.when(x == "stderr", "error").otherwise("info")
+    forms = (
+        ("app", app["message"].isNotNull(), app["ts"], F.lower(F.coalesce(app["severity"], F.lit("info"))), app["service"], app["message"]),
+        ("docker", docker["log"].isNotNull(), docker["time"], stream(docker["stream"]), none, F.rtrim(F.regexp_replace(docker["log"], "\n$", ""))),
+        ("k8s", v.rlike(_CRI), part(_CRI, 1), stream(part(_CRI, 2)), none, part(_CRI, 3)),
+        ("syslog", v.rlike(_RFC3164), F.concat(F.lit(f"{year} "), part(_RFC3164, 2)), F.element_at(of(_LEVELS), (part(_RFC3164, 1).cast("int") % 8).cast("string")), part(_RFC3164, 4), part(_RFC3164, 5)),
+        ("db", v.rlike(_DB), part(_DB, 1), F.element_at(of(_DB_LEVELS), part(_DB, 2)), none, part(_DB, 3)),
+    )
+    fields = []
+    for i, (name, other) in enumerate((("ts", none), ("severity", F.lit("info")), ("service", none), ("message", v)), 2):
+        c = None
+        for form in forms:
+            hit = (kind == form[0]) & form[1]
+            c = F.when(hit, form[i]) if c is None else c.when(hit, form[i])
+        fields.append(c.otherwise(other).alias(name))
+    return lines.select("*", *fields)
+
+
 def is_binary(content):
     """Whether bytes hold a NUL in their first 8000."""
     return F.contains(F.substring(content, 1, 8000), F.unhex(F.lit("00")))

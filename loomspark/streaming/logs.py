@@ -68,3 +68,12 @@ def run_states(stream: DataFrame, key: str, order: list[str], state: str, path:
 def status_events(lines: DataFrame, schema: str, key: str, column: str = "value") -> DataFrame:
     """Status messages of a stream of JSON lines; malformed ones, and those without their key, are ignored."""
     return lines.select(F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"}).alias("e")).where(F.col(f"e.{key}").isNotNull()).select("e.*")
+
+
+def relay(spark: SparkSession, path: str, schema: str, run_id: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a listener to a run gets: its state now (of ``known``: run_id, seq, ...), then a stream of later events, oldest
+    state first and none twice: an event that the state covers already isn't relayed."""
+    now = known.where(F.col("run_id") == run_id).orderBy(F.desc("seq")).limit(1)
+    last = now.first()
+    events = spark.readStream.schema(schema).parquet(path).where((F.col("run_id") == run_id) & (F.col("seq") > (last["seq"] if last else -1)))
+    return now, events
