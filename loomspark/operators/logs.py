@@ -39,7 +39,7 @@ def daily(events: DataFrame, keys: list[str]) -> DataFrame:
 def ewma(series: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.3) -> DataFrame:
     """Each point with the exponentially weighted mean of the points before it (null for the first).
 
-    A series has one row a bucket, so its length is that of the time range; it is folded in the JVM, in one pass that
+    Means are rounded to six places, halves up whatever their last bit. A series has one row a bucket, so its length is that of the time range; it is folded in the JVM, in one pass that
     appends each point's baseline.
     """
     points = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(value).cast("double").alias("x")))).alias("p"))
@@ -47,7 +47,7 @@ def ewma(series: DataFrame, keys: list[str], order: str, value: str, alpha: floa
     none = F.lit(None).cast("double")
     step = lambda a, p: F.struct(F.coalesce(a["m"] * (1 - alpha) + p["x"] * alpha, p["x"]).alias("m"), F.concat(a["out"], F.array(F.struct(p["t"].alias("t"), p["x"].alias("x"), a["m"].alias("m")))).alias("out"))
     fold = F.aggregate("p", F.struct(none.alias("m"), F.array().cast(f"array<{kind}>").alias("out")), step, lambda a: a["out"])
-    return points.select(*keys, F.explode(fold).alias("e")).select(*keys, F.col("e.t").alias(order), F.col("e.x").alias(value), F.round("e.m", 6).alias("baseline"))
+    return points.select(*keys, F.explode(fold).alias("e")).select(*keys, F.col("e.t").alias(order), F.col("e.x").alias(value), F.round(F.col("e.m") + 1e-10, 6).alias("baseline"))
 
 
 #: Fixed order of severities.
