@@ -225,7 +225,7 @@ def _severe(spark, d):
     return P.events(spark, d).select("event_id", "us", (F.col("service") % 20).alias("service"), "fingerprint", severity.alias("severity"))
 
 
-_FOLD = "z AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY day) AS r FROM dy), bl AS (WITH RECURSIVE b AS (SELECT {k}, 2 AS r, events::DOUBLE AS m FROM z WHERE r = 1 UNION ALL SELECT {bk}, b.r + 1, b.m * 0.7 + z.events * 0.3 FROM b JOIN z ON {on} AND z.r = b.r) SELECT * FROM b), base AS (SELECT {zk}, z.day, z.events::DOUBLE AS events, round(m, 6) AS baseline FROM z LEFT JOIN bl b ON {on} AND b.r = z.r)"
+_FOLD = "z AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY day) AS r FROM dy), bl AS (WITH RECURSIVE b AS (SELECT {k}, 2 AS r, events::DOUBLE AS m FROM z WHERE r = 1 UNION ALL SELECT {bk}, b.r + 1, b.m * 0.7::DOUBLE + z.events::DOUBLE * 0.3::DOUBLE FROM b JOIN z ON {on} AND z.r = b.r) SELECT * FROM b), base AS (SELECT {zk}, z.day, z.events::DOUBLE AS events, round(m, 6) AS baseline FROM z LEFT JOIN bl b ON {on} AND b.r = z.r)"
 
 
 def _fold_sql(keys: list[str]) -> str:
