@@ -159,6 +159,17 @@ def keywords(signatures: list[Rule]) -> list[str]:
     return sorted(words | {"licence"} if "license" in words else words)
 
 
+def any_of(words: list[str]) -> str:
+    """An expression for any of some words, by their common beginnings, so that a place is given up after a few letters."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(words):
+        tails.setdefault(w[:1], []).append(w[1:])
+    ends = [""] if tails.pop("", None) else []
+    parts = [first + (any_of(rest) if len(rest) > 1 else rest[0]) for first, rest in tails.items()]
+    # the longer ones first; what comes after decides
+    return f"(?:{'|'.join(parts + ends)})" if len(parts) + len(ends) > 1 else (parts + ends)[0]
+
+
 def normal(text: Column) -> Column:
     """`` w w ... w ``: a space before each word and one at the end; one space if there is none."""
     flat = F.regexp_replace(common.ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
@@ -196,7 +207,7 @@ DETECTION = "struct<s:int,ne:int,np:int,rule:int,label:string>"
 
 def detections(norm: Column, signatures: list[Rule]) -> Column:
     """All detections, sorted: first word s, -(word after the last) ne, -priority np, number of the rule, label. ``norm`` is bound already."""
-    occurring = F.regexp_extract_all(norm, F.lit(f" ({'|'.join(keywords(signatures))})(?= )"), F.lit(1))
+    occurring = F.regexp_extract_all(norm, F.lit(f" ({any_of(keywords(signatures))})(?= )"), F.lit(1))
     occurring = F.array_distinct(F.transform(occurring, lambda w: F.when(w == "licence", F.lit("license")).otherwise(w)))
     one = "named_struct('rule', {}, 'keyword', '{}', 'pattern', r' {}(?= )', 'np', {}, 'label', '{}')"
     table = F.expr(f"array({', '.join(one.format(i, r.keyword, r.pattern, -r.priority, r.label) for i, r in enumerate(signatures))})")
@@ -233,7 +244,7 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
     """docs with n_words, found (all detections) and kept (those not suppressed)."""
     signatures = rules() if signatures is None else signatures
     raw = F.coalesce(F.col("text"), F.lit(""))
-    some = raw.rlike(f"(?i)(?<![0-9a-z])(?:{'|'.join(keywords(signatures))})(?![0-9a-z])")
+    some = raw.rlike(f"(?i)(?<![0-9a-z]){any_of(keywords(signatures))}(?![0-9a-z])")
     none = F.array().cast(f"array<{DETECTION}>")
     both = lambda f: F.struct(f.alias("found"), F.when(F.size(f) > 0, resolved(f)).otherwise(none).alias("kept"))
     scanned = F.when(some, let(normal(raw), lambda norm: let(detections(norm, signatures), both))).otherwise(F.struct(none.alias("found"), none.alias("kept")))

@@ -14,10 +14,10 @@ SIGNATURES: tuple[tuple[str, str, int, str, str | None], ...] = (
     ("mit", "sublicense", 3, "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", None),
     ("mit", "deal", 3, "to deal in the software without restriction", None),
     ("mit", "noninfringement", 3, "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders", "warranties of MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS"),
-    ("mit", "mit", 2, "(released|licensed|distributed|available|published|provided) under( the)?( terms of the)? mit( licen[sc]e)?", "This library is released under the terms of the MIT license."),
-    ("mit", "mit", 2, "(is|are) mit licensed", "All files are MIT licensed."),
-    ("mit", "mit", 2, "licen[sc]e mit", "License: MIT"),
-    ("mit-0", "mit", 3, "mit no attribution( licen[sc]e)?", "MIT No Attribution"),
+    ("mit", "under", 2, "(released|licensed|distributed|available|published|provided) under( the)?( terms of the)? mit( licen[sc]e)?", "This library is released under the terms of the MIT license."),
+    ("mit", "licensed", 2, "(is|are) mit licensed", "All files are MIT licensed."),
+    ("mit", "license", 2, "licen[sc]e mit", "License: MIT"),
+    ("mit-0", "attribution", 3, "mit no attribution( licen[sc]e)?", "MIT No Attribution"),
     ("mit-0", "persons", 3, "to permit persons to whom the software is furnished to do so the software is provided as is", None),
     ("mit-advertising", "advertising", 3, "except as contained in this notice the names? of (the )?(\\S+ ){1,8}shall not be used in advertising or otherwise to promote the sale", "Except as contained in this notice, the name of the Example Group shall not be used in advertising or otherwise to promote the sale"),
     ("mit-modern", "permission", 3, "permission is hereby granted without written agreement and without license or royalty fees to use copy modify and distribute this software", None),
@@ -85,7 +85,7 @@ SIGNATURES: tuple[tuple[str, str, int, str, str | None], ...] = (
     ("gpl-3.0", "gnu", 3, "gnu general public license version 3 29 june 2007", None),
     ("gpl-3.0-or-later", "later", 3, "either version 3( of the licen[sc]e)? or at your option any later version", "either version 3 of the License, or (at your option) any later version"),
     ("gpl-3.0", "convey", 3, "to convey a work means any kind of propagation that enables other parties to make or receive copies", None),
-    ("gpl-3.0", "anti", 3, "protecting users legal rights from anti circumvention law", None),
+    ("gpl-3.0", "circumvention", 3, "protecting users legal rights from anti circumvention law", None),
     ("gpl-3.0-only", "version", 3, "under the terms of version 3 of the gnu general public licen[sc]e", "under the terms of version 3 of the GNU General Public License"),
     ("gpl", "gpl", 2, "(released|licensed|distributed|available|provided) under( the)?( terms of the)?( gnu)? gpl", "available under the terms of the GNU GPL"),
     ("gpl", "gpl", 2, "licen[sc]e gpl", "License: GPL"),
@@ -183,8 +183,8 @@ SIGNATURES: tuple[tuple[str, str, int, str, str | None], ...] = (
     ("unlicense", "dedication", 3, "we intend this dedication to be an overt act of relinquishment in perpetuity", None),
     ("unlicense", "unlicense", 3, "for more information please refer to https? unlicense org", "For more information, please refer to <https://unlicense.org>"),
     ("wtfpl", "fuck", 3, "you just do what the fuck you want to", None),
-    ("beerware", "beer", 3, "the beer ware license( revision 42)?", "THE BEER-WARE LICENSE (Revision 42)"),
-    ("beerware", "beer", 3, "if we meet some day and you think this stuff is worth it you can buy me a beer in return", None),
+    ("beerware", "ware", 3, "the beer ware license( revision 42)?", "THE BEER-WARE LICENSE (Revision 42)"),
+    ("beerware", "buy", 3, "if we meet some day and you think this stuff is worth it you can buy me a beer in return", None),
     ("fair", "instrument", 3, "usage of the works is permitted provided that this instrument is retained with the works", None),
     ("json", "evil", 3, "the software shall be used for good not evil", None),
     ("vim", "vim", 2, "vim license", None),
