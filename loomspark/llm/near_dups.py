@@ -240,7 +240,7 @@ def compare_lists(members: DataFrame, percent: int, k: int = K) -> DataFrame:
 def full_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """fam, salt, is_hub, c, values (the whole set) of members (c, sig, rep, th, fam, hub, salts), from the texts of the classes' rows.
 
-    A hub is there once for each salt, any other class once; rows that repeat id and text repeat here.
+    A hub is there once for each salt, any other class once; of rows that repeat id and text each task makes one set.
     """
     wanted = members.select("rep", "th", "c", "sig", "fam", (F.col("c") == F.col("hub")).alias("is_hub"), "salts")
     if members.count() <= MOST_IDS:
@@ -249,12 +249,17 @@ def full_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     found = texts.join(wanted, (F.col("_th") == F.col("th")) & F.col("_id").eqNullSafe(F.col("rep"))).select("c", "fam", "is_hub", "salts", "sig", "text")
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
             for i in range(0, b.num_rows, 128):
                 part = b.slice(i, 128)
-                sets = [shingle_set(t, n) for t in part.column(5).to_pylist()]
-                part = part.take(at := pa.array([k for k, (s, sig) in enumerate(zip(sets, part.column(4).to_pylist(), strict=True)) if signature(s) == sig], pa.int64()))
-                sets = [sets[k] for k in at.to_pylist()]
+                at, sets = [], []
+                for k, (c, sig, text) in enumerate(zip(*(part.column(x).to_pylist() for x in (0, 4, 5)), strict=True)):
+                    if c not in seen and signature(own := shingle_set(text, n)) == sig:
+                        seen.add(c)
+                        at.append(k)
+                        sets.append(own)
+                part = part.take(pa.array(at, pa.int64()))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), lists], ["c", "fam", "is_hub", "salts", "values"])
 
