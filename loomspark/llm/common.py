@@ -76,6 +76,14 @@ def trim() -> None:
         free(0)
 
 
+def give_back_arrays(least: int = 1 << 20) -> None:
+    """From now on memory of arrays of ``least`` bytes and more goes back to the system as soon as they are freed, where the
+    C library can; by itself it keeps more and more of it for later."""
+    set_option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if set_option is not None:
+        set_option(-3, least)
+
+
 def tidy(run, *caches):
     """``run`` for mapInArrow, giving memory back when a task ends; what ``caches`` hold is dropped before."""
 
