@@ -185,3 +185,44 @@ def token_templates(lines: DataFrame, text: str) -> DataFrame:
     token = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("{*}")
     whole = places.groupBy("n", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", token.alias("t")))), lambda x: x["t"]), " ").alias("template"), F.max("c").alias("occurrences"))
     return whole.select("template", "n", "occurrences")
+
+
+WILD = "{*}"
+
+
+def _clustered(rows: list[tuple[list[str], int]], least: float) -> list[tuple[list[str], int]]:
+    """Templates of (tokens, count) of one length and first token: each joins the template that it has most tokens in common
+    with, if these are ``least`` of all, and makes wildcards of the others."""
+    out: list[list] = []
+    for tokens, n in sorted(rows, key=lambda r: (-r[1], r[0])):
+        best, at = 0.0, None
+        for k, (template, _) in enumerate(out):
+            share = sum(a == b or a == WILD for a, b in zip(template, tokens, strict=True)) / len(tokens)
+            if share > best:
+                best, at = share, k
+        if at is not None and best >= least:
+            template, m = out[at]
+            out[at] = [[a if a == b else WILD for a, b in zip(template, tokens, strict=True)], m + n]
+        else:
+            out.append([list(tokens), n])
+    return [(t, n) for t, n in out]
+
+
+def mined_templates(lines: DataFrame, text: str, least: float = 0.5, parts: int = 16) -> DataFrame:
+    """template, occurrences: lines clustered by number of tokens, first token and likeness of the rest.
+
+    Digits are masked and equal lines counted first, so a group is its different shapes. Shapes are clustered in ``parts``
+    by hash, then the parts' templates together; a group of very many shapes is no one task's.
+    """
+    masked = lines.where(F.col(text).isNotNull()).select(F.split(F.trim(mask(F.col(text))), "\\s+").alias("tokens"))
+    shapes = masked.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
+    keyed = lambda rows: rows.withColumn("size", F.size("tokens")).withColumn("first", F.element_at("tokens", 1))
+
+    def cluster(frame):
+        found = _clustered([(list(t), int(n)) for t, n in zip(frame["tokens"], frame["n"], strict=True)], least)
+        return frame.__class__({"tokens": [t for t, _ in found], "n": [n for _, n in found]})
+
+    schema = "tokens array<string>, n long"
+    some = keyed(shapes).withColumn("part", F.pmod(F.xxhash64("tokens"), F.lit(parts))).groupBy("size", "first", "part").applyInPandas(cluster, schema)
+    whole = keyed(some).groupBy("size", "first").applyInPandas(cluster, schema)
+    return whole.groupBy(F.array_join("tokens", " ").alias("template")).agg(F.sum("n").alias("occurrences"))

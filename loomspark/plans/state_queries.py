@@ -380,3 +380,11 @@ def relative_paths(spark, d):
     n = F.col("page_id").cast("string")
     path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("C:\\repo\\src\\"), n, F.lit("\\a.py"))).otherwise(F.concat(F.lit("other\\"), n))
     return table(spark, d, "pages").select("page_id", S.relative_path(path, "C:\\repo").alias("path"))
+
+
+@query("SELECT CASE event_type WHEN 'error' THEN 'request {*} failed' ELSE event_type || ' of user {*} at {*}' END AS template, count(*) AS occurrences FROM events GROUP BY 1")
+def log_mined_templates(spark, d):
+    """Templates of lines by likeness: kinds of lines of unlike words stay apart, their numbers are wildcards."""
+    kind, n, i = F.col("event_type"), F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    line = F.when(kind == "error", F.concat(F.lit("request "), i, F.lit(" failed"))).otherwise(F.concat(kind, F.lit(" of user "), n, F.lit(" at "), i))
+    return logs.mined_templates(table(spark, d, "events").select(line.alias("line")), "line")

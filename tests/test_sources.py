@@ -91,3 +91,21 @@ def test_listeners_get_the_state_and_then_what_follows(spark, tmp_path):
     assert [r.status for r in spark.read.parquet(str(tmp_path / "o")).collect()] == ["succeeded"]
     none, stream = streaming.relay(spark, str(tmp_path / "e"), runs.EVENT, "nobody", runner.events())
     assert none.count() == 0
+
+
+def test_mined_templates(spark):
+    from loomspark.operators import logs
+
+    lines = [f"Connection to db{i} timed out after {i}ms" for i in range(30)]
+    lines += [f"user {n} logged in" for n in ("ann", "bob", "cy", "dee")] + ["user ann logged out"] * 3
+    lines += ["disk full", "disk full", "Connection refused", None, "  "]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    for parts in (1, 16):
+        got = {r.template: r.occurrences for r in logs.mined_templates(df, "line", 0.6, parts).collect()}
+        assert got["Connection to db{*} timed out after {*}ms"] == 30 and got["disk full"] == 2 and got["Connection refused"] == 1
+        assert sum(got.values()) == len(lines) - 1
+        users = {t: n for t, n in got.items() if t.startswith("user")}
+        assert sum(users.values()) == 7 and len(users) < 5
+    strict = {r.template for r in logs.mined_templates(df, "line", 1.0).collect()}
+    assert {"user ann logged in", "user bob logged in", "user ann logged out"} <= strict
+    assert logs.mined_templates(df.where("false"), "line").count() == 0
