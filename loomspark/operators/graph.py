@@ -42,17 +42,13 @@ def _matches(name: str):
 def resolve_calls(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """An edge from each call site to every callable of that name but itself, with confidence 1 / candidates.
 
-    Candidates are counted by name over the symbols, less the caller where it bears that name; so the call sites meet the
-    callables once. A name that several sites call alike keeps its best confidence.
+    Candidates are counted over the found pairs: counting them by name beforehand was measured and was slower, as the
+    callers that bear the name themselves took one more join of all sites.
     """
-    targets = _targets(symbols, CALLABLE)
-    named = targets.groupBy("t_repo", "t_name").agg(F.count(F.lit(1)).alias("n"))
-    sites = _sites(refs, symbols).join(named, (F.col("repo_id") == F.col("t_repo")) & (F.col("callee_name") == F.col("t_name"))).drop("t_repo", "t_name")
-    # a caller that bears the name itself is no candidate of its own
-    own = targets.select(F.col("t_repo").alias("repo_id"), F.col("dst_path").alias("path"), F.col("dst_fqn").alias("caller_fqn"), F.col("t_name").alias("callee_name"), F.lit(1).alias("_own"))
-    sites = sites.join(own, ["repo_id", "path", "caller_fqn", "callee_name"], "left").withColumn("n", F.col("n") - F.coalesce("_own", F.lit(0))).drop("_own").where("n > 0")
-    found = sites.join(targets, _matches("caller_fqn,callee_name"))
-    return found.groupBy("repo_id", F.col("path").alias("src_path"), F.col("caller_fqn").alias("src_fqn"), "dst_path", "dst_fqn").agg(F.max(F.lit(1.0) / F.col("n")).alias("confidence"))
+    found = _sites(refs, symbols).join(_targets(symbols, CALLABLE), _matches("caller_fqn,callee_name"))
+    key = ["repo_id", "path", "caller_fqn", "callee_name"]
+    counts = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    return found.join(counts, key).select("repo_id", F.col("path").alias("src_path"), F.col("caller_fqn").alias("src_fqn"), "dst_path", "dst_fqn", (F.lit(1.0) / F.col("n")).alias("confidence")).groupBy("repo_id", "src_path", "src_fqn", "dst_path", "dst_fqn").agg(F.max("confidence").alias("confidence"))
 
 
 def unresolved_calls(refs: DataFrame, symbols: DataFrame) -> DataFrame:
