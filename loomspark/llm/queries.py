@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_cnn, lattice_lm, license_scan, line_dedup, near_dups, quality_mcd, sentencepiece_stream, token_orc, toxicity_kn
+from . import chat_format, decontaminate, language_cnn, lattice_lm, license_scan, line_dedup, merkle_manifest, near_dups, quality_mcd, sentencepiece_stream, token_orc, toxicity_kn
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_lattice_lm": lattice_lm.op9_lattice_lm,
         "op10_language_cnn": language_cnn.op10_language_cnn,
+        "op12_merkle": merkle_manifest.op12_merkle,
+        "op13_chat_format": chat_format.op13_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.OP4_SQL, "op7_near_dups": near_dups.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+    return {"op4_line_dedup": line_dedup.OP4_SQL, "op7_near_dups": near_dups.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op12_merkle": merkle_manifest.OP12_SQL, "op13_chat_format": chat_format.OP13_SQL}
