@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_cnn, lattice_lm, license_scan, line_dedup, merkle_manifest, near_dups, quality_mcd, sentencepiece_stream, token_orc, toxicity_kn
+from . import chat_format, decontaminate, language_cnn, lattice_lm, license_scan, line_dedup, merkle_manifest, near_dups, periodic_runs, quality_mcd, sentencepiece_stream, token_orc, toxicity_kn
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_lattice_lm": lattice_lm.op9_lattice_lm,
         "op10_language_cnn": language_cnn.op10_language_cnn,
+        "op11_runs": periodic_runs.op11_runs,
         "op12_merkle": merkle_manifest.op12_merkle,
         "op13_chat_format": chat_format.op13_chat_format,
     }
