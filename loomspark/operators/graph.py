@@ -26,8 +26,11 @@ def all_symbols(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def _sites(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    callers = symbols.select("repo_id", F.col("path"), F.col("fqn").alias("caller_fqn"))
-    return refs.select("repo_id", "path", "caller_fqn", "callee_name").distinct().join(callers, ["repo_id", "path", "caller_fqn"], "left_semi")
+    """Distinct call sites of callers that exist, with _self: whether the caller is itself a callable of the name called."""
+    own = F.col("kind").isin(CALLABLE)
+    callers = symbols.select("repo_id", "path", F.col("fqn").alias("caller_fqn"), F.when(own, F.col("name")).alias("_own"))
+    sites = refs.select("repo_id", "path", "caller_fqn", "callee_name").distinct().join(callers, ["repo_id", "path", "caller_fqn"])
+    return sites.withColumn("_self", F.col("_own").eqNullSafe(F.col("callee_name")).cast("int")).drop("_own")
 
 
 def _targets(symbols: DataFrame, kinds: list[str]) -> DataFrame:
@@ -39,28 +42,42 @@ def _matches(name: str):
     return (F.col("repo_id") == F.col("t_repo")) & (F.col(name.split(",")[1]) == F.col("t_name")) & other
 
 
-def resolve_calls(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """An edge from each call site to every callable of that name but itself, with confidence 1 / candidates.
+def call_pairs(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """repo_id, src_path, src_fqn, dst_path, dst_fqn, confidence and via (the name called) of each call that finds a callable.
 
-    Candidates are counted over the found pairs: counting them by name beforehand was measured and was slower, as the
-    callers that bear the name themselves took one more join of all sites.
+    A name's candidates are counted once by name, with partial sums, and a site that is a candidate itself has one less; so the found
+    pairs, which are many more than sites or names, are never shuffled. A symbol has one name, so no pair is found twice.
     """
-    found = _sites(refs, symbols).join(_targets(symbols, CALLABLE), _matches("caller_fqn,callee_name"))
-    key = ["repo_id", "path", "caller_fqn", "callee_name"]
-    counts = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    return found.join(counts, key).select("repo_id", F.col("path").alias("src_path"), F.col("caller_fqn").alias("src_fqn"), "dst_path", "dst_fqn", (F.lit(1.0) / F.col("n")).alias("confidence")).groupBy("repo_id", "src_path", "src_fqn", "dst_path", "dst_fqn").agg(F.max("confidence").alias("confidence"))
+    targets = _targets(symbols, CALLABLE)
+    counts = targets.groupBy(F.col("t_repo").alias("repo_id"), F.col("t_name").alias("callee_name")).agg(F.count(F.lit(1)).alias("_n"))
+    found = _sites(refs, symbols).join(counts, ["repo_id", "callee_name"]).join(targets, _matches("caller_fqn,callee_name"))
+    confidence = F.lit(1.0) / (F.col("_n") - F.col("_self"))
+    return found.select("repo_id", F.col("path").alias("src_path"), F.col("caller_fqn").alias("src_fqn"), "dst_path", "dst_fqn", confidence.alias("confidence"), F.col("callee_name").alias("via"))
+
+
+def resolve_calls(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """An edge from each call site to every callable of that name but itself, with confidence 1 / candidates."""
+    return call_pairs(refs, symbols).drop("via")
 
 
 def unresolved_calls(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Call sites without any callable of that name but themselves."""
-    return _sites(refs, symbols).join(_targets(symbols, CALLABLE), _matches("caller_fqn,callee_name"), "left_anti")
+    targets = _targets(symbols, CALLABLE)
+    counts = targets.groupBy(F.col("t_repo").alias("repo_id"), F.col("t_name").alias("callee_name")).agg(F.count(F.lit(1)).alias("_n"))
+    sites = _sites(refs, symbols).join(counts, ["repo_id", "callee_name"], "left")
+    return sites.where(F.coalesce("_n", F.lit(0)) <= F.col("_self")).select("repo_id", "path", "caller_fqn", "callee_name")
 
 
-def resolve_inheritance(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """refs: repo_id, path, subclass_fqn, base_name, kind. An edge to every type of that name, or else to the name."""
+def heritage_pairs(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """What ``resolve_inheritance`` gives, with via (the name of the base)."""
     refs = refs.select("repo_id", "path", "subclass_fqn", "base_name", F.col("kind").alias("edge")).distinct()
     found = refs.join(_targets(symbols, TYPES), _matches("subclass_fqn,base_name"), "left")
-    return found.select("repo_id", F.col("path").alias("src_path"), F.col("subclass_fqn").alias("src_fqn"), F.upper("edge").alias("type"), "dst_path", "dst_fqn", F.when(F.col("dst_fqn").isNull(), F.col("base_name")).alias("dst_name"))
+    return found.select("repo_id", F.col("path").alias("src_path"), F.col("subclass_fqn").alias("src_fqn"), F.upper("edge").alias("type"), "dst_path", "dst_fqn", F.when(F.col("dst_fqn").isNull(), F.col("base_name")).alias("dst_name"), F.col("base_name").alias("via"))
+
+
+def resolve_inheritance(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """refs: repo_id, path, subclass_fqn, base_name, kind. An edge to every type of that name, or else to the name."""
+    return heritage_pairs(refs, symbols).drop("via")
 
 
 def import_edges(refs: DataFrame, files: DataFrame) -> DataFrame:

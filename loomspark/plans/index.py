@@ -1,7 +1,7 @@
 """Indexing: files to facts, facts to graph and chunks, in full and incrementally.
 
-Facts (symbols and references) are stored by file. Edges are derived from all stored facts, so an incremental run gives
-what a full one gives.
+Facts (symbols and references) of a content are scanned once and written; all else reads what was written. ``full`` and
+``incremental`` derive edges from all facts, so they give the same; ``operators.delta`` gets there from what changed.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.incremental import diff
+from ..sources.tables import durable, ship
 from .scanners import scan
 
 SYMBOL = "struct<fqn:string,name:string,kind:string,signature:string,docstring:string,parent_fqn:string,start_line:int,end_line:int,start_byte:int,end_byte:int>"
@@ -28,6 +29,8 @@ FACTS = (
 def facts(files: DataFrame) -> DataFrame:
     """One row of nested facts for each file (repo_id, path, language, content, content_hash) of a supported language."""
 
+    ship(files.sparkSession)
+
     def run(frames):
         for f in frames:
             out = []
@@ -90,7 +93,7 @@ class Index:
 
 
 def full(files: DataFrame) -> Index:
-    return Index(facts(files))
+    return Index(durable(facts(files), "facts"))
 
 
 def incremental(before: Index, files: DataFrame) -> tuple[Index, DataFrame]:
@@ -98,8 +101,8 @@ def incremental(before: Index, files: DataFrame) -> tuple[Index, DataFrame]:
     key = ["repo_id", "path"]
     a = files.select(F.struct(*key).alias("key"), "content_hash")
     b = before.files.select(F.struct(*key).alias("key"), "content_hash")
-    changes = diff(a, b, "key")
+    changes = durable(diff(a, b, "key"), "changes")
     fresh = changes.where(F.col("change").isin("added", "changed")).select("key.*")
     same = changes.where("change = 'unchanged'").select("key.*")
-    after = before.facts.join(same, key, "left_semi").unionByName(facts(files.join(fresh, key, "left_semi")))
+    after = before.facts.join(same, key, "left_semi").unionByName(durable(facts(files.join(fresh, key, "left_semi")), "facts"))
     return Index(after), changes.where("change <> 'unchanged'").select("key.repo_id", "key.path", "change")

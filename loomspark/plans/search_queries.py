@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import postings, retrieval, vectors
-from ..sources.tables import shared_dir, table
+from ..sources.tables import new_folder as _new_folder
+from ..sources.tables import table
 from . import proxies as P
 from .catalog import query
 from .sql import EDGES, bm_sql, cosine_sql
@@ -18,14 +17,6 @@ _INDEXES: dict[tuple, str] = {}
 _STORES: dict[tuple, vectors.VectorStore] = {}
 
 
-def _new_folder(spark: SparkSession, label: str) -> str:
-    at = f"{shared_dir(spark)}/loom-{label}-{uuid.uuid4().hex}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(at)
-    where.getFileSystem(conf).deleteOnExit(where)
-    return at
-
-
 def indexed(spark: SparkSession, d: str) -> str:
     """The folder of the documents' postings: built when a session first searches them, and again when their files change."""
     key = (spark.sparkContext.applicationId, postings.state_of(spark, f"{d}/documents.parquet"))

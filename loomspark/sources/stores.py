@@ -81,6 +81,10 @@ class KeyedTable:
                 parts.pop(name, None)
         self._commit(version + 1, parts)
 
+    def rewrite(self, touched: list, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replaces the rows of the partitions ``touched`` by what ``change`` makes of them, in one step for readers. Its rows have unique keys."""
+        self._change(touched, change)
+
     def upsert(self, rows: DataFrame) -> None:
         """Inserts rows, replacing those with the same key. Rows given twice count once."""
         new = rows.select(*self.schema.names).dropDuplicates(self.keys)

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers of local sessions import this package; on a cluster it is installed or sent with --py-files."""
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "")
+    if _ROOT not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, have) if x)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,12 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/loomspark-{spark.sparkContext.applicationId}"
 
 
-def durable(df: DataFrame, label: str = "step") -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing before it."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the session's JVM ends."""
     at = f"{shared_dir(spark)}/loom-{label}-{uuid.uuid4().hex}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(at)
     where.getFileSystem(conf).deleteOnExit(where)
-    df.write.parquet(at)
+    return at
+
+
+def durable(df: DataFrame, label: str = "step") -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing before it."""
+    spark = df.sparkSession
+    df.write.parquet(at := new_folder(spark, label))
     return spark.read.schema(df.schema).parquet(at)
