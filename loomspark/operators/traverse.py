@@ -41,7 +41,10 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int, reverse: bool = False)
 
 def impact(edges: DataFrame, roots: DataFrame, paths: DataFrame, depth: int = 3) -> DataFrame:
     """Of each root: dependents, those in other files, and risk = min(1, (dependents + cross) / 50). paths: id, path."""
-    found = reach(edges, roots, depth, reverse=True)
+    return _impact(reach(edges, roots, depth, reverse=True), roots, paths)
+
+
+def _impact(found: DataFrame, roots: DataFrame, paths: DataFrame) -> DataFrame:
     own = paths.select(F.col("id").alias("root"), F.col("path").alias("root_path"))
     other = paths.select(F.col("id").alias("node"), F.col("path"))
     counted = found.join(own, "root").join(other, "node").groupBy("root").agg(F.count(F.lit(1)).alias("dependent_count"), F.count_if(F.col("path") != F.col("root_path")).alias("cross_file_count"))
@@ -92,8 +95,9 @@ def impact_of(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int =
     """What ``impact`` gives for each root that is a node, with found, symbol and the first ``most`` dependents by path and fqn."""
     paths = nodes.select("id", "path")
     known = roots.select("root").distinct().join(nodes.select(F.col("id").alias("root")), "root", "left_semi")
-    numbers = impact(edges, known, paths, depth)
-    near = described(reach(edges, known, depth, reverse=True), nodes)
+    found = durable(reach(edges, known, depth, reverse=True), "reached")
+    numbers = _impact(found, known, paths)
+    near = described(found, nodes)
     w = Window.partitionBy("root").orderBy("path", "fqn", "node")
     first = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
     lists = first.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("_n", F.struct(*NODE).alias("x")))).alias("l")).select("root", F.transform("l", lambda x: x["x"]).alias("dependents"))
@@ -111,6 +115,46 @@ def weighted_risk(edges: DataFrame, roots: DataFrame, churn: DataFrame, depth: i
     return weighed.groupBy("root").agg(F.round(F.sum(term), 6).alias("risk"))
 
 
+def best_paths(edges: DataFrame, roots: DataFrame, depth: int = 3, least: float = 0.0) -> DataFrame:
+    """root, node, strength: of the paths of 1 to ``depth`` edges that lead from node to root, the greatest product of weights.
+
+    edges: src, dst, weight (0 to 1); of several between two nodes the strongest counts. Relaxation by hops: a node goes on only if its
+    product grew, as a weaker one after more hops leads nowhere better; products below ``least`` end there. A hop is one join of
+    what grew with the edges, one aggregation, and one join with what is known.
+    """
+    depth = clamp(depth, 1, MAX_DEPTH)
+    step = durable(edges.groupBy(F.col("dst").alias("at"), F.col("src").alias("node")).agg(F.max("weight").alias("weight")), "weights")
+    front = roots.select("root").distinct().select("root", F.col("root").alias("at"), F.lit(1.0).alias("strength"))
+    best = None
+    for d in range(depth):
+        grown = front.join(step, "at").select("root", "node", (F.col("strength") * F.col("weight")).alias("strength")).where(F.col("strength") >= least)
+        grown = grown.groupBy("root", "node").agg(F.max("strength").alias("strength"))
+        if best is not None:
+            known = best.select("root", "node", F.col("strength").alias("_known"))
+            grown = grown.join(known, ["root", "node"], "left").where(F.col("_known").isNull() | (F.col("strength") > F.col("_known"))).drop("_known")
+        if d < depth - 1:
+            grown = durable(grown, "hop")
+        best = grown if best is None else best.unionByName(grown).groupBy("root", "node").agg(F.max("strength").alias("strength"))
+        if d < depth - 1:
+            if grown.isEmpty():
+                break
+            best = durable(best, "best")
+        front = grown.select("root", F.col("node").alias("at"), "strength")
+    return best
+
+
+def path_risk(edges: DataFrame, roots: DataFrame, churn: DataFrame, weights: dict[str, float], depth: int = 3, decay: float = 0.5, least: float = 0.0) -> DataFrame:
+    """Of each root: dependents, risk (the sum over them of the best path's strength times 1 + churn) and the strongest one's strength.
+
+    An edge (src, dst, type, confidence) weighs decay * confidence * its type's weight; other types don't count. churn: id, churn.
+    """
+    typed = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("type"))
+    weighed = edges.where(F.col("type").isin(list(weights))).select("src", "dst", (F.lit(decay) * F.col("confidence") * typed).alias("weight"))
+    found = best_paths(weighed, roots, depth, least).join(churn.withColumnRenamed("id", "node"), "node", "left")
+    term = F.col("strength") * (1 + F.coalesce("churn", F.lit(0)))
+    return found.groupBy("root").agg(F.count(F.lit(1)).alias("dependents"), F.round(F.sum(term), 6).alias("risk"), F.round(F.max("strength"), 9).alias("strongest"))
+
+
 def recently_changed(dependents: DataFrame, nodes: DataFrame, changed: DataFrame) -> DataFrame:
     """Dependents (root, node) in files of ``changed`` (path), by root and path."""
     return described(dependents, nodes).join(changed, "path", "left_semi").groupBy("root", "path").agg(F.count_distinct("node").alias("dependents"))

@@ -551,4 +551,4 @@ def file_kinds(spark, d):
     return table(spark, d, "part").select("p_partkey", shebang_language(head).alias("language"), is_binary(content).alias("is_binary"))
 
 
-from . import code_queries, search_queries, state_queries  # noqa: E402, F401  they register queries of their own
+from . import code_queries, graph_queries, search_queries, state_queries  # noqa: E402, F401  they register queries of their own
