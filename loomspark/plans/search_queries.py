@@ -13,17 +13,17 @@ from .catalog import query
 from .sql import EDGES, bm_sql, cosine_sql
 
 WORDS = ["license", "the", "und"]
-_INDEXES: dict[tuple, str] = {}
+_INDEXES: dict[tuple, postings.LexicalIndex] = {}
 _STORES: dict[tuple, vectors.VectorStore] = {}
 
 
-def indexed(spark: SparkSession, d: str) -> str:
-    """The folder of the documents' postings: built when a session first searches them, and again when their files change."""
+def indexed(spark: SparkSession, d: str) -> postings.LexicalIndex:
+    """The documents' lexical index: built when a session first searches them, and again when their files change."""
     key = (spark.sparkContext.applicationId, postings.state_of(spark, f"{d}/documents.parquet"))
     if key not in _INDEXES:
         at = _new_folder(spark, "postings")
-        postings.build(table(spark, d, "documents").select("doc_id", "text"), at, "doc_id")
-        _INDEXES[key] = at
+        _INDEXES[key] = postings.LexicalIndex(spark, at)
+        _INDEXES[key].add(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return _INDEXES[key]
 
 
@@ -39,19 +39,35 @@ tk AS (SELECT doc_id, unnest(w) AS token FROM p UNION ALL SELECT doc_id, lower(x
 @query(f"WITH {_TOKENS}, n AS (SELECT doc_id, count(*) AS len FROM tk GROUP BY 1) SELECT tk.doc_id AS id, token, count(*) AS tf, max(len)::INT AS len FROM tk JOIN n ON n.doc_id = tk.doc_id GROUP BY ALL")
 def postings_index(spark, d):
     """All stored rows: token, document, count and length."""
-    return spark.read.parquet(f"{indexed(spark, d)}/postings").select("id", "token", "tf", "len")
+    blocks = indexed(spark, d).live_postings()
+    return blocks.select("id", "token", F.col("tf").cast("long").alias("tf"), "len")
 
 
 @query(f"WITH {bm_sql(WORDS)} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk(spark, d) -> DataFrame:
-    hits = postings.bm25(spark, indexed(spark, d), WORDS)
-    return hits.orderBy(F.desc("score"), "id").limit(10).select(F.col("id").alias("doc_id"), "score")
+    return indexed(spark, d).topk(WORDS, 10).select(F.col("id").alias("doc_id"), "score")
+
+
+_CHANGED = "CASE WHEN doc_id % 7 = 0 THEN 'the license of getUserById ' || doc_id ELSE text END"
+
+
+@query(f"WITH d AS (SELECT doc_id, {_CHANGED} AS text FROM documents WHERE doc_id % 11 <> 0), {bm_sql(WORDS).replace('FROM documents', 'FROM d')} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 50")
+def bm25_updated(spark, d) -> DataFrame:
+    """Top-k of an index of which documents were changed and others removed, each change a new segment, merged at last."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    ix = postings.LexicalIndex(spark, _new_folder(spark, "postings"))
+    ix.add(docs.where("doc_id % 2 = 0"), "doc_id")
+    ix.add(docs.where("doc_id % 2 = 1"), "doc_id")
+    ix.add(docs.where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("the license of getUserById "), F.col("doc_id").cast("string"))), "doc_id")
+    ix.remove(docs.where("doc_id % 11 = 0").select(F.col("doc_id").alias("id")))
+    ix.merge(3, ratio=100)
+    return ix.topk(WORDS, 50).select(F.col("id").alias("doc_id"), "score")
 
 
 @query(f"WITH {cosine_sql(50)}, {bm_sql(WORDS)}, a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM top), c AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 50)), x AS (SELECT id, 1.0 / (60 + rank) AS s FROM a UNION ALL SELECT id, 0.7 / (60 + rank) FROM c) SELECT id, round(sum(s), 8)::DOUBLE AS score FROM x GROUP BY id")
 def rrf_fuse(spark, d):
     dense = retrieval.cosine_topk(table(spark, d, "embeddings"), _first_vector(spark, d), 50, "vec_id")
-    sparse = postings.bm25(spark, indexed(spark, d), WORDS)
+    sparse = indexed(spark, d).topk(WORDS, 50)
     return retrieval.fuse([(retrieval.ranked(dense, "vec_id", 50), 1.0), (retrieval.ranked(sparse, "id", 50), 0.7)])
 
 
