@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import postings, retrieval, vectors
+from ..operators import ann, postings, retrieval, vectors
 from ..sources.tables import new_folder as _new_folder
 from ..sources.tables import table
 from . import proxies as P
@@ -105,6 +105,48 @@ def _stored(spark, d) -> vectors.VectorStore:
     return _STORES[key]
 
 
+_ANN: dict[tuple, tuple[ann.AnnIndex, int]] = {}
+
+
+def _ann(spark, d) -> tuple[ann.AnnIndex, int]:
+    """The session's inverted file of all vectors, with their labels, and the probes that find most of the nearest."""
+    key = (spark.sparkContext.applicationId, postings.state_of(spark, f"{d}/embeddings.parquet"))
+    if key not in _ANN:
+        rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+        ix = ann.AnnIndex.build(rows, _new_folder(spark, "ann"), id_col="vec_id")
+        _ANN[key] = ix, ix.probes_for(rows, id_col="vec_id")
+    return _ANN[key]
+
+
+def _asked(spark, d):
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0")
+
+
+@query()
+def ann_topk(spark, d):
+    """The ten nearest of every hundredth vector, in the cells nearest to it; approximate, its recall is tested against ``cosine_batch``."""
+    ix, probes = _ann(spark, d)
+    return ix.search(_asked(spark, d), 10, probes, id_col="vec_id")
+
+
+_BATCH = """p AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank FROM p)"""
+
+
+@query(f"WITH {_BATCH.format(where='')} SELECT * FROM r WHERE rank <= 10")
+def cosine_batch(spark, d):
+    """The same by exact scores of all vectors, one pass for all queries."""
+    return ann.exact(table(spark, d, "embeddings"), _asked(spark, d), 10, id_col="vec_id")
+
+
+@query(f"WITH {_BATCH.format(where='AND v.label IN (1, 4)')} SELECT * FROM r WHERE rank <= 10")
+def ann_filtered(spark, d):
+    """All cells probed and all that a payload filter keeps scored again: then the index gives what an exact search gives."""
+    ix = _ann(spark, d)[0]
+    n = table(spark, d, "embeddings").count()
+    return ix.search(_asked(spark, d), 10, probes=ann.MOST_CELLS, refine=n, where=F.col("label").isin(1, 4), id_col="vec_id")
+
+
 def _total(rows):
     return rows.select("repo_id", "id", "path", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
