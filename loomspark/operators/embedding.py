@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import ship
 from . import retrieval
 
 BATCH = 32
@@ -65,6 +66,7 @@ def checked(p: Provider, texts: list[str]) -> np.ndarray:
 def embedded(rows: DataFrame, p: Provider, text: str = "text", column: str = "embedding") -> DataFrame:
     """rows with a vector column; texts go to the provider in batches inside the tasks."""
     at = rows.columns
+    ship(rows.sparkSession)
 
     def run(frames):
         for f in frames:

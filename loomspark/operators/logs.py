@@ -5,10 +5,13 @@ Event times are epoch microseconds (``us``), so that buckets are exact integers.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import mask
+from ..sources.tables import ship
 
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
@@ -39,15 +42,28 @@ def daily(events: DataFrame, keys: list[str]) -> DataFrame:
 def ewma(series: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.3) -> DataFrame:
     """Each point with the exponentially weighted mean of the points before it (null for the first).
 
-    A series has one row a bucket, so its length is that of the time range; it is folded in the JVM, in one pass that
-    appends each point's baseline.
+    Points are dealt by key and sorted, and each partition is one pass that holds the mean of the series at hand alone: linear in
+    the points and in no memory of theirs, however long a series is. Null values count as missing points; they keep the mean.
     """
-    points = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(value).cast("double").alias("x")))).alias("p"))
-    kind = f"struct<t:{series.schema[order].dataType.simpleString()},x:double,m:double>"
-    none = F.lit(None).cast("double")
-    step = lambda a, p: F.struct(F.coalesce(a["m"] * (1 - alpha) + p["x"] * alpha, p["x"]).alias("m"), F.concat(a["out"], F.array(F.struct(p["t"].alias("t"), p["x"].alias("x"), a["m"].alias("m")))).alias("out"))
-    fold = F.aggregate("p", F.struct(none.alias("m"), F.array().cast(f"array<{kind}>").alias("out")), step, lambda a: a["out"])
-    return points.select(*keys, F.explode(fold).alias("e")).select(*keys, F.col("e.t").alias(order), F.col("e.x").alias(value), F.round("e.m", 6).alias("baseline"))
+    rows = series.select(*keys, order, F.col(value).cast("double").alias(value))
+    schema = T.StructType([*rows.schema.fields, T.StructField("baseline", T.DoubleType())])
+    n = len(keys)
+    ship(series.sparkSession)
+
+    def run(batches):
+        last, mean = None, None
+        for b in batches:
+            out = []
+            for *key, x in zip(*(b.column(i).to_pylist() for i in (*range(n), n + 1)), strict=True):
+                if key != last:
+                    last, mean = key, None
+                out.append(mean)
+                if x is not None:
+                    mean = x if mean is None else mean * (1 - alpha) + x * alpha
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=schema.names)
+
+    means = rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+    return means.withColumn("baseline", F.round("baseline", 6))
 
 
 #: Fixed order of severities.
@@ -222,6 +238,7 @@ def mined_templates(lines: DataFrame, text: str, least: float = 0.5, parts: int
         found = _clustered([(list(t), int(n)) for t, n in zip(frame["tokens"], frame["n"], strict=True)], least)
         return frame.__class__({"tokens": [t for t, _ in found], "n": [n for _, n in found]})
 
+    ship(lines.sparkSession)
     schema = "tokens array<string>, n long"
     some = keyed(shapes).withColumn("part", F.pmod(F.xxhash64("tokens"), F.lit(parts))).groupBy("size", "first", "part").applyInPandas(cluster, schema)
     whole = keyed(some).groupBy("size", "first").applyInPandas(cluster, schema)

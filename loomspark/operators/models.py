@@ -13,6 +13,8 @@ from typing import Any, Protocol
 
 from pyspark.sql import DataFrame
 
+from ..sources.tables import ship
+
 Transport = Callable[[str, dict], tuple[int | None, Any]]
 
 #: Tries of a request, and seconds before the second, doubled for each later one.
@@ -86,6 +88,7 @@ class HttpModels:
 
 def answered(rows: DataFrame, provider: ModelProvider, prompt: str = "prompt", tier: str = "standard") -> DataFrame:
     """rows with answer, prompt_tokens, completion_tokens and error (null where the model answered)."""
+    ship(rows.sparkSession)
 
     def run(frames):
         for f in frames:

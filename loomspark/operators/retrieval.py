@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import jaccard, trigrams
+from ..sources.tables import ship
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -76,10 +79,46 @@ def expand(seeds: DataFrame, edges: DataFrame, fraction: float = 0.5, siblings:
 
 
 def without_overlaps(hits: DataFrame, group: str, first: str, last: str, rank: str) -> DataFrame:
-    """Hits of whose span no better hit of the same group covers all: a symbol's chunk stands for the windows within it."""
-    better = hits.select(F.col(group).alias("_g"), F.col(first).alias("_f"), F.col(last).alias("_l"), F.col(rank).alias("_r"))
-    inside = (F.col(group) == F.col("_g")) & (F.col("_f") <= F.col(first)) & (F.col("_l") >= F.col(last)) & (F.col("_r") < F.col(rank))
-    return hits.join(better, inside, "left_anti")
+    """Hits of whose span no better hit of the same group covers all: a symbol's chunk stands for the windows within it.
+
+    Hits are dealt by group and sorted by rank. One pass keeps the spans seen that no other covers, starts and ends both rising, so
+    a look-up by start tells whether a better one covers a hit. Equal ranks don't cover each other, and nulls cover nothing.
+    """
+    names = hits.columns
+    at = [names.index(c) for c in (group, first, last, rank)]
+    ship(hits.sparkSession)
+
+    def run(batches):
+        here, starts, ends, waiting, level = None, [], [], [], None
+        for b in batches:
+            keep = []
+            for g, f, e, r in zip(*(b.column(i).to_pylist() for i in at), strict=True):
+                if None in (g, f, e, r):
+                    keep.append(True)
+                    continue
+                if g != here:
+                    here, starts, ends, waiting, level = g, [], [], [], r
+                if r != level:  # all of the rank before have been looked up
+                    for span in waiting:
+                        _cover(starts, ends, *span)
+                    waiting, level = [], r
+                i = bisect_right(starts, f) - 1
+                keep.append(i < 0 or ends[i] < e)
+                if keep[-1]:
+                    waiting.append((f, e))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return hits.repartition(group).sortWithinPartitions(group, rank).mapInArrow(run, hits.schema)
+
+
+def _cover(starts: list, ends: list, first, last) -> None:
+    """Puts a span among those that no other covers; both lists rise."""
+    i = bisect_right(starts, first) - 1
+    if i >= 0 and ends[i] >= last:
+        return
+    lo = bisect_left(starts, first)
+    hi = bisect_right(ends, last, lo)
+    starts[lo:hi], ends[lo:hi] = [first], [last]
 
 
 def within_budget(rows: DataFrame, group: str, order: str, cost: str, budget: int) -> DataFrame:
