@@ -82,7 +82,8 @@ def dropped_bits(docs: DataFrame, min_docs: int = MIN_DOCS, mode: str = "frequen
 def dense(bitmap: Column) -> Column:
     """The bitmap's words from the first to the last that has a bit, as an array of longs."""
     zero = F.lit(0).cast("long")
-    return F.aggregate(bitmap, F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array_repeat(zero, x["word"] - F.size(a)), F.array(x["bits"])))
+    gap = lambda x, i: x["word"] - F.coalesce(F.get(bitmap, i - 1)["word"], F.lit(-1)) - 1
+    return F.flatten(F.transform(bitmap, lambda x, i: F.concat(F.array_repeat(zero, gap(x, i)), F.array(x["bits"]))))
 
 
 def n_dropped(bitmap: Column) -> Column:

@@ -154,12 +154,22 @@ class Encoder:
         return np.concatenate(([0], ends)), ids[place]
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether the plan is one scan of files with nothing but steps above that keep rows where they are."""
+    node = docs._jdf.queryExecution().executedPlan()
+    while not node.nodeName().startswith("Scan "):
+        if node.children().size() != 1 or "Exchange" in node.nodeName() or "Sort" in node.nodeName():
+            return False
+        node = node.children().head()
+    return True
+
+
 def in_order(docs: DataFrame) -> bool:
     """Whether the partitions of ``docs``, a plain scan of files, hold ranges of strictly ascending doc_id already.
 
     Reads that column only; a row for each partition reaches the driver.
     """
-    if not docs.inputFiles() or "Scan" not in (plan := docs._jdf.queryExecution().executedPlan().toString()) or "Exchange" in plan:
+    if not docs.inputFiles() or not _is_scan(docs):
         return False
 
     def ends(batches):
@@ -186,12 +196,26 @@ def in_order(docs: DataFrame) -> bool:
 def write(docs: DataFrame, path: str, model: bytes, end_id: int = 0, stripe_mb: int = 16) -> None:
     """Writes doc_id, local_start (ids before it in its file), n_tokens and ids of every document to ORC files under ``path``.
 
-    Texts move to their range unless they lie in order already.
+    Texts move to their range unless they lie in order already. Should a scan deal rows otherwise than the one that was looked at, the tasks
+    notice, and all is written again by range.
     """
+    if in_order(docs):
+        try:
+            return _write(docs, path, model, end_id, stripe_mb, True)
+        except Exception as e:  # noqa: BLE001  Spark wraps what a task raises
+            if OTHERWISE not in str(e):
+                raise
+    _write(docs, path, model, end_id, stripe_mb, False)
+
+
+#: What a task says whose rows aren't in order after all.
+OTHERWISE = "rows came in another order than before"
+
+
+def _write(docs: DataFrame, path: str, model: bytes, end_id: int, stripe_mb: int, ordered: bool) -> None:
     spark = common.ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    ordered = in_order(docs)
 
     def encode(batches):
         enc, start, last = Encoder.get(shared.value), 0, None
@@ -199,9 +223,9 @@ def write(docs: DataFrame, path: str, model: bytes, end_id: int = 0, stripe_mb:
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             if ordered and b.num_rows:
-                v = ids.to_numpy()
-                if not ((v[1:] > v[:-1]).all() and (last is None or v[0] > last)):
-                    raise ValueError("rows came in another order than before")
+                v = ids.to_numpy(zero_copy_only=False)
+                if ids.null_count or not ((v[1:] > v[:-1]).all() and (last is None or v[0] > last)):
+                    raise ValueError(OTHERWISE)
                 last = v[-1]
             for i, size in blocks.slices(texts):
                 offsets, tokens = enc.encode(texts.slice(i, size), end_id)
@@ -215,7 +239,8 @@ def write(docs: DataFrame, path: str, model: bytes, end_id: int = 0, stripe_mb:
         rows = rows.repartitionByRange(common.partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     (
         rows.mapInArrow(encode, "doc_id long, local_start long, n_tokens long, ids array<int>")
-        .write.option("orc.bloom.filter.columns", "doc_id")
+        .write.mode("overwrite")
+        .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "2000")

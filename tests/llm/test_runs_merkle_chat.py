@@ -3,12 +3,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm import chat_format, merkle_manifest, periodic_runs
+from loomspark.llm import chat_format, common, line_dedup, merkle_manifest, periodic_runs, token_orc
 
 from .test_llm_ops import DOC, docs, empty, odd, rows  # noqa: F401  fixtures
 
@@ -266,3 +267,38 @@ def test_a_chat_that_does_not_come_back_is_an_error(spark, monkeypatch):
 def test_no_chats(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.read_back(chat_format.formatted(none)).count() == 0
+
+
+# --- earlier operators ----------------------------------------------------------------------------------------------------
+
+
+def test_orc_is_written_by_range_if_rows_come_otherwise(spark, docs, tmp_path, monkeypatch):  # noqa: F811
+    """Rows that a first look took to be in order and that aren't: the same files' content as by range, and no error."""
+    model = open(common.tokenizer("byte_bpe_50k.json"), "rb").read()
+    some = docs.select("doc_id", "text").where("doc_id < 60").orderBy(F.desc("doc_id"))
+    told = {}
+    for name, first_look in (("wrong", True), ("right", False)):
+        monkeypatch.setattr(token_orc, "in_order", lambda df, is_=first_look: is_)
+        token_orc.write(some, f"{tmp_path}/{name}", model)
+        told[name] = sorted(tuple(r) for r in token_orc.checksums(token_orc.read(spark, f"{tmp_path}/{name}")).collect())
+    assert told["wrong"] == told["right"] and len(told["right"]) == some.count()
+
+
+def test_a_path_with_a_plan_s_words_is_a_plain_scan(spark, docs, tmp_path):  # noqa: F811
+    at = f"{tmp_path}/Exchange Sort"
+    docs.select("doc_id", "text").coalesce(1).sortWithinPartitions("doc_id").write.parquet(at)
+    assert token_orc.in_order(spark.read.parquet(at)) and not token_orc.in_order(spark.read.parquet(at).repartition(3))
+
+
+def test_bitmaps_of_a_long_text_expand_in_linear_time(spark):
+    """Words of sparse bitmaps, gaps filled; four times as many take no more than some times as long."""
+    sparse = spark.createDataFrame([([(2, 5), (3, 1), (7, -1)],), ([(0, 1)],), ([],)], "b array<struct<word:int,bits:bigint>>")
+    assert [r[0] for r in sparse.select(line_dedup.dense(F.col("b"))).collect()] == [[0, 0, 5, 1, 0, 0, 0, -1], [1], []]
+    took = []
+    for n in (20_000, 80_000):
+        one = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * 2).alias("word"), i.cast("bigint").alias("bits"))).alias("b"))
+        one = one.select(F.when(F.rand() < 2, F.col("b")).alias("b"))  # not folded when the plan is made
+        start = time.perf_counter()
+        assert one.select(F.size(line_dedup.dense(F.col("b")))).first()[0] == 2 * n - 1
+        took.append(time.perf_counter() - start)
+    assert took[1] < 6 * took[0] + 3
