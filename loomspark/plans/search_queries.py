@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ann, postings, retrieval, vectors
+from ..operators import ann, grams, postings, retrieval, vectors
 from ..sources.tables import new_folder as _new_folder
 from ..sources.tables import table
 from . import proxies as P
@@ -78,6 +78,19 @@ def code_tokens(spark, d):
     return table(spark, d, "part").select("p_partkey", postings.code_tokens(n).alias("tokens"))
 
 
+_GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS name, '  ' || lower(p_name) || ' ' AS p FROM part), a AS (SELECT DISTINCT replace(p_name, 'e', '') || (p_partkey % 3) AS query FROM part), b AS (SELECT query, '  ' || lower(query) || ' ' AS q FROM a),
+t AS (SELECT query, name, {_GRAMS.format('p')} AS x, {_GRAMS.format('q')} AS y FROM n, b), s AS (SELECT query, name, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 5) AS score FROM t) SELECT * FROM s WHERE score >= 0.4""")
+def fuzzy_many(spark, d):
+    """Names similar to any of many misspelt ones, by the rare grams they share."""
+    part = table(spark, d, "part")
+    ix = grams.GramIndex.build(part.select(F.col("p_name").alias("name")), _new_folder(spark, "grams"))
+    asked = part.select(F.concat(F.replace("p_name", F.lit("e"), F.lit("")), (F.col("p_partkey") % 3).cast("string")).alias("query"))
+    return ix.search(asked, 0.4)
+
+
 # --- vectors: the label's remainder is the repository, the label the path ----------------------------------------------
 
 _STORE = "repo_id long, id long, path string, embedding array<double>"

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from loomspark.operators import logs, retrieval
+from loomspark.operators import incremental, logs, retrieval
 
 
 def test_ewma_of_long_series(spark):
@@ -40,3 +40,16 @@ def test_overlaps_of_one_large_file(spark):
     """Thirty thousand hits of one file, nested and side by side; all pairs would be nearly a thousand million."""
     hits = spark.range(30_000).select(F.lit("f").alias("path"), (F.col("id") % 1000 * 20).alias("first"), (F.col("id") % 1000 * 20 + 19 - F.floor(F.col("id") / 1000) % 7).alias("last"), F.col("id").alias("rank"))
     assert retrieval.without_overlaps(hits, "path", "first", "last", "rank").count() == 1000
+
+
+def test_digests_tell_where_two_sides_differ(spark):
+    row = "path string, content_hash string"
+    rng = random.Random(2)
+    left = [(rng.choice([None, *map(str, range(300))]), rng.choice(["a", "b", None])) for _ in range(500)]
+    right = left[5:] + [("7", "c"), ("7", "c"), (None, "a")]
+    a, b = spark.createDataFrame(left, row), spark.createDataFrame(right[::-1], row)
+    told = lambda df: sorted(map(repr, df.collect()))
+    assert told(incremental.tree_mismatches(a, b, "path", 64)) == told(incremental.mismatches(a, b)) != []
+    assert incremental.differing(a, b, "path", 64).count() <= 8
+    assert incremental.differing(a, spark.createDataFrame(left[::-1], row), "path", 64).count() == 0
+    assert incremental.tree_mismatches(a, a, "path").count() == 0
