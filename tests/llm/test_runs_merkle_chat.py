@@ -302,3 +302,12 @@ def test_bitmaps_of_a_long_text_expand_in_linear_time(spark):
         assert one.select(F.size(line_dedup.dense(F.col("b")))).first()[0] == 2 * n - 1
         took.append(time.perf_counter() - start)
     assert took[1] < 6 * took[0] + 3
+
+
+def test_runs_query_on_odd_rows(spark, tmp_path):
+    """Rows whose id plants a period: empty, null, blank, of one word, repeated; ids that are null."""
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10 == 0][:5]
+    some = [(ids[0], ""), (ids[1], None), (ids[2], " \n "), (ids[3], "one"), (ids[4], "a b c d e f g h i j k l m n o p " * 3), (ids[4], "a b c d e f g h i j k l m n o p " * 3), (None, "x y"), (None, None), (1, "")]
+    spark.createDataFrame(some, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in periodic_runs.op11_runs(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted((brute_row(*r) for r in some), key=repr)
