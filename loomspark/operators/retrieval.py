@@ -45,6 +45,21 @@ def enriched(hits: DataFrame, edges: DataFrame, top: int = 3, id_col: str = "id"
     return out.select(*hits.columns, "rank", shown("n_callers"), shown("n_callees"))
 
 
+def with_neighbours(hits: DataFrame, edges: DataFrame, top: int = 3, id_col: str = "id") -> DataFrame:
+    """hits (50 at most) with rank (from 0), and for the first ``top`` the sorted callers and callees over edges (src, dst), else null.
+
+    The first hits are broadcast to the edges, so only their own edges are shuffled.
+    """
+    ranked = hits.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("score"), id_col)) - 1).cast("int"))  # at most 50 rows
+    first = F.broadcast(ranked.where(F.col("rank") < top).select(F.col(id_col).alias("n_id")))
+    ends = edges.select(F.col("dst").alias("n_id"), F.col("src").alias("caller"), F.lit(None).cast(edges.schema["dst"].dataType).alias("callee"))
+    ends = ends.unionByName(edges.select(F.col("src").alias("n_id"), F.lit(None).cast(edges.schema["src"].dataType).alias("caller"), F.col("dst").alias("callee")))
+    lists = ends.join(first, "n_id").groupBy("n_id").agg(*[F.sort_array(F.collect_set(c)).alias(f"{c}s") for c in ("caller", "callee")])
+    out = ranked.join(lists, ranked[id_col] == lists["n_id"], "left").drop("n_id")
+    shown = lambda c: F.when(F.col("rank") < top, F.coalesce(F.col(c), F.array().cast(lists.schema[c].dataType))).alias(c)
+    return out.select(*hits.columns, "rank", shown("callers"), shown("callees"))
+
+
 def fuzzy(names: DataFrame, query: str, column: str = "name", least: float = 0.3) -> DataFrame:
     """Distinct names by trigram similarity (rounded to five places) to ``query``."""
     score = F.round(jaccard(trigrams(F.col(column)), trigrams(F.lit(query))), 5)

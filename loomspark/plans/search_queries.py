@@ -202,3 +202,12 @@ def search_enriched(spark, d):
     """Hits with the neighbourhood of the first three: edges meet these three only."""
     hits = retrieval.cosine_topk(table(spark, d, "embeddings"), _first_vector(spark, d), 10, "vec_id").select("vec_id", "score")
     return retrieval.enriched(hits, P.call_edges(spark, d), 3, "vec_id")
+
+
+@query(f"WITH {cosine_sql(10)}, {EDGES}, t AS (SELECT vec_id, score, (row_number() OVER (ORDER BY score DESC, vec_id) - 1)::INT AS rank FROM top) SELECT vec_id, score, rank, CASE WHEN rank < 3 THEN coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM e WHERE dst = vec_id), '') END AS callers, CASE WHEN rank < 3 THEN coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM e WHERE src = vec_id), '') END AS callees FROM t")
+def search_neighbours(spark, d):
+    """Hits with the callers and callees themselves of the first three."""
+    hits = retrieval.cosine_topk(table(spark, d, "embeddings"), _first_vector(spark, d), 10, "vec_id").select("vec_id", "score")
+    out = retrieval.with_neighbours(hits, P.call_edges(spark, d), 3, "vec_id")
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return out.select("vec_id", "score", "rank", listed("callers"), listed("callees"))
