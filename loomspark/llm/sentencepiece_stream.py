@@ -31,6 +31,8 @@ from . import blocks, common
 
 MODEL = common.tokenizer("piece_bpe_32k.model")
 CACHE = 300_000
+#: Bytes of texts that are encoded together: their words and ids are in memory several times over.
+PART = 1 << 20
 SPACE = "▁"
 
 
@@ -260,7 +262,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids",
     def run(batches):
         v = Vocabulary.get(shared.value)
         for b in batches:
-            for i, size in blocks.slices(b.column(at)):
+            for i, size in blocks.slices(b.column(at), size=PART):
                 part = b.slice(i, size)
                 texts = part.column(at)
                 offsets, found = v.block(texts)
