@@ -6,6 +6,8 @@ its quality isn't that of a neural one.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
 from typing import Protocol
 
@@ -44,7 +46,31 @@ class HashProvider:
         return out / np.where(norm > 0, norm, 1)
 
 
-PROVIDERS = {"hash": HashProvider}
+class WordProvider:
+    """Counts of words (lower-cased, cut at spaces), hashed by md5: the first eight hexadecimal digits give the place, the ninth the sign.
+
+    Not scaled, so all values are whole and a cosine doesn't depend on the order of sums. Words are hashed once a batch.
+    """
+
+    def __init__(self, dimension: int = 256):
+        self.dimension = dimension
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        words = [[w for w in re.sub("[A-Z]+", lambda m: m[0].lower(), text or "").split(" ") if w] for text in texts]
+        every = sorted({w for ws in words for w in ws})
+        at = {w: i for i, w in enumerate(every)}
+        digests = [hashlib.md5(w.encode("utf-8", "replace"), usedforsecurity=False).hexdigest() for w in every]
+        place = np.array([int(h[:8], 16) % self.dimension for h in digests], np.int64)
+        sign = np.array([1.0 if h[8] in "01234567" else -1.0 for h in digests])
+        out = np.zeros((len(texts), self.dimension))
+        for row, ws in zip(out, words, strict=True):
+            if ws:
+                i = np.fromiter(map(at.__getitem__, ws), np.int64, len(ws))
+                row += np.bincount(place[i], sign[i], self.dimension)
+        return out
+
+
+PROVIDERS = {"hash": HashProvider, "words": WordProvider}
 
 
 def provider(name: str, **settings) -> Provider:

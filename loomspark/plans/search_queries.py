@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ann, grams, postings, retrieval, vectors
+from ..operators import ann, embedding, embedding_store, grams, postings, retrieval, vectors
 from ..sources.tables import new_folder as _new_folder
 from ..sources.tables import table
 from . import proxies as P
@@ -211,3 +211,46 @@ def search_neighbours(spark, d):
     out = retrieval.with_neighbours(hits, P.call_edges(spark, d), 3, "vec_id")
     listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return out.select("vec_id", "score", "rank", listed("callers"), listed("callees"))
+
+
+QUESTION, DIMENSION = "Apache license of the data", 64
+_KEPT: dict[tuple, embedding_store.EmbeddingStore] = {}
+
+
+def _kept(spark, d) -> embedding_store.EmbeddingStore:
+    """The session's store of the documents' vectors; only contents that it hasn't are embedded."""
+    key = (spark.sparkContext.applicationId, postings.state_of(spark, f"{d}/documents.parquet"))
+    if key not in _KEPT:
+        _KEPT[key] = embedding_store.EmbeddingStore(spark, _new_folder(spark, "contents"), "words", embedding.provider("words", dimension=DIMENSION))
+        _KEPT[key].add(table(spark, d, "documents"))
+    return _KEPT[key]
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: s: words with their place and sign; dv, qv: whole values of documents and question by place; hits: the ten nearest.
+_SEMANTIC = f"""w AS (SELECT doc_id, unnest(string_split({_LOWER.format("text")}, ' ')) AS w FROM documents),
+wq AS (SELECT unnest(string_split({_LOWER.format(f"'{QUESTION}'")}, ' ')) AS w),
+h AS (SELECT w, ('0x' || substr(md5(w), 1, 8))::BIGINT % {DIMENSION} AS place, CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END AS sign FROM (SELECT w FROM w UNION SELECT w FROM wq) WHERE w <> ''),
+dv AS (SELECT doc_id, place, sum(sign)::DOUBLE AS x FROM w JOIN h USING (w) GROUP BY 1, 2),
+qv AS (SELECT place, sum(sign)::DOUBLE AS y FROM wq JOIN h USING (w) GROUP BY 1),
+dots AS (SELECT doc_id, sum(x * coalesce(y, 0)) AS dot, sqrt(sum(x * x)) AS own FROM dv LEFT JOIN qv USING (place) GROUP BY 1),
+sc AS (SELECT d.doc_id, round(CASE WHEN own > 0 THEN dot / (own * (SELECT sqrt(sum(y * y)) FROM qv)) ELSE 0 END, 5) AS score FROM documents d LEFT JOIN dots USING (doc_id)),
+t AS (SELECT doc_id, score, (row_number() OVER (ORDER BY score DESC, doc_id) - 1)::INT AS rank FROM sc QUALIFY rank < 10)"""
+
+
+@query(f"WITH {_SEMANTIC}, {EDGES} SELECT doc_id, score, rank, CASE WHEN rank < 3 THEN coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM e WHERE dst = doc_id), '') END AS callers, CASE WHEN rank < 3 THEN coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM e WHERE src = doc_id), '') END AS callees FROM t")
+def semantic_neighbours(spark, d):
+    """From a question to hits with the neighbourhood of the first three: whole texts embedded once by content, the question by the same model."""
+    hits = _kept(spark, d).search(table(spark, d, "documents"), QUESTION, 10, "doc_id")
+    out = retrieval.with_neighbours(hits, P.call_edges(spark, d), 3, "doc_id")
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return out.select("doc_id", "score", "rank", listed("callers"), listed("callees"))
+
+
+@query("SELECT lang, source, count(*) AS n_docs, count(DISTINCT coalesce(text, '')) AS n_contents, count(DISTINCT coalesce(text, '')) AS n_vectors FROM documents GROUP BY 1, 2")
+def embedded_contents(spark, d):
+    """Of each language and source, rows, distinct contents and those of them that have a vector in the store."""
+    docs = table(spark, d, "documents").select("lang", "source", embedding_store.digest_of("text").alias("digest"))
+    each = docs.groupBy("lang", "source", "digest").agg(F.count(F.lit(1)).alias("n"))
+    held = _kept(spark, d).vectors().select("digest", F.lit(1).alias("v"))
+    return each.join(held, "digest", "left").groupBy("lang", "source").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_contents"), F.count("v").alias("n_vectors"))
