@@ -84,7 +84,7 @@ class Index:
         return graph.import_edges(self.exploded("imports"), self.files)
 
     def stats(self) -> DataFrame:
-        return graph.repo_stats(self.files, self.nodes, self.calls, self.unresolved)
+        return graph.repo_stats(self.files, self.nodes, graph.call_totals(self.exploded("calls"), self.nodes))
 
     def call_edges(self) -> DataFrame:
         """src, dst as node ids, for traversals."""
