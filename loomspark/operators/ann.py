@@ -4,6 +4,8 @@ Unit vectors are dealt to the nearest of ``cells`` centroids; what is left of a
 ``pieces``. Cells are partitions of two stored tables: ``codes`` (id, payload, code), narrow, and ``vectors`` (id, embedding).
 A search picks the ``probes`` nearest cells of each query, so only these partitions are read; the payload filter comes before any
 score; codes are scored by table look-ups; and of the ``refine`` best of each query the vectors are read and scored exactly.
+Tasks keep the best of all their cells and pass on these only. Where ``refine`` covers all vectors, codes would choose nothing, so
+the vectors of the probed cells are scored at once and a task passes on ``k`` of a batch for each query.
 
 Centroids and codebooks are fitted on at most ``SAMPLE`` vectors, chosen by a hash of the id; every vector is indexed.
 Cells that hold many vectors are written by as many tasks as they need. Vectors that are null aren't indexed; zero vectors
@@ -32,6 +34,8 @@ CODES = 256
 PER_FILE = 500_000
 #: Queries that are broadcast at once; more go in several rounds.
 MOST_QUERIES = 4096
+#: Candidates that a task holds before it drops those that aren't among the best.
+HELD = 1_000_000
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -66,6 +70,29 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
     return at
 
 
+#: A ``refine`` of all vectors.
+ALL = 1 << 62
+
+
+def _best(held: list[tuple], most: int) -> tuple:
+    """Of parts (query number, id, cell, distance) the ``most`` least distances of each query."""
+    n, cell, far = (np.concatenate([h[i] for h in held]) for i in (0, 2, 3))
+    ids = pa.concat_arrays([h[1] for h in held])
+    order = np.lexsort((far, n))
+    own = n[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    nth = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
+    order = order[nth < most]
+    return n[order], ids.take(pa.array(order)), cell[order], far[order]
+
+
+def _firsts(ids: pa.Array, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of scores (queries by ids) the places of each query's ``k`` best, ties by id, and their scores."""
+    order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+    few = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
+    return few, np.take_along_axis(score, few, 1)
+
+
 class AnnIndex:
     """The index below ``root``."""
 
@@ -147,6 +174,8 @@ class AnnIndex:
         """query, id, score (cosine, rounded to five places), rank (from 1) of the ``k`` nearest that are found for each query."""
         asked = queries.select(F.col(id_col).alias("query"), F.col(vector).cast("array<double>").alias("q"))
         rounds = max(1, -(-asked.count() // MOST_QUERIES))
+        if refine > HELD // MOST_QUERIES and refine >= self.spark.read.parquet(f"{self.root}/codes").count():
+            refine = ALL
         out = [self._round(asked.where(F.pmod(F.xxhash64("query"), F.lit(rounds)) == i) if rounds > 1 else asked, k, probes, max(k, refine), where) for i in range(rounds)]
         done = out[0]
         for more in out[1:]:
@@ -166,8 +195,8 @@ class AnnIndex:
             probes *= 2
         return min(probes, n)
 
-    def candidates(self, asked: DataFrame, probes: int, refine: int, where: Column | None) -> tuple[DataFrame, list[int]]:
-        """query (its number), id, cell of the ``refine`` best by their codes for each collected query; the cells read."""
+    def _probed(self, asked: DataFrame, probes: int) -> tuple[np.ndarray, dict[int, list[int]], np.ndarray, list[np.ndarray]]:
+        """Unit vectors of the collected queries, the numbers of those that probe each cell, centroids and codebooks."""
         centroids, books = self.model()
         rows = asked.orderBy("query").collect()  # at most about MOST_QUERIES
         x = _unit(np.array([r["q"] for r in rows]).reshape(len(rows), centroids.shape[1]))
@@ -177,6 +206,11 @@ class AnnIndex:
         for i, own in enumerate(near.tolist()):
             for c in own:
                 by_cell.setdefault(c, []).append(i)
+        return x, by_cell, centroids, books
+
+    def candidates(self, asked: DataFrame, probes: int, refine: int, where: Column | None) -> tuple[DataFrame, list[int]]:
+        """query (its number), id, cell of the ``refine`` best by their codes for each collected query; the cells read."""
+        x, by_cell, centroids, books = self._probed(asked, probes)
         cells = sorted(by_cell)
         shared = self.spark.sparkContext.broadcast((x, by_cell, centroids, books))
         codes = self.spark.read.parquet(f"{self.root}/codes").where(F.col("cell").isin(cells))
@@ -186,6 +220,8 @@ class AnnIndex:
         def scored(batches):
             x, by_cell, centroids, books = shared.value
             width = books[0].shape[1]
+            held, n_held = [], 0
+            row = lambda h: pa.RecordBatch.from_arrays([pa.array(h[0]), h[1], pa.array(h[2]), pa.array(h[3])], names=["n", "id", "cell", "far"])
             for b in batches:
                 cell = b.column(1).to_numpy()
                 code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, len(books))
@@ -200,22 +236,60 @@ class AnnIndex:
                         score += table[:, code[at, p]]
                     few = min(refine, len(at))
                     best = np.argpartition(score, few - 1, axis=1)[:, :few]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(np.array(asks, np.int32), few)), b.column(0).take(pa.array(at[best.ravel()])), pa.array(np.full(best.size, c, np.int32)), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["n", "id", "cell", "far"]
-                    )
+                    held.append((np.repeat(np.array(asks, np.int32), few), b.column(0).take(pa.array(at[best.ravel()])), np.full(best.size, c, np.int32), np.take_along_axis(score, best, 1).ravel()))
+                    n_held += best.size
+                    if n_held > HELD:
+                        held = [_best(held, refine)]
+                        n_held = len(held[0][0])
+                        if n_held > HELD // 2:
+                            yield row(held[0])
+                            held, n_held = [], 0
+            if held:
+                yield row(_best(held, refine))
 
         found = codes.mapInArrow(scored, f"n int, id {id_type}, cell int, far double")
         w = Window.partitionBy("n").orderBy("far", "id")
         return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= refine).select("n", "id", "cell"), cells
 
     def _round(self, asked: DataFrame, k: int, probes: int, refine: int, where: Column | None) -> DataFrame:
-        few, cells = self.candidates(asked, probes, refine, where)
         numbered = asked.withColumn("n", (F.row_number().over(Window.orderBy("query")) - 1).cast("int"))  # at most about MOST_QUERIES
+        if refine == ALL:
+            found = self._scored_at_once(asked, k, probes, where)
+            return best_of(found.join(F.broadcast(numbered.select("n", "query")), "n").select("query", "id", "score"), k)
+        few, cells = self.candidates(asked, probes, refine, where)
         vectors = self.spark.read.parquet(f"{self.root}/vectors").where(F.col("cell").isin(cells))
-        # refine rows for each query
-        pairs = vectors.join(F.broadcast(few), ["cell", "id"]).join(F.broadcast(numbered), "n")
+        # refine rows for each query, so as many as grow with the queries: they are dealt, not broadcast
+        pairs = vectors.join(few, ["cell", "id"]).join(F.broadcast(numbered), "n")
         return best_of(pairs.select("query", "id", similarity(F.col("embedding"), F.col("q")).alias("score")), k)
 
+    def _scored_at_once(self, asked: DataFrame, k: int, probes: int, where: Column | None) -> DataFrame:
+        """n (a query's number), id, score of the ``k`` best of each batch of the probed cells' vectors that ``where`` keeps."""
+        x, by_cell, centroids, _ = self._probed(asked, probes)
+        cells = sorted(by_cell)
+        whole = probes >= len(centroids)
+        shared = self.spark.sparkContext.broadcast((x, {} if whole else by_cell))
+        own = self.spark.read.parquet(f"{self.root}/vectors").where(F.col("cell").isin(cells))
+        if where is not None:
+            kept = self.spark.read.parquet(f"{self.root}/codes").where(F.col("cell").isin(cells)).where(where).select("id", "cell")
+            own = own.join(kept, ["id", "cell"], "left_semi")
+        id_type = dict(own.dtypes)["id"]
+
+        def scored(batches):
+            x, by_cell = shared.value
+            every = np.arange(len(x))
+            for b in batches:
+                for lo in range(0, b.num_rows, 2048):
+                    part = b.slice(lo, 2048)
+                    unit, cell = _unit(_matrix(part.column(1), x.shape[1])), part.column(2).to_numpy()
+                    for c in [None] if whole else np.unique(cell):
+                        at = np.arange(len(cell)) if whole else np.flatnonzero(cell == c)
+                        asks = every if whole else np.array(by_cell[int(c)])
+                        ids = part.column(0).take(pa.array(at))
+                        few, best = _firsts(ids, np.round(unit[at] @ x[asks].T, 5).T, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asks.astype(np.int32), few.shape[1])), ids.take(pa.array(few.ravel())), pa.array(best.ravel())], names=["n", "id", "score"])
+
+        return own.select("id", "embedding", "cell").mapInArrow(scored, f"n int, id {id_type}, score double")
+
 
 def similarity(a: Column, b: Column) -> Column:
     """Cosine of two arrays of doubles, rounded to five places; 0 for a zero vector."""
@@ -248,9 +322,8 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id
                 # as a search rounds: ties at the fifth place are told by the id
                 score = np.round(_unit(_matrix(part.column(1), x.shape[1])) @ x.T, 5).T
                 ids = part.column(0)
-                order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
-                few = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(x), dtype=np.int32), few.shape[1])), ids.take(pa.array(few.ravel())), pa.array(np.take_along_axis(score, few, 1).ravel())], names=["n", "id", "score"])
+                few, best = _firsts(ids, score, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(x), dtype=np.int32), few.shape[1])), ids.take(pa.array(few.ravel())), pa.array(best.ravel())], names=["n", "id", "score"])
 
     found = given.mapInArrow(scored, f"n int, id {dict(given.dtypes)['id']}, score double")
     kind = dict(queries.select(F.col(id_col).alias("q")).dtypes)["q"]

@@ -59,3 +59,21 @@ def test_vectors_that_cannot_be_cut(spark, tmp_path):
         ann.AnnIndex.build(df, str(tmp_path / "a"), pieces=2)
     with pytest.raises(ValueError, match="no vectors"):
         ann.AnnIndex.build(df.where("id = 0"), str(tmp_path / "b"))
+
+
+def test_a_refine_of_all_makes_no_pairs(spark, monkeypatch, tmp_path):
+    """Filtered and whole, in all cells and in some: what an exact search gives, though few rows go on and none of them is broadcast."""
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, i % 3, rng.normal(size=16).tolist()) for i in range(600)], "id long, label int, embedding array<double>").repartition(3)
+    ix = ann.AnnIndex.build(rows, f"file://{tmp_path}/ix", cells=12)
+    monkeypatch.setattr(ann, "HELD", 2000)  # tasks drop candidates, and pass some on early
+    asked = rows.where("id % 20 = 0")
+    want = {tuple(r) for r in ann.exact(rows.where("label = 1"), asked, 5).collect()}
+    got = ix.search(asked, 5, probes=ann.MOST_CELLS, refine=600, where=F.col("label") == 1)
+    assert {tuple(r) for r in got.collect()} == want
+    assert len(ix._scored_at_once(asked.select(F.col("id").alias("query"), F.col("embedding").alias("q")), 5, 12, None).collect()) < 600 * 30 / 4
+    some = {(r.query, r.id) for r in ix.search(asked, 5, probes=6, refine=600).collect()}
+    codes = {(r.query, r.id) for r in ix.search(asked, 5, probes=6, refine=599).collect()}
+    assert some == codes
+    few, _ = ix.candidates(asked.select(F.col("id").alias("query"), F.col("embedding").alias("q")), 12, 50, None)
+    assert few.count() == 30 * 50
