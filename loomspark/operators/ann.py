@@ -113,9 +113,14 @@ class AnnIndex:
             raise ValueError(f"vectors of {dim['b']} to {dim['a']} numbers can't be cut into {pieces} pieces")
         dim = dim["a"]
         cells = max(1, min(MOST_CELLS, n, cells or math.isqrt(n)))
-        norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
         share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))
-        some = rows.where(share | F.lit(n <= SAMPLE)).select("id", F.transform("embedding", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).alias("u"))
+
+        def scaled(batches):  # in numpy: a column's transform would work the norm out again for each number
+            for b in batches:
+                x = _unit(_matrix(b.column(0), dim))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * dim, pa.int32()), pa.array(x.ravel()))], names=["u"])
+
+        some = rows.where(share | F.lit(n <= SAMPLE)).select("embedding").mapInArrow(scaled, "u array<double>")
         model = KMeans(k=cells, seed=1, maxIter=10, featuresCol="v").fit(some.select(array_to_vector("u").alias("v")))
         centroids = np.array(model.clusterCenters())
         width, shared = dim // pieces, ix.spark.sparkContext.broadcast(centroids)
