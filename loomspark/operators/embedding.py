@@ -12,7 +12,8 @@ import zlib
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from ..sources.tables import ship
 from . import retrieval
 
 BATCH = 32
+#: Of a batch from Spark, rows and bytes of text that are embedded at a time.
+PART_ROWS, PART_BYTES = 1024, 1 << 20
 
 
 class Provider(Protocol):
@@ -89,19 +92,36 @@ def checked(p: Provider, texts: list[str]) -> np.ndarray:
     return out
 
 
+def _parts(lengths: list[int]):
+    """(start, number) of runs of rows of PART_ROWS and, but for one row that is longer alone, PART_BYTES at most."""
+    start = held = 0
+    for i, x in enumerate(lengths):
+        if i > start and (i - start >= PART_ROWS or held + x > PART_BYTES):
+            yield start, i - start
+            start, held = i, 0
+        held += x
+    if len(lengths) > start:
+        yield start, len(lengths) - start
+
+
 def embedded(rows: DataFrame, p: Provider, text: str = "text", column: str = "embedding") -> DataFrame:
-    """rows with a vector column; texts go to the provider in batches inside the tasks."""
+    """rows with a vector column; texts go to the provider in batches inside the tasks, a few MB as Python objects at a time."""
     at = rows.columns
     ship(rows.sparkSession)
 
-    def run(frames):
-        for f in frames:
-            texts = f[text].tolist()
-            vectors = [v for i in range(0, len(texts), BATCH) for v in checked(p, texts[i : i + BATCH])]
-            yield f.assign(**{column: pd.Series(vectors, index=f.index, dtype=object)})
+    n = at.index(text)
+
+    def run(batches):
+        for b in batches:
+            for lo, size in _parts(pc.fill_null(pc.binary_length(b.column(n)), 0).to_pylist()):
+                part = b.slice(lo, size)
+                texts = part.column(n).to_pylist()
+                x = np.concatenate([checked(p, texts[i : i + BATCH]) for i in range(0, size, BATCH)]).astype(np.float64)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], names=[*at, column])
 
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in at)
-    return rows.mapInPandas(run, f"{fields}, `{column}` array<double>")
+    return rows.mapInArrow(run, f"{fields}, `{column}` array<double>")
 
 
 def search(chunks: DataFrame, query: str, p: Provider, k: int = 10, id_col: str = "id") -> DataFrame:
