@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import blocks, common
 
 WINDOW = 13
 #: Bytes of pattern text that one pass sends to the tasks.
 BATCH_BYTES = 16 << 20
+#: Bytes of texts that are searched at a time, as Python objects.
+PART_BYTES = 1 << 20
 #: Lower bounds of the pattern lengths that share a table, with the block size of that table.
 CLASSES = ((3, 2), (8, 4), (20, 6), (48, 8))
 
@@ -134,10 +136,15 @@ def _pass(docs: DataFrame, batch: list[tuple[bytes, list[str | None]]]) -> DataF
     schema, cols = common.with_fields(docs, {"text"}, "n_words long, spans array<struct<s:long,e:long>>, items array<string>, nameless boolean")
     at = docs.columns.index("text")
 
+    def parts(batches):
+        for b in batches:
+            for lo, size in blocks.slices(b.column(at), size=PART_BYTES):
+                yield b.slice(lo, size)
+
     def search(batches):
         names, windows = shared.value
         matcher = Matcher(windows)
-        for b in batches:
+        for b in parts(batches):
             n, spans, found, nameless = [], [], [], []
             for text in b.column(at).to_pylist():
                 words = common.folded_words(text)
