@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import ship
+from .embedding import _parts
 from .retrieval import K1, B
 
 BLOCK = 128
@@ -112,8 +113,8 @@ class LexicalIndex:
         cores = self.spark.sparkContext.defaultParallelism
         if docs.rdd.getNumPartitions() < cores:  # cutting tokens costs more than dealing out so few splits
             docs = docs.select(id_col, text).repartition(cores)
-        tokens = F.coalesce(code_tokens(F.col(text)), F.array().cast("array<string>"))
-        rows = docs.select(F.col(id_col).alias("id"), tokens.alias("t")).select("id", F.size("t").alias("len"), counted(F.col("t")).alias("posts"))
+        kind = T.StructType.fromDDL(self.schemas["docs"])["id"].dataType
+        rows = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_cut, self.schemas["docs"])
         return self._write(rows, None)
 
     def remove(self, ids: DataFrame) -> str:
@@ -254,6 +255,56 @@ class LexicalIndex:
         return every.join(count(self.needed(words, k)[0], "read"), "token", "left").na.fill(0, ["read"])
 
 
+#: Of each byte: 1 a lower-case letter or digit, 2 an upper-case letter, 3 the underscore, 0 another, as are all bytes beyond ASCII.
+_KIND = np.array([1 if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 2 if 65 <= c <= 90 else 3 if c == 95 else 0 for c in range(256)], np.uint8)
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+
+
+def _cut(batches):
+    """Documents (id, text) as rows of ``docs``: what ``counted`` makes of ``code_tokens``, by marks on the bytes of some texts at a time."""
+    for b in batches:
+        for lo, n in _parts(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()):
+            size, posts = _posts(b.column(1).slice(lo, n))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), size, posts], names=["id", "len", "posts"])
+
+
+def _posts(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """How many tokens each text has, and its distinct ones with their counts, in order."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    n, (_, at, held) = len(texts), texts.buffers()
+    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + n + 1]
+    data = np.frombuffer(held, np.uint8)[at[0] : at[-1]] if held is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    kind = _KIND[data]
+    before = np.zeros_like(kind)  # of the byte before it in the same text
+    before[1:] = kind[:-1]
+    before[at[:-1][at[:-1] < len(data)]] = 0
+    lower = _LOWER[data]
+    turns = (kind == 2) & (before == 1)
+    whole = kind > 0
+    opens = whole & (before == 0)
+    which = np.cumsum(opens) - 1  # the identifier that a byte is of
+    marked = np.zeros(int(opens.sum()), bool)
+    marked[which[turns | (kind == 3)]] = True
+    part = (kind == 1) | (kind == 2)
+    whole[whole] = marked[which[whole]]
+    cut = lambda kept, first: (np.flatnonzero(first), np.append(np.cumsum(kept)[first] - 1, np.count_nonzero(kept)).astype(np.int32), lower[kept])
+    starts, tokens = [], []
+    for first, ends, kept in (cut(part, part & (turns | (before == 0) | (before == 3))), cut(whole, whole & opens)):
+        starts.append(first)
+        tokens.append(pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(kept)))
+    doc = np.searchsorted(at, np.concatenate(starts), "right") - 1
+    codes = pa.concat_arrays(tokens).dictionary_encode()
+    order = pc.sort_indices(codes.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    most = max(len(order), 1)
+    keys, tf = np.unique(doc * most + rank[codes.indices.to_numpy()], return_counts=True)
+    items = pa.StructArray.from_arrays([codes.dictionary.take(pa.array(order[keys % most])), pa.array(tf.astype(np.int32))], names=["token", "tf"])
+    offsets = np.searchsorted(keys, np.arange(n + 1) * most).astype(np.int32)
+    return pa.array(np.bincount(doc, minlength=n).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), items)
+
+
 def _blocks(batches):
     """Sorted postings (token, id, tf, len) as rows of up to BLOCK of a token."""
     for b in batches:

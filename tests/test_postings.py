@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from loomspark.operators import postings
+from loomspark.operators import embedding, postings
 
 
 def tokens_of(text):
@@ -90,3 +90,17 @@ def test_blocks_below_the_threshold_are_skipped(spark, tmp_path):
     assert told["tide"].blocks >= 4000 // postings.BLOCK and told["tide"].read <= told["tide"].blocks // 3
     every = ix.skipped(["tide"], 10_000).collect()  # no ten thousand documents have it: nothing can be skipped
     assert every[0].read == every[0].blocks
+
+
+def test_tokens_of_odd_texts_are_cut_without_a_step_for_each(spark, tmp_path, monkeypatch):
+    """What is stored equals counting by hand, a part of a batch at a time, and no interpreted function goes over tokens."""
+    rng = random.Random(5)
+    texts = [None, "", "_", "__a", "aB", "a_B", "Ab", "éaÉb a", "日本getUserById", "z9Z", "x" * 5000, " "] + ["".join(rng.choices("abzABZ09_ -é日\n\0", k=rng.randrange(0, 40))) for _ in range(3000)]
+    monkeypatch.setattr(embedding, "PART_BYTES", 1000)
+    plans, write = [], postings.LexicalIndex._write
+    monkeypatch.setattr(postings.LexicalIndex, "_write", lambda self, rows, removed: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(self, rows, removed))
+    ix = postings.LexicalIndex(spark, str(tmp_path / "ix"))
+    ix.add(spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1))
+    got = {r.id: (r.len, [tuple(p) for p in r.posts]) for r in ix.live_docs().collect()}
+    assert got == {i: (len(tokens_of(t)), sorted(collections.Counter(tokens_of(t)).items())) for i, t in enumerate(texts)}
+    assert len(plans) == 1 and "lambda" not in plans[0]
